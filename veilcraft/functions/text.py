@@ -7,7 +7,7 @@ answer False for NULL.
 from __future__ import annotations
 
 import sys
-import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -36,19 +36,18 @@ def _ascii_casefolds() -> dict[str, str]:
     return table
 
 
-def _digits_outside_nd() -> str:
-    """A regex class body for the digits that are not decimal numbers (², ①, …)."""
-    codes = [
-        code
-        for code in range(sys.maxunicode + 1)
-        if chr(code).isdigit() and unicodedata.category(chr(code)) != "Nd"
-    ]
-    return "".join(rf"\x{{{code:x}}}" for code in codes)
+def _char_class(member: Callable[[str], bool]) -> str:
+    """Regex class of the characters with a property, in Python's Unicode version (Java's may be older)."""
+    codes = [code for code in range(sys.maxunicode + 1) if member(chr(code))]
+    starts = [code for code in codes if not member(chr(code - 1))]
+    ends = [code for code in codes if not member(chr(code + 1))]
+    return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in zip(starts, ends)) + "]"
 
 
 _CASEFOLDS = _ascii_casefolds()
 _CASEFOLD_TRIGGER = "[" + "".join(_CASEFOLDS) + "]"
-_DIGIT_RUN = rf"[\p{{Nd}}{_digits_outside_nd()}]+"
+_DIGIT_RUN = _char_class(str.isdigit) + "+"
+_DECIMAL = _char_class(str.isdecimal)
 
 
 def py_strip(text: Column) -> Column:
@@ -95,16 +94,22 @@ def looks_numeric(text: Column) -> Column:
     return F.coalesce(squeezed.rlike(rf"^[+-]*{_DIGIT_RUN}\z"), F.lit(False))
 
 
-_DIGITS = r"\p{Nd}+(?:_\p{Nd}+)*"
-_FLOAT_PATTERN = (
-    rf"(?U)^{_SPACE}*[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
-    rf"|(?i:inf(?:inity)?|nan)){_SPACE}*\z"
+_DIGITS = rf"{_DECIMAL}+(?:_{_DECIMAL}+)*"
+_FLOAT = (
+    rf"[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+    r"|(?i:inf(?:inity)?|nan))"
 )
 
 
 def looks_float(text: Column) -> Column:
-    """Whether Python's ``float`` would accept the text."""
-    return F.coalesce(text.rlike(_FLOAT_PATTERN), F.lit(False))
+    """Whether Python's ``float`` would accept the text.
+
+    Python trims the ASCII separators here only from text that is not pure ASCII.
+    """
+    accepted = F.when(
+        text.rlike(r"[^\x00-\x7f]"), text.rlike(rf"(?U)^{_SPACE}*{_FLOAT}{_SPACE}*\z")
+    ).otherwise(text.rlike(rf"^\s*{_FLOAT}\s*\z"))
+    return F.coalesce(accepted, F.lit(False))
 
 
 def header_score(text: Column) -> Column:

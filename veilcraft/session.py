@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Binary literals print as 0x…; key material must not reach plans or event logs.
-KEY_LITERAL_PATTERN = "0x[0-9A-Fa-f]{16,}"
+# Binary literals print as 0x… or X'…'; key material must not reach plans or event logs.
+KEY_LITERAL_PATTERN = "(?:0x|X')[0-9A-Fa-f]{16,}'?"
 
 
 def build_session(app_name: str = "veilcraft", cores: str | int = "*", **conf: str) -> SparkSession:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import itertools
 import os
 import re
 from collections.abc import Callable, Iterable, Mapping
@@ -91,57 +92,81 @@ def _xor(left: bytes, right: bytes) -> bytes:
     return bytes(a ^ b for a, b in zip(left, right, strict=True))
 
 
-def _evaluate(spark: SparkSession, *columns: Column) -> list[bytes]:
-    """Evaluate constant columns; folds to a local relation, so no job runs."""
-    row = spark.sql("SELECT 1").select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    return [bytes(value) for value in row]
+# Expressions are assembled as SQL text: a few hundred nested calls reach the JVM
+# as one string instead of one call each.
 
+_names = itertools.count()
 
-def _ecb(key: bytes, data: Column) -> Column:
-    return F.aes_encrypt(data, F.lit(key), F.lit("ECB"), F.lit("DEFAULT"))
 
+def _literal(data: bytes) -> str:
+    return f"X'{data.hex().upper()}'"
 
-def _cbc_last(key: bytes, data: Column, size: Column | int, start: Column) -> Column:
+
+def _let(value: str, body: Callable[[str], str]) -> str:
+    """Bind ``value`` to a variable so that ``body`` can use it many times but compute it once."""
+    name = f"_siv{next(_names)}"
+    return f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
+
+
+def _evaluate(spark: SparkSession, *expressions: str) -> list[bytes]:
+    """Evaluate constant expressions; folds to a local relation, so no job runs."""
+    return [bytes(value) for value in spark.sql(f"SELECT {', '.join(expressions)}").first()]
+
+
+def _ecb(key: bytes, data: str) -> str:
+    return f"aes_encrypt({data}, {_literal(key)}, 'ECB', 'DEFAULT')"
+
+
+def _cbc_last(key: bytes, data: str, size: str | int, start: str) -> str:
     """Last block of CBC over whole blocks. The output is IV, ciphertext, padding block."""
-    sealed = F.aes_encrypt(data, F.lit(key), F.lit("CBC"), F.lit("DEFAULT"), start)
-    return sealed.substr(F.lit(1) + size, F.lit(BLOCK))
+    return f"substring(aes_encrypt({data}, {_literal(key)}, 'CBC', 'DEFAULT', {start}), 1 + {size}, {BLOCK})"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` to a variable so that ``body`` can use it many times but compute it once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _left_block(data: str) -> str:
+    return f"substring({data}, 1, {BLOCK})"
 
 
-def _word(data: Column, index: Column) -> Column:
+def _word(data: str, index: str | int) -> str:
     """The 8 bytes at word ``index`` as a BIGINT."""
-    return F.conv(F.hex(data.substr(index * 8 + 1, F.lit(8))), 16, -10).cast("bigint")
+    return f"CAST(conv(hex(substring({data}, {index} * 8 + 1, 8)), 16, -10) AS BIGINT)"
 
 
-def _hex_word(value: Column) -> Column:
-    return F.lpad(F.hex(value), 16, "0")
+def _hex_word(value: str) -> str:
+    return f"lpad(hex({value}), 16, '0')"
 
 
-def _xor_words(left: Column, right: Column, words: Column | int) -> Column:
-    """XOR of two binaries of ``words`` times 8 bytes, as hex digits."""
+def _xor_words(left: str, right: str, words: str | int) -> str:
+    """XOR of two binaries of ``words`` times 8 bytes."""
 
-    def one(index: Column) -> Column:
-        return _hex_word(_word(left, index).bitwiseXOR(_word(right, index)))
+    def one(index: str | int) -> str:
+        return _hex_word(f"{_word(left, index)} ^ {_word(right, index)}")
 
     if isinstance(words, int):
-        return F.concat(*[one(F.lit(i)) for i in range(words)])
-    return F.array_join(F.transform(F.sequence(F.lit(0), words - 1), one), "")
+        return f"unhex(concat({', '.join(one(i) for i in range(words))}))"
+    return f"unhex(array_join(transform(sequence(0, {words} - 1), i -> {one('i')}), ''))"
+
+
+def _xor_block(left: str, right: str) -> str:
+    return _xor_words(left, right, 2)
+
 
+def _padded_block(data: str) -> str:
+    return _left_block(f"concat({data}, {_literal(_PAD)})")
 
-def _xor_block(left: Column, right: Column) -> Column:
-    return F.unhex(_xor_words(left, right, 2))
 
+def _doubled(state: str) -> str:
+    high, low = _word(state, 0), _word(state, 1)
+    carried = f"shiftleft({high}, 1) | shiftrightunsigned({low}, 63)"
+    reduced = f"shiftleft({low}, 1) ^ CASE WHEN {high} < 0 THEN {0x87}L ELSE 0L END"
+    return f"unhex(concat({_hex_word(carried)}, {_hex_word(reduced)}))"
 
-def _padded_block(data: Column) -> Column:
-    return F.concat(data, F.lit(_PAD)).substr(1, BLOCK)
 
+def _state_struct(tail: str, short: str, block: str) -> str:
+    return f"named_struct('tail', {tail}, 'short', {short}, 'block', {block})"
 
-def _state_struct(tail: Column, short: Column, block: Column) -> Column:
-    return F.struct(tail.alias("tail"), short.alias("short"), block.alias("block"))
+
+def _is_token(text: str) -> str:
+    return f"(rlike({text}, r'{tx.TOKEN_PATTERN}') AND (length({text}) - locate(':', {text})) % 4 <> 1)"
 
 
 @dataclass(frozen=True)
@@ -158,7 +183,7 @@ class _Subkeys:
     @classmethod
     def derive(cls, spark: SparkSession, key: CipherKey, context: bytes = TOKEN_CONTEXT) -> _Subkeys:
         mac = key.mac_half
-        (seed,) = _evaluate(spark, _ecb(mac, F.lit(_ZERO)).substr(1, BLOCK))
+        (seed,) = _evaluate(spark, _left_block(_ecb(mac, _literal(_ZERO))))
         whole = _double(seed)
         padded = _double(whole)
         zero_tag, context_tag = (
@@ -171,7 +196,7 @@ class _Subkeys:
 
 
 def closing_blocks(spark: SparkSession, key: bytes) -> bytes:
-    (padding,) = _evaluate(spark, _ecb(key, F.lit(bytes([BLOCK]) * BLOCK)).substr(1, BLOCK))
+    (padding,) = _evaluate(spark, _left_block(_ecb(key, _literal(bytes([BLOCK]) * BLOCK))))
     return _ZERO + padding
 
 
@@ -182,13 +207,15 @@ def _cmac(spark: SparkSession, mac: bytes, whole: bytes, padded: bytes, message:
         filled = message + _PAD[: BLOCK - len(message) % BLOCK]
         head, tail = filled[:-BLOCK], _xor(filled[-BLOCK:], padded)
     size = len(head) + BLOCK
-    (tag,) = _evaluate(spark, _cbc_last(mac, F.lit(head + tail), size, F.lit(_ZERO)))
+    (tag,) = _evaluate(spark, _cbc_last(mac, _literal(head + tail), size, _literal(_ZERO)))
     return tag
 
 
 class TokenCipher:
     """Column functions that seal and open tokens under one key.
 
+    Arguments that name data are SQL expressions, such as a column name.
+
     A namespace enters the cipher as a *state*: a struct of the S2V state and the
     CBC start values for texts below and of exactly one block. States of known
     namespaces are literals; others are computed from the namespace column.
@@ -200,6 +227,87 @@ class TokenCipher:
         self._sub = _Subkeys.derive(spark, key)
         self._known = {name: self._derive_state(name) for name in dict.fromkeys(namespaces)}
 
+    # -- tokens --------------------------------------------------------------
+
+    def encrypt(self, namespace: str, text: str) -> Column:
+        """Token of ``text`` in a namespace given by name.
+
+        NULL and '' stay as they are. Text that already is a token is an error.
+        """
+        return F.expr(self._token(f"'{namespace}'", text, self._known_state(namespace), "true"))
+
+    def encrypt_by(self, namespace: str, text: str, state: str | None = None) -> Column:
+        """Token of ``text`` in the namespace of a column; a malformed namespace is an error.
+
+        ``state`` is a column made by :meth:`state` beforehand, for callers that
+        compute it once per namespace and join it in.
+        """
+        allowed = f"rlike({namespace}, r'{tx.NAMESPACE_PATTERN}')"
+        return F.expr(self._token(namespace, text, state or self._state(namespace), allowed))
+
+    def state(self, namespace: str) -> Column:
+        """State of a namespace column (at most 64 ASCII characters)."""
+        return F.expr(self._state(namespace))
+
+    def decrypt(self, text: str) -> Column:
+        """Text of a token; other text unchanged. A token that fails is an error."""
+        return F.expr(self._opened(text, strict=True))
+
+    def try_decrypt(self, text: str) -> Column:
+        """Like :meth:`decrypt`, but a token that fails becomes NULL."""
+        return F.expr(self._opened(text, strict=False))
+
+    def decrypt_each(self, texts: str, strict: bool = True) -> Column:
+        """:meth:`decrypt` or :meth:`try_decrypt` on every element of an array."""
+        return F.expr(f"transform({texts}, item -> {self._opened('item', strict)})")
+
+    def _token(self, namespace: str, text: str, state: str, allowed: str) -> str:
+        def sealed(t: str) -> str:
+            body = f"translate(base64({self._seal(state, f'CAST({t} AS BINARY)')}), '+/=\\r\\n', '-_')"
+            return (
+                f"CASE WHEN {t} = '' THEN {t}"
+                f" WHEN {_is_token(t)} THEN CAST(raise_error('{ENCRYPTED_INPUT}') AS STRING)"
+                f" WHEN NOT {allowed} THEN CAST(raise_error('{BAD_NAMESPACE}: ' || {namespace}) AS STRING)"
+                f" WHEN {t} IS NOT NULL THEN concat({namespace}, ':', {body}) END"
+            )
+
+        return _let(text, sealed)
+
+    def _opened(self, text: str, strict: bool) -> str:
+        def opened(t: str) -> str:
+            namespace = f"substring_index({t}, ':', 1)"
+            sealed = f"unbase64(translate(substring_index({t}, ':', -1), '-_', '+/'))"
+            plain = f"try_validate_utf8(CAST({self._open(self._state(namespace), sealed)} AS STRING))"
+            if strict:
+                plain = f"coalesce({plain}, CAST(raise_error('{BAD_TOKEN}') AS STRING))"
+            return f"CASE WHEN {_is_token(t)} THEN {plain} ELSE {t} END"
+
+        return _let(text, opened)
+
+    # -- bytes in, bytes out -------------------------------------------------
+
+    def _seal(self, state: str, data: str) -> str:
+        def iv_and_text(state: str, data: str) -> str:
+            return _let(
+                self._synthetic_iv(state, data),
+                lambda iv: f"concat({iv}, {self._apply_stream(iv, data)})",
+            )
+
+        return _let(state, lambda s: _let(data, lambda d: iv_and_text(s, d)))
+
+    def _open(self, state: str, sealed: str) -> str:
+        """The plaintext, or NULL when the synthetic IV does not match."""
+
+        def verified(state: str, sealed: str) -> str:
+            iv = _left_block(sealed)
+            body = f"substring({sealed}, {BLOCK + 1}, octet_length({sealed}))"
+            return _let(
+                _let(body, lambda b: self._apply_stream(iv, b)),
+                lambda data: f"CASE WHEN {self._synthetic_iv(state, data)} = {iv} THEN {data} END",
+            )
+
+        return _let(state, lambda s: _let(sealed, lambda b: verified(s, b)))
+
     # -- namespaces ----------------------------------------------------------
 
     def _derive_state(self, namespace: str) -> tuple[bytes, bytes, bytes]:
@@ -209,123 +317,105 @@ class TokenCipher:
         state = _xor(sub.base, _cmac(self._spark, sub.mac, sub.whole, sub.padded, namespace.encode()))
         return state, _xor(_double(state), sub.whole), _xor(state, sub.whole)
 
-    def known_state(self, namespace: str) -> Column:
-        """State of a namespace the driver knows, as a literal."""
+    def _known_state(self, namespace: str) -> str:
         values = self._known.get(namespace) or self._derive_state(namespace)
-        return _state_struct(*[F.lit(value) for value in values])
+        return _state_struct(*[_literal(value) for value in values])
 
-    def state(self, namespace: Column) -> Column:
-        """State of a namespace column (at most 64 ASCII characters)."""
+    def _state(self, namespace: str) -> str:
         computed = self._computed_state(namespace)
         if not self._known:
             return computed
-        table = F.create_map(
-            *[part for name in self._known for part in (F.lit(name), self.known_state(name))]
-        )
-        return F.coalesce(F.try_element_at(table, namespace), computed)
+        table = ", ".join(f"'{name}', {self._known_state(name)}" for name in self._known)
+        return f"coalesce(try_element_at(map({table}), {namespace}), {computed})"
 
-    def _computed_state(self, namespace: Column) -> Column:
+    def _computed_state(self, namespace: str) -> str:
         sub = self._sub
-        tag = _let(namespace.cast("binary"), lambda data: self._mac(data))
+        tag = _let(f"CAST({namespace} AS BINARY)", self._mac)
         return _let(
-            _xor_block(tag, F.lit(sub.base)),
+            _xor_block(tag, _literal(sub.base)),
             lambda state: _state_struct(
                 state,
-                _xor_block(self._double_state(state), F.lit(sub.whole)),
-                _xor_block(state, F.lit(sub.whole)),
+                _xor_block(_doubled(state), _literal(sub.whole)),
+                _xor_block(state, _literal(sub.whole)),
             ),
         )
 
-    def _mac(self, data: Column) -> Column:
-        """CMAC of a binary column."""
+    def _mac(self, data: str) -> str:
+        """CMAC of a binary variable."""
         sub = self._sub
-        size = F.octet_length(data)
-        exact = (size % BLOCK == 0) & (size > 0)
-        filled = F.when(exact, data).otherwise(
-            F.concat(data, F.lit(_PAD).substr(F.lit(1), BLOCK - size % BLOCK))
+        size = f"octet_length({data})"
+        exact = f"({size} % {BLOCK} = 0 AND {size} > 0)"
+        filled = (
+            f"CASE WHEN {exact} THEN {data}"
+            f" ELSE concat({data}, substring({_literal(_PAD)}, 1, {BLOCK} - {size} % {BLOCK})) END"
         )
-        subkey = F.when(exact, F.lit(sub.whole)).otherwise(F.lit(sub.padded))
+        subkey = f"CASE WHEN {exact} THEN {_literal(sub.whole)} ELSE {_literal(sub.padded)} END"
 
-        def tagged(blocks: Column) -> Column:
-            length = F.octet_length(blocks)
-            last = _xor_block(blocks.substr(length - (BLOCK - 1), F.lit(BLOCK)), subkey)
-            message = F.concat(blocks.substr(F.lit(1), length - BLOCK), last)
-            return _cbc_last(sub.mac, message, length, F.lit(_ZERO))
+        def tagged(blocks: str) -> str:
+            length = f"octet_length({blocks})"
+            last = _let(subkey, lambda k: _xor_block(f"substring({blocks}, {length} - {BLOCK - 1}, {BLOCK})", k))
+            message = f"concat(substring({blocks}, 1, {length} - {BLOCK}), {last})"
+            return _cbc_last(sub.mac, message, length, _literal(_ZERO))
 
         return _let(filled, tagged)
 
-    def _double_state(self, state: Column) -> Column:
-        high, low = _word(state, F.lit(0)), _word(state, F.lit(1))
-        carried = F.shiftleft(high, 1).bitwiseOR(F.shiftrightunsigned(low, 63))
-        reduced = F.shiftleft(low, 1).bitwiseXOR(
-            F.when(high < 0, F.lit(0x87).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        )
-        return F.unhex(F.concat(_hex_word(carried), _hex_word(reduced)))
-
     # -- the synthetic IV ----------------------------------------------------
 
-    def _synthetic_iv(self, state: Column, data: Column) -> Column:
-        size = F.octet_length(data)
+    def _synthetic_iv(self, state: str, data: str) -> str:
+        size = f"octet_length({data})"
         # Up to one block, CBC's own start value does the XOR.
-        start = F.when(size == BLOCK, state["block"]).otherwise(state["short"])
+        start = f"CASE WHEN {size} = {BLOCK} THEN {state}.block ELSE {state}.short END"
         short = _cbc_last(self._sub.mac, _padded_block(data), BLOCK, start)
-        mixed = F.concat(
-            data.substr(F.lit(1), size - BLOCK),
-            _xor_block(data.substr(size - (BLOCK - 1), F.lit(BLOCK)), state["tail"]),
-        )
-        return F.when(size <= BLOCK, short).otherwise(_let(mixed, self._mac))
+        last = _xor_block(f"substring({data}, {size} - {BLOCK - 1}, {BLOCK})", f"{state}.tail")
+        mixed = f"concat(substring({data}, 1, {size} - {BLOCK}), {last})"
+        return f"CASE WHEN {size} <= {BLOCK} THEN {short} ELSE {_let(mixed, self._mac)} END"
 
     # -- the counter stream --------------------------------------------------
 
-    def _apply_stream(self, iv: Column, data: Column) -> Column:
+    def _apply_stream(self, iv: str, data: str) -> str:
         key = self._sub.counter
-        size = F.octet_length(data)
-        blocks = F.ceil(size / BLOCK).cast("int")
+        size = f"octet_length({data})"
+        blocks = f"CAST(({size} + {BLOCK - 1}) DIV {BLOCK} AS INT)"
 
-        def from_start(start: Column) -> Column:
+        def from_start(start: str) -> str:
             """``start`` is the first counter block in hex digits."""
             short = _let(
-                _ecb(key, F.unhex(start)),
-                lambda stream: F.unhex(_xor_words(_padded_block(data), stream, 2)),
+                _ecb(key, f"unhex({start})"), lambda stream: _xor_words(_padded_block(data), stream, 2)
             )
 
-            def with_low(low: Column) -> Column:
+            def with_low(low: str) -> str:
                 # The cleared top bit keeps the carry inside the last 32-bit word.
-                counters = F.transform(
-                    F.sequence(F.lit(0), blocks - 1),
-                    lambda i: F.concat(
-                        start.substr(1, 24), F.hex(F.lit(1 << 32) + low + i).substr(2, 8)
-                    ),
-                )
+                counter = f"concat(substring({start}, 1, 24), substring(hex({1 << 32}L + {low} + i), 2, 8))"
+                counters = f"unhex(array_join(transform(sequence(0, {blocks} - 1), i -> {counter}), ''))"
+
+                def applied(stream: str, filled: str) -> str:
+                    return (
+                        f"CASE WHEN {size} <= {_WORDWISE_BYTES} THEN {_xor_words(filled, stream, f'{blocks} * 2')}"
+                        f" ELSE {self._xor_by_chaining(filled, stream, blocks)} END"
+                    )
+
                 return _let(
-                    _ecb(key, F.unhex(F.array_join(counters, ""))),
+                    _ecb(key, counters),
                     lambda stream: _let(
-                        F.concat(data, F.lit(_PAD)),
-                        lambda filled: F.when(
-                            size <= _WORDWISE_BYTES,
-                            F.unhex(_xor_words(filled, stream, blocks * 2)),
-                        ).otherwise(self._xor_by_chaining(filled, stream, blocks)),
+                        f"concat({data}, {_literal(_PAD)})", lambda filled: applied(stream, filled)
                     ),
                 )
 
-            long = _let(F.conv(start.substr(25, 8), 16, 10).cast("bigint"), with_low)
-            return F.when(size <= BLOCK, short).otherwise(long).substr(F.lit(1), size)
+            long = _let(f"CAST(conv(substring({start}, 25, 8), 16, 10) AS BIGINT)", with_low)
+            return f"substring(CASE WHEN {size} <= {BLOCK} THEN {short} ELSE {long} END, 1, {size})"
 
-        def clear_top(digits: Column, at: int) -> Column:
-            return F.translate(digits.substr(at, 1), "89ABCDEF", "01234567")
+        def clear_top(digits: str, at: int) -> str:
+            return f"translate(substring({digits}, {at}, 1), '89ABCDEF', '01234567')"
 
-        def first_counter(digits: Column) -> Column:
-            return F.concat(
-                digits.substr(1, 16),
-                clear_top(digits, 17),
-                digits.substr(18, 7),
-                clear_top(digits, 25),
-                digits.substr(26, 7),
+        def first_counter(digits: str) -> str:
+            return (
+                f"concat(substring({digits}, 1, 16), {clear_top(digits, 17)}, substring({digits}, 18, 7),"
+                f" {clear_top(digits, 25)}, substring({digits}, 26, 7))"
             )
 
-        return _let(_let(F.hex(iv), first_counter), from_start)
+        return _let(_let(f"hex({iv})", first_counter), from_start)
 
-    def _xor_by_chaining(self, left: Column, right: Column, blocks: Column) -> Column:
+    def _xor_by_chaining(self, left: str, right: str, blocks: str) -> str:
         """XOR of many blocks in one CBC decryption.
 
         CBC decrypts a block X that follows P to D(X) XOR P. With X = E(right) the
@@ -334,94 +424,12 @@ class TokenCipher:
         """
         key = self._sub.counter
 
-        def woven(sealed: Column) -> Column:
-            pairs = F.transform(
-                F.sequence(F.lit(0), blocks - 1),
-                lambda i: F.hex(
-                    F.concat(
-                        left.substr(i * BLOCK + 1, F.lit(BLOCK)),
-                        sealed.substr(i * BLOCK + 1, F.lit(BLOCK)),
-                    )
-                ),
-            )
-            chain = F.concat(F.unhex(F.array_join(pairs, "")), F.lit(self._sub.closing))
-            opened = F.hex(F.aes_decrypt(chain, F.lit(key), F.lit("CBC")))
-            return F.unhex(F.regexp_replace(opened, "(.{32}).{32}", "$1"))
+        def woven(sealed: str) -> str:
+            at = f"i * {BLOCK} + 1, {BLOCK}"
+            pair = f"hex(concat(substring({left}, {at}), substring({sealed}, {at})))"
+            pairs = f"unhex(array_join(transform(sequence(0, {blocks} - 1), i -> {pair}), ''))"
+            chain = f"concat({pairs}, {_literal(self._sub.closing)})"
+            opened = f"hex(aes_decrypt({chain}, {_literal(key)}, 'CBC'))"
+            return f"unhex(regexp_replace({opened}, '(.{{32}}).{{32}}', '$1'))"
 
         return _let(_ecb(key, right), woven)
-
-    # -- bytes in, bytes out -------------------------------------------------
-
-    def seal_bytes(self, state: Column, data: Column) -> Column:
-        return _let(
-            state,
-            lambda state: _let(
-                data,
-                lambda data: _let(
-                    self._synthetic_iv(state, data),
-                    lambda iv: F.concat(iv, self._apply_stream(iv, data)),
-                ),
-            ),
-        )
-
-    def open_bytes(self, state: Column, sealed: Column) -> Column:
-        """The plaintext, or NULL when the synthetic IV does not match."""
-
-        def verified(state: Column, sealed: Column) -> Column:
-            iv = sealed.substr(1, BLOCK)
-            body = sealed.substr(F.lit(BLOCK + 1), F.octet_length(sealed))
-            return _let(
-                self._apply_stream(iv, body),
-                lambda data: F.when(self._synthetic_iv(state, data) == iv, data),
-            )
-
-        return _let(state, lambda s: _let(sealed, lambda b: verified(s, b)))
-
-    # -- tokens --------------------------------------------------------------
-
-    def encrypt(self, namespace: Column | str, text: Column, state: Column | None = None) -> Column:
-        """Token of ``text``. NULL and '' stay as they are; a token or a bad namespace is an error.
-
-        ``state`` is a column made by :meth:`state` beforehand, for callers that
-        compute it once per namespace and join it in.
-        """
-        if isinstance(namespace, str):
-            state = self.known_state(namespace)
-            namespace = F.lit(namespace)
-            allowed = F.lit(True)
-        else:
-            state = self.state(namespace) if state is None else state
-            allowed = tx.is_namespace(namespace)
-
-        def sealed(text: Column) -> Column:
-            body = tx.b64url_encode(self.seal_bytes(state, text.cast("binary")))
-            return (
-                F.when(text == "", text)
-                .when(tx.is_token(text), F.raise_error(F.lit(ENCRYPTED_INPUT)).cast("string"))
-                .when(~allowed, F.raise_error(F.concat(F.lit(BAD_NAMESPACE + ": "), namespace)).cast("string"))
-                .otherwise(F.concat(namespace, F.lit(":"), body))
-            )
-
-        return _let(text, lambda t: F.when(t.isNotNull(), sealed(t)))
-
-    def try_decrypt(self, token: Column) -> Column:
-        """Text of a token; other text unchanged; NULL for a token that fails."""
-
-        def opened(token: Column) -> Column:
-            parts = tx.token_parts(token)
-            data = self.open_bytes(
-                self.state(parts["namespace"]), tx.b64url_decode(parts["ciphertext"])
-            )
-            return F.when(tx.is_token(token), F.try_validate_utf8(data.cast("string"))).otherwise(token)
-
-        return _let(token, opened)
-
-    def decrypt(self, token: Column) -> Column:
-        """Like :meth:`try_decrypt`, but a token that fails is an error."""
-        return _let(
-            token,
-            lambda t: F.when(
-                t.isNotNull(),
-                F.coalesce(self.try_decrypt(t), F.raise_error(F.lit(BAD_TOKEN)).cast("string")),
-            ),
-        )

@@ -90,10 +90,10 @@ def encrypt_cells(
     The cipher state is computed once per column, not per cell.
     """
     slug = tx.namespace_slug(F.col("header"), F.col("col"))
-    with_state = selected.withColumn("state", cipher.state(slug))
+    with_state = selected.withColumn("_slug", slug).withColumn("state", cipher.state("_slug"))
     marked = data_rows(cells, with_state, small)
     touched = F.col("namespace").isNotNull()
-    token = cipher.encrypt(F.col("namespace"), F.col("value"), F.col("state"))
+    token = cipher.encrypt_by("namespace", "value", "state")
     return marked.select(
         *_but(cells, "cell_type", "ss_index", "value"),
         F.when(touched, _written_type(F.col("formula"))).otherwise(F.col("cell_type")).alias("cell_type"),
@@ -116,7 +116,7 @@ def decrypt_cells(cells: DataFrame, cipher: TokenCipher, strict: bool = True) ->
     """
     direct = F.coalesce(F.col("cell_type") != "s", F.lit(True))
     held = direct & tx.is_token(F.col("value"))
-    text = cipher.decrypt(F.col("value")) if strict else cipher.try_decrypt(F.col("value"))
+    text = cipher.decrypt("value") if strict else cipher.try_decrypt("value")
     opened = cells.withColumn("_plain", F.when(held, text))
     restored = F.col("_plain").isNotNull()
     retyped = F.when(F.col("formula").isNotNull(), "str").otherwise(restored_type(F.col("_plain")))

@@ -21,8 +21,9 @@ def column_namespaces(df: DataFrame, columns: Iterable[str]) -> dict[str, str]:
     return dict(zip(names, row, strict=True))
 
 
-def _sealed(text: Column, namespace: str, cipher: TokenCipher) -> Column:
-    return F.when(tx.is_skip_value(text), text).otherwise(cipher.encrypt(namespace, text))
+def _sealed(column: str, namespace: str, cipher: TokenCipher) -> Column:
+    text = F.col(f"`{column}`")
+    return F.when(tx.is_skip_value(text), text).otherwise(cipher.encrypt(namespace, f"`{column}`"))
 
 
 def encrypt_columns(
@@ -38,11 +39,11 @@ def encrypt_columns(
     encrypted once and joined back.
     """
     spaces = {**column_namespaces(df, columns), **(namespaces or {})}
-    direct = {c: _sealed(F.col(f"`{c}`"), spaces[c], cipher) for c in columns if c not in repeated}
+    direct = {c: _sealed(c, spaces[c], cipher) for c in columns if c not in repeated}
     result = df.withColumns(direct) if direct else df
     for c in repeated:
         values = df.select(F.col(f"`{c}`").alias("_value")).where("_value <> ''").distinct()
-        tokens = values.withColumn("_token", _sealed(F.col("_value"), spaces[c], cipher))
+        tokens = values.withColumn("_token", _sealed("_value", spaces[c], cipher))
         others = [F.col(f"`{name}`") for name in df.columns if name != c]
         joined = lookup_join(
             result.withColumnRenamed(c, "_value"),
@@ -60,7 +61,7 @@ def decrypt_columns(
 ) -> DataFrame:
     """Restore tokens; other text stays. Without ``strict`` a token that fails becomes NULL."""
     opened = cipher.decrypt if strict else cipher.try_decrypt
-    return df.withColumns({c: opened(F.col(f"`{c}`")) for c in columns})
+    return df.withColumns({c: opened(f"`{c}`") for c in columns})
 
 
 def replace_in_columns(

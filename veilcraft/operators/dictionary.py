@@ -40,7 +40,7 @@ def decrypt_dictionary(shared_strings: DataFrame, cipher: TokenCipher, strict: b
 
     With ``strict=False`` a run that fails keeps its text and is counted in ``failed``.
     """
-    opened = F.transform("runs", cipher.decrypt if strict else cipher.try_decrypt)
+    opened = cipher.decrypt_each("runs", strict)
     kept = F.zip_with(opened, F.col("runs"), lambda new, old: F.coalesce(new, old))
     held = F.transform("runs", lambda run: tx.token_parts(run)["namespace"])
     names = F.filter(held, lambda name: name.isNotNull())

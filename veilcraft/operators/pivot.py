@@ -60,7 +60,7 @@ def flag_encrypted_fields(fields: DataFrame, matched: DataFrame) -> DataFrame:
 
 def _encrypt(values: DataFrame, matched: DataFrame, cipher: TokenCipher, spread: str) -> DataFrame:
     lookup = matched.select(*FIELD, F.col("namespace").alias("_ns")).withColumn(
-        "state", cipher.state(F.col("_ns"))
+        "state", cipher.state("_ns")
     )
     joined = lookup_join(values, lookup, FIELD, [spread])
     wanted = (
@@ -69,7 +69,7 @@ def _encrypt(values: DataFrame, matched: DataFrame, cipher: TokenCipher, spread:
         & ~tx.is_blank(F.col("v"))
         & ~tx.is_skip_value(F.col("v"))
     )
-    token = cipher.encrypt(F.col("_ns"), F.col("v"), F.col("state"))
+    token = cipher.encrypt_by("_ns", "v", "state")
     return joined.select(
         *[c for c in values.columns if c not in ("tag", "v")],
         F.when(wanted, "s").otherwise(F.col("tag")).alias("tag"),
@@ -91,7 +91,7 @@ def encrypt_records(records: DataFrame, matched: DataFrame, cipher: TokenCipher)
 def decrypt_values(values: DataFrame, cipher: TokenCipher, strict: bool = True) -> DataFrame:
     """Restore any token in ``v``. The tag stays: pivot values do not turn back into numbers."""
     held = tx.is_token(F.col("v"))
-    text = cipher.decrypt(F.col("v")) if strict else cipher.try_decrypt(F.col("v"))
+    text = cipher.decrypt("v") if strict else cipher.try_decrypt("v")
     opened = values.withColumn("_plain", F.when(held, text))
     return opened.select(
         *[c for c in values.columns if c != "v"],

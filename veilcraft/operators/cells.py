@@ -46,7 +46,8 @@ def _but(df: DataFrame, *names: str) -> list[str]:
 
 def requested_keys(spark: SparkSession, keys: Iterable[str]) -> DataFrame:
     """Column keys of one request as a table; malformed keys are dropped."""
-    table = spark.createDataFrame([(key,) for key in dict.fromkeys(keys)], "key string")
+    listed = F.array(*[F.lit(key) for key in dict.fromkeys(keys)])
+    table = spark.range(0, 1, 1, 1).select(F.explode(listed).alias("key"))
     parts = tx.column_key_parts(F.col("key"))
     return table.select(parts.alias("p")).where("p IS NOT NULL").select("p.*").distinct()
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilcraft.functions import text as tx
 from veilcraft.operators.joins import lookup_join
-from veilcraft.session import materialize
+from veilcraft.session import materialize_all
 
 HEADER_ROWS = 10  # fixed value
 SHEET = ["file_path", "sheet_index", "sheet_name"]
@@ -66,8 +66,8 @@ def discover_columns(cells: DataFrame) -> DataFrame:
     The small intermediate results are written to the shared folder, so the big
     table is read twice; a third time only for sheets that begin below row 10.
     """
-    extents = materialize(column_extents(cells), "extents")
-    head = materialize(_head_cells(cells), "head")
+    small = materialize_all(extents=column_extents(cells), head=_head_cells(cells))
+    extents, head = small["extents"], small["head"]
     first = extents.groupBy(*SHEET).agg(F.min("first_row").alias("first_row"))
     rows = first.join(_picked(_scored(head)), SHEET, "left").select(
         *SHEET, F.coalesce("picked", "first_row").alias("header_row")

@@ -66,7 +66,11 @@ def _sheet(
 ) -> DataFrame:
     """Cells of a sheet with a title in row 1 and headers in row 2."""
     top = [(1, "A", title)] + [(2, chr(65 + i), h) for i, h in enumerate(headers)]
-    head = spark.createDataFrame(top, "row bigint, col string, value string")
+    cells = [
+        F.struct(F.lit(r).cast("bigint").alias("row"), F.lit(c).alias("col"), F.lit(v).alias("value"))
+        for r, c, v in top
+    ]
+    head = spark.range(0, 1, 1, 1).select(F.inline(F.array(*cells)))
     return head.unionByName(body).select(
         F.lit("parties.xlsx").alias("file_path"), F.lit(index).alias("sheet_index"),
         F.lit(name).alias("sheet_name"), "row", "col",

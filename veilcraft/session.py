@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +71,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_all(**tables: DataFrame) -> dict[str, DataFrame]:
+    """:func:`materialize` several tables at once, as concurrent jobs."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        written = {label: pool.submit(materialize, df, label) for label, df in tables.items()}
+    return {label: future.result() for label, future in written.items()}

@@ -165,6 +165,12 @@ def _state_struct(tail: str, short: str, block: str) -> str:
     return f"named_struct('tail', {tail}, 'short', {short}, 'block', {block})"
 
 
+def _encoded(data: str) -> str:
+    """Unpadded URL-safe Base64. ``replace`` is several times faster than ``translate`` on long text."""
+    plain = f"replace(rtrim('=', base64({data})), '\\r\\n', '')"
+    return f"replace(replace({plain}, '+', '-'), '/', '_')"
+
+
 def _is_token(text: str) -> str:
     return f"(rlike({text}, r'{tx.TOKEN_PATTERN}') AND (length({text}) - locate(':', {text})) % 4 <> 1)"
 
@@ -263,7 +269,7 @@ class TokenCipher:
 
     def _token(self, namespace: str, text: str, state: str, allowed: str) -> str:
         def sealed(t: str) -> str:
-            body = f"translate(base64({self._seal(state, f'CAST({t} AS BINARY)')}), '+/=\\r\\n', '-_')"
+            body = _encoded(self._seal(state, f"CAST({t} AS BINARY)"))
             return (
                 f"CASE WHEN {t} = '' THEN {t}"
                 f" WHEN {_is_token(t)} THEN CAST(raise_error('{ENCRYPTED_INPUT}') AS STRING)"
@@ -276,7 +282,7 @@ class TokenCipher:
     def _opened(self, text: str, strict: bool) -> str:
         def opened(t: str) -> str:
             namespace = f"substring_index({t}, ':', 1)"
-            sealed = f"unbase64(translate(substring_index({t}, ':', -1), '-_', '+/'))"
+            sealed = f"unbase64(replace(replace(substring_index({t}, ':', -1), '-', '+'), '_', '/'))"
             plain = f"try_validate_utf8(CAST({self._open(self._state(namespace), sealed)} AS STRING))"
             if strict:
                 plain = f"coalesce({plain}, CAST(raise_error('{BAD_TOKEN}') AS STRING))"

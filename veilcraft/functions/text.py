@@ -159,11 +159,12 @@ def column_order(col: Column) -> Column:
 
 def b64url_encode(data: Column) -> Column:
     """Unpadded URL-safe Base64; also drops the line breaks Spark's ``base64`` inserts."""
-    return F.translate(F.base64(data), "+/=\r\n", "-_")
+    plain = F.replace(F.rtrim(F.base64(data), F.lit("=")), F.lit("\r\n"), F.lit(""))
+    return F.replace(F.replace(plain, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
 
 
 def b64url_decode(text: Column) -> Column:
-    return F.unbase64(F.translate(text, "-_", "+/"))
+    return F.unbase64(F.replace(F.replace(text, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/")))
 
 
 def is_token(text: Column) -> Column:

@@ -13,6 +13,7 @@ from veilcraft.functions import text as tx
 from veilcraft.functions.cipher import TokenCipher
 from veilcraft.functions.replace import replaced_by, rules_literal
 from veilcraft.operators.joins import lookup_join
+from veilcraft.session import materialize
 
 OUT_OF_RANGE = "Shared-string cell index is out of range"
 # Entries ranked by one task; offsets of the ranges come from their counts.
@@ -66,26 +67,31 @@ def _references(cells: DataFrame) -> DataFrame:
 def rebuild_dictionary(cells: DataFrame, shared_strings: DataFrame) -> DataFrame:
     """Keep referenced entries only and renumber them densely in their old order.
 
-    Returns the new dictionary with ``old_index`` and ``uses``. Ranks are taken
-    inside fixed index ranges and shifted by the entries of earlier ranges, so a
-    huge dictionary is not ranked by a single task.
+    Returns the new dictionary with ``old_index`` and ``uses``. The references are
+    counted once and kept in the shared folder, so the cells are read once. Ranks
+    are taken over index and count alone, inside fixed index ranges, and shifted by
+    the entries of earlier ranges: a huge dictionary is not ranked by a single task.
     """
-    kept = shared_strings.join(_references(cells), ["file_path", "ss_index"]).withColumn(
-        "_range", F.floor(F.col("ss_index") / RANGE_ENTRIES)
-    )
+    keys = shared_strings.select("file_path", "ss_index")
+    used = materialize(_references(cells).join(keys, ["file_path", "ss_index"]), "references")
+    used = used.withColumn("_range", F.expr(f"ss_index DIV {RANGE_ENTRIES}"))
     within = Window.partitionBy("file_path", "_range").orderBy("ss_index")
-    ranked = kept.withColumn("_rank", F.row_number().over(within) - 1)
     earlier = (
         Window.partitionBy("file_path").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        kept.groupBy("file_path", "_range")
+        used.groupBy("file_path", "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("file_path", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
-    return ranked.join(offsets, ["file_path", "_range"]).select(
+    ranked = (
+        used.withColumn("_rank", F.row_number().over(within) - 1)
+        .join(offsets, ["file_path", "_range"])
+        .select("file_path", "ss_index", (F.col("_offset") + F.col("_rank")).alias("_new"), "uses")
+    )
+    return shared_strings.join(ranked, ["file_path", "ss_index"]).select(
         "file_path",
-        (F.col("_offset") + F.col("_rank")).cast("bigint").alias("ss_index"),
+        F.col("_new").cast("bigint").alias("ss_index"),
         *[c for c in shared_strings.columns if c not in ("file_path", "ss_index")],
         F.col("ss_index").alias("old_index"),
         "uses",

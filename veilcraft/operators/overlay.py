@@ -16,7 +16,7 @@ from veilcraft.functions.replace import Rule
 
 # Edge of the grid squares that pair hits with spans, in page units.
 GRID = 64.0
-HIT = ["doc", "page", "hit_id"]
+BOX = ["doc", "page", "x0", "y0", "x1", "y1"]
 
 
 def find_hits(spans: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
@@ -67,16 +67,17 @@ def _squares(low: str, high: str) -> Column:
 
 
 def best_spans(hits: DataFrame, spans: DataFrame) -> DataFrame:
-    """For each hit the span that shares the largest area; the first span wins a tie.
+    """For each distinct hit box the span that shares the largest area; the first span wins a tie.
 
-    Both sides go to the grid squares they touch and meet per square, so a page
-    that holds most of the corpus is split by position and only neighbours pair up.
+    Copies of one box count once on both sides: the first of equal spans would win
+    anyway. Both sides go to the grid squares they touch and meet per square, so a
+    page that holds most of the corpus is split by position and only neighbours pair up.
     """
-    placed = hits.select(*HIT, "x0", "y0", "x1", "y1")
+    placed = hits.select(*BOX).distinct()
     placed = placed.withColumn("_gx", _squares("x0", "x1")).withColumn("_gy", _squares("y0", "y1"))
-    boxes = spans.select(
-        "doc", "page", "span_id", "size", "color", "font", "origin_y",
-        *[F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")],
+    style = F.struct("span_id", "size", "color", "font", "origin_y")
+    boxes = spans.groupBy(*BOX).agg(F.min_by(style, "span_id").alias("span")).select(
+        "doc", "page", "span", *[F.col(c).alias(f"s_{c}") for c in BOX[2:]]
     )
     boxes = boxes.withColumn("_gx", _squares("s_x0", "s_x1")).withColumn("_gy", _squares("s_y0", "s_y1"))
     touching = (
@@ -84,14 +85,15 @@ def best_spans(hits: DataFrame, spans: DataFrame) -> DataFrame:
         & (F.col("y0") < F.col("s_y1")) & (F.col("s_y0") < F.col("y1"))
     )
     paired = placed.join(boxes, ["doc", "page", "_gx", "_gy"]).where(touching)
-    rank = F.struct(geo.overlap_area("", "s_").alias("area"), (-F.col("span_id")).alias("order"))
-    style = F.struct("span_id", "size", "color", "font", "origin_y")
-    return paired.groupBy(*HIT).agg(F.max_by(style, rank).alias("span"), F.max(rank)["area"].alias("area"))
+    rank = F.struct(geo.overlap_area("", "s_").alias("area"), (-F.col("span.span_id")).alias("order"))
+    return paired.groupBy(*BOX).agg(F.max_by("span", rank).alias("span"))
 
 
 def overlay_styles(hits: DataFrame, spans: DataFrame) -> DataFrame:
     """Font size, colour, font and baseline for every hit, from its best span or its own height."""
-    styled = hits.join(best_spans(hits, spans), HIT, "left")
+    # About one lookup row per hit, so copying the lookup to salts would cost more than it
+    # spreads; adaptive execution splits the partition of a box with very many copies.
+    styled = hits.join(best_spans(hits, spans), BOX, "left")
     height = F.col("y1") - F.col("y0")
     fallback = geo.clamp_size(height * geo.HEIGHT_TO_SIZE)
     own_size = geo.clamp_size(F.coalesce(F.nullif(F.col("span.size"), F.lit(0.0)), fallback))

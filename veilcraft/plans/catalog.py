@@ -18,7 +18,7 @@ from veilcraft.operators import (
     audit, cells as cell_ops, columns, dictionary, discover, gates, jobs, overlay, paragraphs, pivot,
 )
 from veilcraft.plans import documents as document_plans, workbook
-from veilcraft.session import work_path
+from veilcraft.session import widen, work_path
 from veilcraft.sources import packages
 from veilcraft.streaming import jobs as streams
 
@@ -43,6 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table ahead of heavy work per row."""
+    return widen(table(spark, sf_dir, name).select(*columns))
+
+
 def sample_cipher(spark: SparkSession, *namespaces: str) -> TokenCipher:
     return TokenCipher(spark, CipherKey(SAMPLE_KEY), namespaces)
 
@@ -83,7 +88,8 @@ def _sheet(
 
 def party_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers as a workbook of two sheets."""
-    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    customer = spread_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    supplier = table(spark, sf_dir, "supplier")
     first = _unpivot(
         customer, F.col("c_custkey") + 3,
         [F.col(c) for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")],
@@ -131,7 +137,7 @@ def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_pivot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Orders as a pivot cache: fields, items, records, and the selected sheet columns."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread_table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
     place = [F.lit("orders.xlsx").alias("file_path"), F.lit("cache1").alias("cache")]
     fields = spark.createDataFrame(
         [(0, "ORDER status", "1", "0"), (1, "Order-Priority", "1", None), (2, "Price", None, "1")],
@@ -165,7 +171,7 @@ def order_pivot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 def document_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as one paragraph each, whose runs are the lines."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents", "doc_id", "text").select(
         F.col("doc_id").alias("doc"), F.lit("word/document.xml").alias("part"), F.lit(0).alias("para_index"),
         F.split("text", "\n").alias("runs"),
     )
@@ -180,7 +186,7 @@ def conversation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents as text spans, six units per character."""
-    lines = table(spark, sf_dir, "documents").select(
+    lines = spread_table(spark, sf_dir, "documents", "doc_id", "text").select(
         F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("span_id", "text")
     ).where("text <> ''")
     top = F.col("span_id") * 12.0
@@ -233,7 +239,7 @@ def member_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def replace_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     return columns.replace_in_columns(docs, ["text"], TEXT_RULES)
 
 
@@ -487,7 +493,7 @@ def data_rows(spark, sf_dir):
 @query
 def encrypt_roundtrip(spark, sf_dir):
     cipher = sample_cipher(spark, "c-name")
-    sealed = columns.encrypt_columns(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"], cipher)
+    sealed = columns.encrypt_columns(spread_table(spark, sf_dir, "customer", "c_custkey", "c_name"), ["c_name"], cipher)
     return sealed.select(
         "c_custkey", cipher.decrypt("c_name").alias("c_name"), F.substring_index("c_name", ":", 1).alias("namespace"),
         F.length("c_name").cast("bigint").alias("token_chars"),
@@ -497,7 +503,7 @@ def encrypt_roundtrip(spark, sf_dir):
 @query
 def encrypt_documents_roundtrip(spark, sf_dir):
     cipher = sample_cipher(spark, "text")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     sealed = columns.encrypt_columns(docs, ["text"], cipher)
     return sealed.select("doc_id", cipher.decrypt("text").alias("text"), F.length("text").cast("bigint").alias("token_chars"))
 
@@ -514,9 +520,11 @@ def encrypt_group_counts(spark, sf_dir):
 def encrypt_join(spark, sf_dir):
     cipher = sample_cipher(spark)
     space = {"key": "customer-key"}
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), "o_orderstatus")
+    orders = spread_table(spark, sf_dir, "orders", "o_custkey", "o_orderstatus").select(
+        F.col("o_custkey").cast("string").alias("key"), "o_orderstatus"
+    )
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), "c_mktsegment")
-    left = columns.encrypt_columns(orders, ["key"], cipher, space)
+    left = columns.encrypt_columns(orders, ["key"], cipher, space, repeated=["key"])
     right = columns.encrypt_columns(customer, ["key"], cipher, space)
     return left.join(right, "key").groupBy("c_mktsegment", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
@@ -524,7 +532,7 @@ def encrypt_join(spark, sf_dir):
 @query
 def encrypt_tampered(spark, sf_dir):
     cipher = sample_cipher(spark, "c-name")
-    sealed = columns.encrypt_columns(table(spark, sf_dir, "customer").select("c_name", "c_mktsegment"), ["c_name"], cipher)
+    sealed = columns.encrypt_columns(spread_table(spark, sf_dir, "customer", "c_name", "c_mktsegment"), ["c_name"], cipher)
     at = F.length("c_name") - 8
     swapped = F.translate(F.col("c_name").substr(at, F.lit(1)), "ABCDEFGHabcdefgh01234567-_", "BADCFEHGbadcfehg10325476_-")
     broken = F.concat(F.col("c_name").substr(F.lit(1), at - 1), swapped, F.col("c_name").substr(at + 1, F.lit(8)))

@@ -62,6 +62,17 @@ def work_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a table that is read in fewer tasks than there are cores, ahead of heavy work per row.
+
+    A file with one row group is one task, however many cores wait. Inputs with
+    enough splits are returned as they are; others split at most eight ways.
+    """
+    splits = max(df.rdd.getNumPartitions(), 1)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if splits >= cores else df.repartition(min(cores, splits * 8))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import builders as b
-from veilcraft.operators.gates import package_gate, upload_gate
+from veilcraft.operators.gates import GateError, package_gate, upload_gate
 from veilcraft.operators.paragraphs import document_totals, replace_paragraphs
 from veilcraft.plans import workbook as plan
 from veilcraft.operators import cells as cell_ops
@@ -222,3 +222,19 @@ def test_tables_are_never_overwritten_by_accident(spark, tmp_path):
     assert spark.read.parquet(out).count() == 5
     with pytest.raises(ValueError, match="must be different"):
         write_table(spark.read.parquet(out), out, force=True)
+
+
+def test_one_fault_rejects_the_whole_file(spark, tmp_path):
+    b.write_zip(tmp_path / "good.xlsx", b.workbook({"Data": b.clients_sheet()}))
+    (tmp_path / "junk.xlsx").write_bytes(b"not a zip")
+    b.write_zip(tmp_path / "half.xlsx", b.workbook({"A": b.clients_sheet(), "B": "<broken"}))
+    b.write_zip(tmp_path / "bare.xlsx", {"xl/workbook.xml": "<x/>"})
+    parts = read(spark, tmp_path)
+    with pytest.raises(GateError):
+        plan.load_workbooks(parts)
+    book = plan.load_workbooks(parts, strict=False)
+    assert {r[0].rsplit("/", 1)[1] for r in book.cells.select("file_path").distinct().collect()} == {"good.xlsx"}
+    errors = {r["file_path"].rsplit("/", 1)[1]: r["error"] for r in book.errors.collect()}
+    assert errors["junk.xlsx"] == "Input is not a readable XLSX workbook"
+    assert errors["bare.xlsx"] == "Input is not a valid XLSX workbook package"
+    assert errors["half.xlsx"].startswith("xl/worksheets/sheet2.xml") and len(errors) == 3

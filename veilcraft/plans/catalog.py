@@ -6,9 +6,12 @@ work grows with the tables.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilcraft.functions import geometry, names, rules as checks, text as tx
@@ -234,6 +237,130 @@ def member_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _xml(text: Column | str) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def _zip_members(batches):
+    for batch in batches:
+        for path, members in zip(batch["path"], batch["members"], strict=True):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                for member in members:
+                    archive.writestr(member["name"], member["text"])
+            yield pd.DataFrame({"path": [path], "content": [buffer.getvalue()]})
+
+
+def _packed(files: DataFrame, members: dict[str, Column]) -> DataFrame:
+    """Files (path, content) zipped from text columns."""
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in members.items()])
+    return files.select("path", listed.alias("members")).mapInPandas(_zip_members, "path string, content binary")
+
+
+def _joined(name: str) -> Column:
+    return F.array_join(F.transform("rows", lambda r: r[name]), "")
+
+
+def customer_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as zipped workbooks of fifty rows each, with a dictionary and a pivot cache."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rels = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
+    at = F.col("at").cast("string")
+    row = F.format_string(
+        '<row r="%s"><c r="A%s" t="s"><v>%s</v></c><c r="B%s" t="inlineStr"><is><t>%s</t></is></c><c r="C%s"><v>%s</v></c></row>',
+        at, at, (F.col("at") - 1).cast("string"), at, _xml("c_mktsegment"), at, F.col("c_acctbal").cast("string"),
+    )
+    columns_of = {
+        "row": row,
+        "entry": F.format_string("<si><r><t>%s</t></r><r><t>%s</t></r></si>", F.substring("c_name", 1, 8), F.expr("substring(c_name, 9)")),
+        "item": F.format_string('<s v="%s"/>', F.col("c_mktsegment")),
+        "record": F.format_string('<r><x v="%s"/><n v="%s"/></r>', (F.col("at") - 1).cast("string"), F.col("c_acctbal").cast("string")),
+    }
+    customer = table(spark, sf_dir, "customer").withColumn("at", F.col("c_custkey") % 50 + 1)
+    files = customer.groupBy(F.expr("concat('book-', c_custkey DIV 50, '.xlsx')").alias("path")).agg(
+        F.array_sort(F.collect_list(F.struct("at", *[c.alias(n) for n, c in columns_of.items()]))).alias("rows")
+    )
+    pivot_name = "xl/pivotCache/pivotCache"
+    return _packed(files, {
+        "[Content_Types].xml": F.lit("<Types/>"),
+        "xl/workbook.xml": F.lit(
+            f'<workbook {main} xmlns:r="{office}"><sheets><sheet name="Main" sheetId="1" r:id="a"/></sheets></workbook>'
+        ),
+        "xl/_rels/workbook.xml.rels": F.lit(
+            f'<Relationships {rels}><Relationship Id="a" Type="{office}/worksheet" Target="sub/../worksheets/main.xml"/></Relationships>'
+        ),
+        "xl/worksheets/main.xml": F.concat(F.lit(f"<worksheet {main}><sheetData>"), _joined("row"), F.lit("</sheetData></worksheet>")),
+        "xl/sharedStrings.xml": F.concat(F.lit(f"<sst {main}>"), _joined("entry"), F.lit("</sst>")),
+        f"{pivot_name}Definition1.xml": F.concat(
+            F.lit(f'<pivotCacheDefinition {main}><cacheFields><cacheField name="Segment"><sharedItems>'), _joined("item"),
+            F.lit('</sharedItems></cacheField><cacheField name="Balance"/></cacheFields></pivotCacheDefinition>'),
+        ),
+        f"{pivot_name}Records1.xml": F.concat(F.lit(f"<pivotCacheRecords {main}>"), _joined("record"), F.lit("</pivotCacheRecords>")),
+        "xl/pivotCache/_rels/pivotCacheDefinition1.xml.rels": F.lit(
+            f'<Relationships {rels}><Relationship Id="z" Type="{office}/pivotCacheRecords" Target="pivotCacheRecords1.xml"/></Relationships>'
+        ),
+    })
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as zipped word-processor files: one paragraph whose runs are the lines, and a header."""
+    word = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    runs = F.array_join(
+        F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit("<w:r><w:t>"), _xml(t), F.lit("</w:t></w:r>"))), ""
+    )
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text").select(
+        F.format_string("%d.docx", "doc_id").alias("path"), runs.alias("runs"), F.col("doc_id").cast("string").alias("name")
+    )
+    listed = docs.withColumn("body", F.concat(F.lit(f"<w:document {word}><w:body><w:p>"), "runs", F.lit("</w:p></w:body></w:document>")))
+    head = F.concat(F.lit(f"<w:hdr {word}><w:p><w:r><w:t>Document </w:t></w:r><w:r><w:t>"), "name", F.lit("</w:t></w:r></w:p></w:hdr>"))
+    members = F.array(*[
+        F.struct(F.lit(n).alias("name"), t.alias("text"))
+        for n, t in {
+            "[Content_Types].xml": F.lit("<Types/>"), "word/document.xml": F.col("body"), "word/header1.xml": head,
+            "word/styles.xml": head,
+        }.items()
+    ])
+    return listed.select("path", members.alias("members")).mapInPandas(_zip_members, "path string, content binary")
+
+
+# --- packages ---------------------------------------------------------------------
+
+
+@query
+def package_cells(spark, sf_dir):
+    """Zipped workbooks read back: members, sheets, dictionary and cells."""
+    book = workbook.load_workbooks(packages.unzip(customer_books(spark, sf_dir)), strict=False)
+    return workbook.decoded(book).select("file_path", "sheet_index", "sheet_name", "row", "col", "cell_type", "value")
+
+
+@query
+def package_sheets(spark, sf_dir):
+    sheets = packages.workbook_sheets(packages.unzip(customer_books(spark, sf_dir)))
+    return sheets.select("file_path", "sheet_name", "part", "error")
+
+
+@query
+def package_pivots(spark, sf_dir):
+    """Pivot records with the items they refer to."""
+    book = workbook.load_workbooks(packages.unzip(customer_books(spark, sf_dir)), strict=False)
+    items = book.pivot_items.select(
+        "file_path", "cache", "field_index", F.col("item_index").cast("string").alias("v"), F.col("v").alias("item")
+    ).withColumn("tag", F.lit("x"))
+    seen = book.pivot_records.join(items, ["file_path", "cache", "field_index", "tag", "v"], "left")
+    return seen.select("file_path", "row", "field_index", "tag", F.coalesce("item", "v").alias("v"))
+
+
+@query
+def package_documents(spark, sf_dir):
+    """Zipped documents read back and replaced: totals per part."""
+    found = packages.paragraphs(packages.unzip(document_files(spark, sf_dir), "docx"))
+    done = paragraphs.replace_paragraphs(found, LINE_RULES)
+    return done.select("doc", "part", "para_index", F.array_join("runs", "\n").alias("text"), "replacements")
+
+
 # --- replacement ------------------------------------------------------------------
 
 
@@ -303,7 +430,7 @@ def rules_from_json(spark, sf_dir):
     mode = F.when(F.col("c_acctbal") < 0, "decrypt").otherwise("replace")
     parsed = table(spark, sf_dir, "customer").select("c_custkey", checks.parse_replacement_rules(raw, mode).alias("p"))
     return parsed.select(
-        "c_custkey", F.size("p.rules").cast("bigint").alias("n_rules"), F.get("p.rules", 0)["find"].alias("find"),
+        "c_custkey", F.array_size("p.rules").cast("bigint").alias("n_rules"), F.get("p.rules", 0)["find"].alias("find"),
         F.get("p.rules", 0)["replace"].alias("put"), F.col("p.error").alias("error"),
     )
 

@@ -354,4 +354,24 @@ ORACLES: dict[str, str] = {
     "expired_jobs_stream": "SELECT event_id AS token FROM events WHERE date_trunc('minute', ts) + INTERVAL 60 SECONDS"
     " <= (SELECT MAX(ts) FROM events) - INTERVAL 900 SECONDS",
 }
+_BOOK = "'book-' || (c_custkey // 50) || '.xlsx' AS file_path"
+ORACLES["package_cells"] = (
+    f"SELECT {_BOOK}, 0 AS sheet_index, 'Main' AS sheet_name, c_custkey % 50 + 1 AS \"row\", k.col, k.cell_type,"
+    " CASE k.col WHEN 'A' THEN c_name WHEN 'B' THEN c_mktsegment ELSE CAST(c_acctbal AS VARCHAR) END AS value"
+    " FROM customer, (VALUES ('A', 's'), ('B', 'inlineStr'), ('C', NULL)) AS k(col, cell_type)"
+)
+ORACLES["package_sheets"] = (
+    f"SELECT DISTINCT {_BOOK}, 'Main' AS sheet_name, 'xl/worksheets/main.xml' AS part, CAST(NULL AS VARCHAR) AS error FROM customer"
+)
+ORACLES["package_pivots"] = (
+    f"SELECT {_BOOK}, c_custkey % 50 AS \"row\", f.i AS field_index, f.tag, CASE f.i WHEN 0 THEN c_mktsegment ELSE CAST(c_acctbal AS VARCHAR) END AS v"
+    " FROM customer, (VALUES (0, 'x'), (1, 'n')) AS f(i, tag)"
+)
+ORACLES["package_documents"] = (
+    "SELECT doc_id || '.docx' AS doc, part, 0 AS para_index, text, replacements FROM (SELECT *, 'word/document.xml' AS part FROM ("
+    + _two_passes("SELECT doc_id, string_split(text, chr(10)) AS runs FROM documents", "doc_id", catalog.LINE_RULES, "chr(10)", "replacements")
+    + ") UNION ALL SELECT *, 'word/header1.xml' AS part FROM ("
+    + _two_passes("SELECT doc_id, ['Document ', CAST(doc_id AS VARCHAR)] AS runs FROM documents", "doc_id", catalog.LINE_RULES, "chr(10)", "replacements")
+    + "))"
+)
 ORACLES["replace_stream"] = ORACLES["replace_documents"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, replace as with_fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,9 +12,9 @@ from veilcraft.functions import text as tx
 from veilcraft.functions.cipher import TokenCipher
 from veilcraft.operators import audit, cells as cell_ops, dictionary, pivot
 from veilcraft.operators.discover import describe_sheets, discover_columns
-from veilcraft.operators.gates import require_changes
+from veilcraft.operators.gates import package_gate, require, require_changes
 from veilcraft.operators.joins import fits_broadcast
-from veilcraft.session import materialize
+from veilcraft.session import materialize, materialize_all
 from veilcraft.sources import packages
 
 # Namespaces found in tokens become literals of the plan up to this many.
@@ -29,17 +30,53 @@ class Workbooks:
     pivot_fields: DataFrame | None = None
     pivot_items: DataFrame | None = None
     pivot_records: DataFrame | None = None
+    errors: DataFrame | None = None
 
 
-def load_workbooks(parts: DataFrame) -> Workbooks:
-    """Tables of the packages in ``parts`` (see :mod:`veilcraft.sources.packages`)."""
-    fields = packages.pivot_fields(parts)
+def load_workbooks(parts: DataFrame, strict: bool = True) -> Workbooks:
+    """Tables of the packages in ``parts`` (see :mod:`veilcraft.sources.packages`).
+
+    Files are unzipped and their XML is parsed once, into tables in the shared
+    folder. Any fault of a file rejects the whole file: an error if ``strict``,
+    else it is left out of all tables and listed in ``errors``.
+    """
+    parts = materialize(parts, "parts")
+    sheets = packages.workbook_sheets(parts)
+    parsed = materialize_all(
+        sheets=sheets,
+        cells=packages.cells(parts, sheets),
+        strings=packages.shared_strings(parts),
+        fields=packages.pivot_fields(parts),
+        records=packages.pivot_records(parts),
+    )
+    found = [
+        parts,
+        package_gate(parts.where("ordinal IS NOT NULL")),
+        *[parsed[name] for name in ("strings", "sheets", "cells", "fields", "records")],
+    ]
+    ranked = [
+        df.where("error IS NOT NULL").select("file_path", F.lit(i).alias("rank"), "error")
+        for i, df in enumerate(found)
+    ]
+    errors = materialize(
+        reduce(DataFrame.unionByName, ranked)
+        .groupBy("file_path")
+        .agg(F.min(F.struct("rank", "error"))["error"].alias("error")),
+        "errors",
+    )
+    if strict:
+        require(errors)
+    else:
+        faulty = errors.select("file_path")
+        faulty = F.broadcast(faulty) if fits_broadcast(faulty) else faulty
+        parsed = {name: df.join(faulty, "file_path", "left_anti") for name, df in parsed.items()}
     return Workbooks(
-        packages.cells(parts).drop("error"),
-        packages.shared_strings(parts).drop("error"),
-        fields.drop("items", "error"),
-        packages.pivot_items(fields),
-        packages.pivot_records(parts).drop("error"),
+        parsed["cells"].drop("error"),
+        parsed["strings"].drop("error"),
+        parsed["fields"].drop("items", "error"),
+        packages.pivot_items(parsed["fields"]),
+        parsed["records"].drop("error"),
+        errors,
     )
 
 

@@ -57,12 +57,16 @@ def read_packages(
 ) -> DataFrame:
     """Members of all packages below ``path``. Unreadable or oversize files are error rows."""
     files = list_files(spark, path, f".{kind}")
-    fitting = files.where(F.col("length") <= max_file_bytes).select("path", "content")
+    fitting = files.where(F.col("length") <= max_file_bytes)
     oversize = files.where(F.col("length") > max_file_bytes).select(
         F.col("path").alias("file_path"), F.lit("File exceeds the 25 MiB upload limit").alias("error")
     )
-    members = fitting.mapInPandas(_unzip(kind), PARTS_SCHEMA)
-    return members.unionByName(oversize, allowMissingColumns=True)
+    return unzip(fitting, kind).unionByName(oversize, allowMissingColumns=True)
+
+
+def unzip(files: DataFrame, kind: str = "xlsx") -> DataFrame:
+    """Members of the packages in a table of path and content."""
+    return files.select("path", "content").mapInPandas(_unzip(kind), PARTS_SCHEMA)
 
 
 def _unzip(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

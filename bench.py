@@ -14,8 +14,8 @@ from veilcraft.session import build_session
 
 HEADLINES = [
     "replace_documents", "replace_cells_total", "paragraph_replace", "discover_columns", "scrub_counts", "scrub_roundtrip",
-    "encrypt_roundtrip", "encrypt_documents_roundtrip", "encrypt_group_counts", "encrypt_join", "dictionary_remap",
-    "pivot_encrypt_roundtrip", "overlay_style", "pdf_hits", "package_gate", "output_names", "first_redemption",
+    "encrypt_roundtrip", "encrypt_line_refs", "encrypt_documents_roundtrip", "encrypt_group_counts", "encrypt_join", "dictionary_remap",
+    "pivot_encrypt_roundtrip", "overlay_style", "pdf_hits", "package_gate", "output_names", "first_redemption", "package_cells",
 ]
 
 

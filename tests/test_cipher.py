@@ -17,7 +17,7 @@ def text_of(size):
 
 
 def by_hand(namespace, text):
-    body = seal(KEY, [b"pii-xlsx-scrubber:v1", namespace.encode()], text.encode())
+    body = seal(KEY, [cip.TOKEN_CONTEXT, namespace.encode()], text.encode())
     return f"{namespace}:" + base64.urlsafe_b64encode(body).decode().rstrip("=")
 
 
@@ -113,7 +113,7 @@ def test_changed_tokens_and_wrong_keys_fail(spark, evaluate, cipher):
 
 
 def test_bytes_that_are_not_utf8_fail(spark, evaluate, cipher):
-    body = seal(KEY, [b"pii-xlsx-scrubber:v1", b"a"], b"\xff\xfe\xfd")
+    body = seal(KEY, [cip.TOKEN_CONTEXT, b"a"], b"\xff\xfe\xfd")
     token = "a:" + base64.urlsafe_b64encode(body).decode().rstrip("=")
     assert evaluate(lambda c: cipher.try_decrypt("t"), [token]) == [None]
     with pytest.raises(PySparkException, match="key is wrong"):

@@ -260,7 +260,7 @@ def test_audit_order(spark):
         "file_path string, sheet_index int, sheet_name string, row int, col string, ordinal int, namespace string, header string",
     )
     listed = audit.encrypted_columns(cells)
-    assert audit.headers_by_sheet(listed).first()["headers"] == ["C head", "A head", "B head"]
+    assert audit.headers_by_sheet(listed).first()["headers"] == ["B head", "C head", "A head"]
     assert audit.total_values(audit.namespace_counts(cells)).first()["total"] == 4
 
 

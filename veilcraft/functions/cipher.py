@@ -58,9 +58,8 @@ class CipherKey:
 
     @classmethod
     def from_text(cls, encoded: str) -> CipherKey:
-        padded = encoded.strip()
         try:
-            raw = base64.urlsafe_b64decode(padded + "=" * (-len(padded) % 4))
+            raw = base64.b64decode(encoded.strip() + "==", altchars=b"-_")  # surplus padding is ignored
         except (ValueError, binascii.Error) as error:
             raise KeyConfigurationError(f"{KEY_NAME} is not valid URL-safe Base64") from error
         return cls(raw)

@@ -43,22 +43,16 @@ def replacement_total(*replaced: DataFrame) -> DataFrame:
 
 
 def encrypted_columns(cells: DataFrame) -> DataFrame:
-    """Encrypted columns with the cell that was first encrypted, one row per column."""
+    """Encrypted columns, one row each, with the position at which each was first met."""
     touched = cells.where(F.col("namespace").isNotNull())
-    place = F.struct("row", "ordinal")
-    return (
-        touched.groupBy("file_path", "sheet_index", "sheet_name", "col", "header")
-        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-        .select(
-            "file_path", "sheet_index", "sheet_name", "col", "header",
-            F.col("first.row").alias("first_row"), F.col("first.ordinal").alias("first_ordinal"), "n",
-        )
+    return touched.groupBy("file_path", "sheet_index", "sheet_name", "col", "header").agg(
+        F.min("ordinal").alias("first_ordinal"), F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n")
     )
 
 
 def headers_by_sheet(columns: DataFrame) -> DataFrame:
     """Encrypted headers per sheet in the order they were first met."""
-    met = F.struct("first_row", "first_ordinal", column_order(F.col("col")).alias("position"), "header")
+    met = F.struct("first_ordinal", column_order(F.col("col")).alias("position"), "header")
     return columns.groupBy("file_path", "sheet_index", "sheet_name").agg(
         F.transform(F.array_sort(F.collect_list(met)), lambda c: c["header"]).alias("headers")
     )

@@ -74,7 +74,7 @@ def discover_columns(cells: DataFrame) -> DataFrame:
     )
     titles = head.withColumnRenamed("row", "header_row")
     late = rows.where(F.col("header_row") > HEADER_ROWS)
-    if late.limit(1).count():
+    if not late.isEmpty():
         titles = titles.unionByName(_late_titles(cells, late))
     named = extents.join(rows, SHEET).join(titles, [*SHEET, "col", "header_row"], "left")
     return named.select(

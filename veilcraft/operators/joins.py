@@ -6,13 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` is small enough to copy to every executor, found by reading at most ``rows`` + 1 rows."""
+    """Whether ``df`` is small enough to copy to every executor.
+
+    Takes the sizes of at most ``rows`` + 1 rows, partition by partition, so a large
+    table is left after its first few.
+    """
     text_bytes = sum(
         (
             F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
@@ -24,12 +28,8 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
         ),
         F.lit(0),
     )
-    found = (
-        df.limit(rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(text_bytes.cast("bigint")).alias("bytes"))
-        .first()
-    )
-    return found["n"] <= rows and (found["bytes"] or 0) <= size
+    sizes = df.select(text_bytes.cast("bigint").alias("bytes")).take(rows + 1)
+    return len(sizes) <= rows and sum(row["bytes"] for row in sizes) <= size
 
 
 def lookup_join(

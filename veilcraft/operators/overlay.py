@@ -31,7 +31,7 @@ def find_hits(spans: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
             F.struct(
                 F.lit(i).alias("rule_id"),
                 F.lit(r.replace).alias("replace"),
-                F.lit(len(r.find)).alias("size"),
+                F.lit(len(r.find.lower())).alias("size"),
                 F.split(F.lower("text"), re.escape(r.find.lower())).alias("pieces"),
             )
             for i, r in enumerate(listed)

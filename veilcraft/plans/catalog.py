@@ -21,7 +21,7 @@ from veilcraft.operators import (
     audit, cells as cell_ops, columns, dictionary, discover, gates, jobs, overlay, paragraphs, pivot,
 )
 from veilcraft.plans import documents as document_plans, workbook
-from veilcraft.session import widen, work_path
+from veilcraft.session import materialize, widen, work_path
 from veilcraft.sources import packages
 from veilcraft.streaming import jobs as streams
 
@@ -338,7 +338,8 @@ def package_cells(spark, sf_dir):
 
 @query
 def package_sheets(spark, sf_dir):
-    sheets = packages.workbook_sheets(packages.unzip(customer_books(spark, sf_dir)))
+    parts = materialize(packages.unzip(customer_books(spark, sf_dir)), "parts")
+    sheets = packages.workbook_sheets(parts)
     return sheets.select("file_path", "sheet_name", "part", "error")
 
 
@@ -656,6 +657,27 @@ def encrypt_join(spark, sf_dir):
     return left.join(right, "key").groupBy("c_mktsegment", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def encrypt_line_refs(spark, sf_dir):
+    """Every order line's own reference as a token; equal references give equal tokens."""
+    cipher = sample_cipher(spark, "line-ref")
+    reference = F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber")
+    line = spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    sealed = line.select("l_returnflag", reference.alias("ref")).select("l_returnflag", cipher.encrypt("line-ref", "ref").alias("ref"))
+    return sealed.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ref").alias("tokens"))
+
+
+@query
+def client_rules_from_json(spark, sf_dir):
+    """The browser's stricter rule check: a rule needs both sides."""
+    put = F.when(F.col("c_mktsegment") == "BUILDING", "").when(F.col("c_mktsegment") == "MACHINERY", F.col("c_name")).otherwise(F.col("c_mktsegment"))
+    raw = F.to_json(F.array(F.struct(F.col("c_name").alias("find"), put.alias("replace"))))
+    parsed = table(spark, sf_dir, "customer").select(
+        "c_custkey", checks.parse_replacement_rules(raw, F.lit("encrypt"), allow_empty_replacement=False).alias("p")
+    )
+    return parsed.select("c_custkey", F.array_size("p.rules").cast("bigint").alias("n_rules"), F.col("p.error").alias("error"))
+
+
 @query
 def encrypt_tampered(spark, sf_dir):
     cipher = sample_cipher(spark, "c-name")

@@ -354,6 +354,14 @@ ORACLES: dict[str, str] = {
     "expired_jobs_stream": "SELECT event_id AS token FROM events WHERE date_trunc('minute', ts) + INTERVAL 60 SECONDS"
     " <= (SELECT MAX(ts) FROM events) - INTERVAL 900 SECONDS",
 }
+ORACLES["encrypt_line_refs"] = (
+    "SELECT l_returnflag, COUNT(*) AS n, COUNT(DISTINCT l_orderkey || '-' || l_partkey || '-' || l_linenumber) AS tokens"
+    " FROM lineitem GROUP BY l_returnflag"
+)
+ORACLES["client_rules_from_json"] = (
+    "SELECT c_custkey, CAST(CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'MACHINERY' THEN 0 ELSE 1 END AS BIGINT) AS n_rules,"
+    " CASE WHEN c_mktsegment = 'BUILDING' THEN 'Each replacement row needs both a sensitive value and a safe label.' END AS error FROM customer"
+)
 _BOOK = "'book-' || (c_custkey // 50) || '.xlsx' AS file_path"
 ORACLES["package_cells"] = (
     f"SELECT {_BOOK}, 0 AS sheet_index, 'Main' AS sheet_name, c_custkey % 50 + 1 AS \"row\", k.col, k.cell_type,"

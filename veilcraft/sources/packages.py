@@ -43,6 +43,7 @@ PARTS_SCHEMA = (
     "content binary, error string"
 )
 BATCH_ROWS = 8192
+BATCH_BYTES = 16 * 1024 * 1024
 
 
 def list_files(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
@@ -89,10 +90,17 @@ def _unzip(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
             yield path, info.filename, ordinal, info.flag_bits, info.file_size, data, error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 for row in members(path, content):
-                    yield pd.DataFrame([row], columns=columns)
+                    held.append(row)
+                    size += row[4] or 0
+                    if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield pd.DataFrame(held, columns=columns, dtype=object)
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns, dtype=object)
 
     return run
 

@@ -100,7 +100,7 @@ def test_dictionaries_and_pivots(spark, cipher, tmp_path):
         "A1": "First Header", "B1": "Second Header", "A2": "Jane Doe", "B2": "kept text",
         "A3": "Jane Doe", "B3": "Second Header", "A4": "00123", "B4": "",
     }
-    done = plan.scrub(book, cipher, cell_ops.requested_keys(spark, ["0|A"]), [("Doe", "Roe")])
+    done = plan.scrub(book, cipher, ["00|A", "bad"], [("Doe", "Roe")])
     # once per dictionary run, shared item and record
     assert done.replacements.first()["replacements"] == 4
     assert {(r["namespace"], r["n"]) for r in done.counts.collect()} == {

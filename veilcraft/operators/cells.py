@@ -8,6 +8,7 @@ sheet; the last of two cells with one reference wins.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -44,6 +45,12 @@ def _but(df: DataFrame, *names: str) -> list[str]:
     return [name for name in df.columns if name not in names]
 
 
+def _plain_keys(keys: Iterable[str]) -> list[str]:
+    """Well-formed keys without leading zeros."""
+    matches = [re.match(r"(\d+)\|([A-Z]+)$", key) for key in keys]
+    return sorted({f"{int(m[1])}|{m[2]}" for m in matches if m})
+
+
 def requested_keys(spark: SparkSession, keys: Iterable[str]) -> DataFrame:
     """Column keys of one request as a table; malformed keys are dropped."""
     listed = F.array(*[F.lit(key) for key in dict.fromkeys(keys)])
@@ -52,10 +59,16 @@ def requested_keys(spark: SparkSession, keys: Iterable[str]) -> DataFrame:
     return table.select(parts.alias("p")).where("p IS NOT NULL").select("p.*").distinct()
 
 
-def select_columns(descriptors: DataFrame, requested: DataFrame | None) -> DataFrame:
-    """Discovered columns that were asked for; all of them when nothing is asked."""
+def select_columns(descriptors: DataFrame, requested: DataFrame | Iterable[str] | None) -> DataFrame:
+    """Discovered columns that were asked for; all of them when nothing is asked.
+
+    One request lists its keys. A table of requests (see :func:`requested_keys`) may
+    also name the file.
+    """
     if requested is None:
         return descriptors
+    if not isinstance(requested, DataFrame):
+        return descriptors.where(F.col("key").isin(_plain_keys(requested)))
     keys = [k for k in ("file_path", "sheet_index", "col") if k in requested.columns]
     wanted = requested.select(*keys).distinct()
     if fits_broadcast(wanted):

@@ -73,9 +73,10 @@ def discover_columns(cells: DataFrame) -> DataFrame:
         *SHEET, F.coalesce("picked", "first_row").alias("header_row")
     )
     titles = head.withColumnRenamed("row", "header_row")
-    late = rows.where(F.col("header_row") > HEADER_ROWS)
-    if not late.isEmpty():
-        titles = titles.unionByName(_late_titles(cells, late))
+    late = F.col("first_row") > HEADER_ROWS
+    if not first.where(late).isEmpty():
+        begin = first.where(late).withColumnRenamed("first_row", "header_row")
+        titles = titles.unionByName(_late_titles(cells, begin))
     named = extents.join(rows, SHEET).join(titles, [*SHEET, "col", "header_row"], "left")
     return named.select(
         *SHEET,

@@ -604,14 +604,14 @@ def select_columns(spark, sf_dir):
     return _descriptors(cell_ops.select_columns(found, cell_ops.requested_keys(spark, PARTY_KEYS)))
 
 
-def _selected(spark, cells):
-    return cell_ops.select_columns(discover.discover_columns(cells), cell_ops.requested_keys(spark, PARTY_KEYS))
+def _selected(cells):
+    return cell_ops.select_columns(discover.discover_columns(cells), PARTY_KEYS)
 
 
 @query
 def data_rows(spark, sf_dir):
     cells = party_cells(spark, sf_dir)
-    rows = cell_ops.data_rows(cells, _selected(spark, cells)).where("namespace IS NOT NULL")
+    rows = cell_ops.data_rows(cells, _selected(cells)).where("namespace IS NOT NULL")
     return rows.select("sheet_index", "row", "col", "namespace", "value")
 
 
@@ -707,8 +707,7 @@ def namespaces_separate(spark, sf_dir):
 
 def _scrubbed(spark, sf_dir, rules=()):
     book = workbook.Workbooks(party_cells(spark, sf_dir))
-    keys = cell_ops.requested_keys(spark, PARTY_KEYS)
-    return workbook.scrub(book, sample_cipher(spark), keys, rules)
+    return workbook.scrub(book, sample_cipher(spark), PARTY_KEYS, rules)
 
 
 @query

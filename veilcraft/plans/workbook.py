@@ -125,13 +125,14 @@ class ScrubResult:
 def scrub(
     book: Workbooks,
     cipher: TokenCipher,
-    columns: DataFrame | None = None,
+    columns: DataFrame | Iterable[str] | None = None,
     rules: Iterable[tuple[str, str]] = (),
 ) -> ScrubResult:
     """Replace, discover, select, encrypt and rebuild the dictionaries.
 
-    Rules run before discovery, so they may change headers. ``columns`` is a table
-    of requested keys (sheet_index, col and optionally file_path); None takes all.
+    Rules run before discovery, so they may change headers. ``columns`` lists the
+    requested keys, or is a table of them (sheet_index, col and optionally file_path);
+    None takes all.
     Counts come from columns that need no cipher, so auditing does not encrypt.
     """
     rules = list(rules)

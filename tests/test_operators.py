@@ -9,6 +9,7 @@ from veilcraft.operators import (
 )
 from veilcraft.functions.cipher import TokenCipher, CipherKey
 from veilcraft.functions import names
+from veilcraft.plans.workbook import token_namespaces
 from pathlib import PurePosixPath
 
 
@@ -268,3 +269,4 @@ def test_known_and_unknown_namespaces_open_alike(spark, cipher):
     known = TokenCipher(spark, CipherKey(bytes(range(64))), ["a"])
     df = spark.createDataFrame([("a", "x"), ("b", "y")], "n string, t string").select(cipher.encrypt_by("n", "t").alias("c"))
     assert sorted(r[0] for r in df.select(known.decrypt("c")).collect()) == ["x", "y"]
+    assert sorted(token_namespaces(df, "c")) == ["a", "b"] and token_namespaces(df, "c", limit=1) == []

@@ -173,7 +173,11 @@ def scrub(
 
 
 def token_namespaces(values: DataFrame, column: str, limit: int = KNOWN_NAMESPACES) -> list[str]:
-    """Namespaces of the tokens in a column, or none when there are more than ``limit``."""
+    """Namespaces of the tokens in a stored column, or none when there are more than ``limit``.
+
+    Give them to :class:`TokenCipher` before decrypting: states of known namespaces
+    are literals, others are computed token by token.
+    """
     found = (
         values.where(tx.is_token(F.col(column)))
         .select(tx.token_parts(F.col(column))["namespace"].alias("namespace"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilcraft.llm import mixing
+from veilcraft.llm import mixing, pii
 from veilcraft.llm.common import table
 from veilcraft.llm.oracles import ORACLES as ORACLES
 
@@ -24,3 +24,9 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document gives to a mix of all sources by weight."""
     mixed = mixing.mixture(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op6_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find_pii(table(spark, sf_dir, "documents"))

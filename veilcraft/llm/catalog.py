@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilcraft.llm import mixing, pii
+from veilcraft.llm import bpe, mixing, pii
 from veilcraft.llm.common import table
 from veilcraft.llm.oracles import ORACLES as ORACLES
 
@@ -30,3 +31,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as tokens of a public vocabulary, and back."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilcraft.llm import bpe, mixing, pii
-from veilcraft.llm.common import table
+from veilcraft.llm import bpe, language, mixing, pii
+from veilcraft.llm.common import fold, table
 from veilcraft.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,14 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op1_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three of four folds."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    models = language.train(docs.where("not held_out"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), models).drop("text")
+
+
 @query
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document gives to a mix of all sources by weight."""

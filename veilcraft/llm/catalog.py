@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilcraft.llm import bpe, jaccard, language, mixing, pii
+from veilcraft.llm import bpe, jaccard, language, mixing, nearvectors, pii
 from veilcraft.llm.common import fold, table
 from veilcraft.llm.oracles import ORACLES as ORACLES
 
@@ -36,6 +36,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors at a cosine of 0.95 or more."""
+    return nearvectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingle sets have a Jaccard similarity of 0.9 or more."""

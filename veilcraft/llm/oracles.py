@@ -35,4 +35,11 @@ r0 AS (SELECT doc_id, h, size, source_no, source_size, target, whole, 0 AS picke
 SELECT doc_id, size, source_size, target, (whole + picked) * size AS taken FROM r3
 """
 
-ORACLES: dict[str, str] = {"op8_mix_sources": MIX}
+VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT x AS vec_id, (SELECT count(*) FROM l WHERE l.x = r.x) AS n_links, min(y) AS component_id, min(y) = x AS kept FROM r GROUP BY x
+"""
+
+ORACLES: dict[str, str] = {"op2_near_vectors": VECTORS, "op8_mix_sources": MIX}

@@ -7,7 +7,8 @@ from veilcraft.llm import nearvectors
 
 def brute(rows, threshold=0.95):
     usable = [i for i, (_, v) in enumerate(rows) if v and None not in v and all(map(math.isfinite, v)) and any(v)]
-    units = {i: np.array(rows[i][1], float) / np.linalg.norm(rows[i][1]) for i in usable}
+    scaled = {i: np.array(rows[i][1], float) / np.abs(rows[i][1]).max() for i in usable}
+    units = {i: v / np.linalg.norm(v) for i, v in scaled.items()}
     links = {i: [j for j in usable if j != i and len(units[i]) == len(units[j]) and units[i] @ units[j] >= threshold] for i in usable}
     out = []
     for i, (vec_id, _) in enumerate(rows):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilcraft.llm import bpe, jaccard, language, mixing, nearvectors, pii
+from veilcraft.llm import bpe, jaccard, language, mixing, nearvectors, pii, sentences
 from veilcraft.llm.common import fold, table
 from veilcraft.llm.oracles import ORACLES as ORACLES
 
@@ -59,3 +59,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as tokens of a public vocabulary, and back."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
+@query
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier place has."""
+    cleaned = sentences.remove_spans(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

@@ -42,4 +42,27 @@ r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l
 SELECT x AS vec_id, (SELECT count(*) FROM l WHERE l.x = r.x) AS n_links, min(y) AS component_id, min(y) = x AS kept FROM r GROUP BY x
 """
 
-ORACLES: dict[str, str] = {"op2_near_vectors": VECTORS, "op8_mix_sources": MIX}
+SEGMENT = r"[^ \t-\r](?:[^\n.!?]|[.!?]+[^ \t-\r.!?])*[.!?]*[ \t-\r]*"
+
+SPANS = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SEGMENT}') AS segments FROM documents),
+s AS (SELECT doc_id, i, trim(regexp_replace(segments[i], '[ \t-\r]+', ' ', 'g')) AS sentence, segments[i] AS segment
+  FROM (SELECT doc_id, segments, unnest(generate_series(1, len(segments))) AS i FROM d)),
+w AS (SELECT *, len(string_split(sentence, ' ')) AS words,
+    lead(sentence) OVER o AS sentence2, lead(sentence, 2) OVER o AS sentence3, lead(len(string_split(sentence, ' '))) OVER o AS words2
+  FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (
+  SELECT doc_id, i, 3 AS length, sentence || chr(10) || sentence2 || chr(10) || sentence3 AS span FROM w WHERE sentence3 IS NOT NULL
+  UNION ALL SELECT doc_id, i, 2, sentence || chr(10) || sentence2 FROM w WHERE sentence2 IS NOT NULL AND words + words2 >= 50
+  UNION ALL SELECT doc_id, i, 1, sentence FROM w WHERE words >= 50),
+later AS (SELECT doc_id, i, length FROM (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS place FROM p) WHERE place > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + length - 1)) AS i FROM later),
+kept AS (SELECT s.doc_id, count(*) AS n_sentences, count(gone.i) AS n_removed,
+    coalesce(string_agg(CASE WHEN gone.i IS NULL THEN segment END, '' ORDER BY s.i), '') AS rest
+  FROM s LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.i = s.i GROUP BY s.doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed,
+  sha256(regexp_extract(d.text, '^[ \t-\r]*') || coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_near_vectors": VECTORS, "op8_mix_sources": MIX, "op9_sentence_spans": SPANS}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilcraft.llm import bpe, jaccard, language, mixing, nearvectors, pii, sentences
+from veilcraft.llm import bpe, jaccard, language, mixing, nearvectors, pii, sentences, suffixes
 from veilcraft.llm.common import fold, table
 from veilcraft.llm.oracles import ORACLES as ORACLES
 
@@ -42,6 +42,15 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearvectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 400 bytes that also start elsewhere."""
+    cleaned = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingle sets have a Jaccard similarity of 0.9 or more."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilcraft.llm import bpe, jaccard, language, mixing, nearvectors, pii, sentences, suffixes
+from veilcraft.llm import bpe, jaccard, language, mixing, nearvectors, pii, scoring, sentences, suffixes
 from veilcraft.llm.common import fold, table
 from veilcraft.llm.oracles import ORACLES as ORACLES
 
@@ -75,3 +75,9 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier place has."""
     cleaned = sentences.remove_spans(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op10_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document, learned from four of five folds."""
+    return scoring.score_texts(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)

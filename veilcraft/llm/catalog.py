@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilcraft.llm import bpe, jaccard, language, mixing, nearvectors, pii, scoring, sentences, suffixes
+from veilcraft.llm import bpe, jaccard, language, mixing, nearvectors, pii, scoring, search, sentences, suffixes
 from veilcraft.llm.common import fold, table
 from veilcraft.llm.oracles import ORACLES as ORACLES
 
@@ -51,6 +51,13 @@ def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents by BM25 for every document whose id is divisible by 100, with its whole text as the query."""
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 100 = 0"))
+
+
 @query
 def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingle sets have a Jaccard similarity of 0.9 or more."""

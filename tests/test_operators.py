@@ -198,14 +198,13 @@ def test_page_hits_ignore_case_and_do_not_cascade(spark):
     }
 
 
-def test_gathering_keeps_order_and_refuses_oversize(spark):
+def test_gathering_keeps_order_and_every_document(spark):
     runs = spark.createDataFrame(
-        [("a", "p", 0, 2, "c"), ("a", "p", 0, 0, "a"), ("a", "p", 0, 1, None), ("big", "p", 0, 0, "x" * 50)],
+        [("a", "p", 0, 2, "c"), ("a", "p", 0, 0, "a"), ("a", "p", 0, 1, None), ("big", "p", 0, 0, "x" * 500_000)],
         "doc string, part string, para_index int, run_index int, text string",
     )
-    kept = paragraphs.gather_paragraphs(runs, limit=40).collect()
-    assert [(r["doc"], r["runs"]) for r in kept] == [("a", ["a", None, "c"])]
-    assert [r["doc"] for r in paragraphs.oversize_documents(runs, limit=40).collect()] == ["big"]
+    kept = paragraphs.gather_paragraphs(runs).collect()
+    assert {r["doc"]: r["runs"] for r in kept} == {"a": ["a", None, "c"], "big": ["x" * 500_000]}
 
 
 def test_jobs(spark):

@@ -3,9 +3,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import builders as b
-from veilcraft.operators.gates import GateError, package_gate, upload_gate
+from veilcraft.operators.gates import REQUIRED_PARTS, GateError, package_gate, upload_gate
 from veilcraft.operators.paragraphs import document_totals, replace_paragraphs
-from veilcraft.plans import workbook as plan
+from veilcraft.plans import documents as document_plan, workbook as plan
 from veilcraft.operators import cells as cell_ops
 from veilcraft.sources import packages
 from veilcraft.sources.tables import write_table
@@ -164,13 +164,12 @@ def test_broken_files_become_error_rows(spark, tmp_path):
 
 
 def test_package_gates(spark, tmp_path):
-    b.write_zip(tmp_path / "good.xlsx", b.workbook({"Data": b.clients_sheet()}))
-    b.write_zip(tmp_path / "none.xlsx", {"a.txt": "x" * 5000})
-    b.write_zip(tmp_path / "many.xlsx", {f"{i}": "" for i in range(9)})
-    parts = read(spark, tmp_path)
+    files = {"good.xlsx": [*REQUIRED_PARTS["xlsx"]], "none.xlsx": ["a.txt"], "many.xlsx": [f"{i}" for i in range(9)]}
+    members = [(name, part, 8, 5000 if part == "a.txt" else 1) for name, parts in files.items() for part in parts]
+    parts = spark.createDataFrame(members, "file_path string, part string, flag_bits int, file_size long")
 
     def verdicts(**limits):
-        return {r["file_path"].rsplit("/", 1)[1][:4]: r["error"] for r in package_gate(parts, **limits).collect()}
+        return {r["file_path"][:4]: r["error"] for r in package_gate(parts, **limits).collect()}
 
     invalid = "Input is not a valid XLSX workbook package"
     assert verdicts() == {"good": None, "none": invalid, "many": invalid}
@@ -179,12 +178,56 @@ def test_package_gates(spark, tmp_path):
     assert verdicts(max_bytes=5000)["none"] == invalid
     locked = package_gate(parts.withColumn("flag_bits", F.lit(9)), "docx").collect()
     assert {r["error"] for r in locked} == {"Password-protected DOCX packages are not supported"}
+    b.write_zip(tmp_path / "good.xlsx", b.workbook({"Data": b.clients_sheet()}))
     small = packages.read_packages(spark, str(tmp_path), max_file_bytes=10)
     assert {r["error"] for r in small.collect()} == {"File exceeds the 25 MiB upload limit"}
     listed = upload_gate(packages.list_files(spark, str(tmp_path)).select("path", "length"))
     assert listed.where("error IS NOT NULL").count() == 0
 
 
+def test_files_are_judged_before_content_is_read(spark, tmp_path, monkeypatch):
+    good = b.workbook({"Data": b.clients_sheet()})
+    for name in ("locked", "large", "GOOD"):
+        b.write_zip(tmp_path / f"{name}.xlsx", good)
+    (tmp_path / "GOOD.xlsx").rename(tmp_path / "GOOD.XLSX")
+    (tmp_path / "other.bin").write_bytes(b"x")
+    locked = bytearray((tmp_path / "locked.xlsx").read_bytes())
+    locked[locked.find(b"PK\x01\x02") + 8] |= 1
+    (tmp_path / "locked.xlsx").write_bytes(bytes(locked))
+    large = bytearray((tmp_path / "large.xlsx").read_bytes())
+    at = large.rfind(b"PK\x01\x02")
+    large[at + 24 : at + 28] = (300 << 20).to_bytes(4, "little")  # claims to expand beyond the limit
+    (tmp_path / "large.xlsx").write_bytes(bytes(large))
+    read_all = packages.read_packages(spark, str(tmp_path))
+    rows = {r["file_path"].rsplit("/", 1)[1]: r["error"] for r in read_all.where("part IS NULL").collect()}
+    assert rows == {
+        "locked.xlsx": "Password-protected XLSX packages are not supported", "large.xlsx": "Workbook expands beyond the safe processing limit",
+    }
+    kept = {r["part"] for r in read_all.where("content IS NOT NULL").collect()}
+    assert "xl/workbook.xml" in kept and "[Content_Types].xml" not in kept
+    assert plan.load_workbooks(read_all, strict=False).cells.count() > 0
+
+
+def test_document_faults(spark, tmp_path):
+    b.write_zip(tmp_path / "sound.docx", b.document(["John ", "Smith"]))
+    b.write_zip(tmp_path / "empty.docx", b.document())
+    broken = b.document(["John Smith"])
+    broken["word/header1.xml"] = "<broken"
+    b.write_zip(tmp_path / "broken.docx", broken)
+    b.write_zip(tmp_path / "bodyless.docx", {"[Content_Types].xml": "<Types/>"})
+    (tmp_path / "junk.docx").write_bytes(b"junk")
+    parts = read(spark, tmp_path, "docx")
+    with pytest.raises(GateError):
+        document_plan.load_documents(parts)
+    loaded = document_plan.load_documents(parts, strict=False)
+    _, totals = document_plan.replace_documents(loaded.paragraphs, RULES, loaded.files)
+    got = {r["doc"].rsplit("/", 1)[1][:-5]: (r["replacements"], r["error"]) for r in totals.unionByName(loaded.errors, allowMissingColumns=True).collect()}
+    assert got == {
+        "sound": (1, None), "empty": (0, "No replacement values were found in the document"), "broken": (None, "DOCX document XML could not be read"),
+        "bodyless": (None, "Input is not a valid DOCX document"), "junk": (None, "Input is not a readable DOCX document"),
+    }
+
+
 def test_documents_across_runs(spark, tmp_path):
     parts = b.document(["John ", "Smith"], ["ABC Retirement Portfolio"])
     parts["word/header1.xml"] = parts["word/document.xml"].replace("ABC", "John Smith")

@@ -22,8 +22,9 @@ BOX = ["doc", "page", "x0", "y0", "x1", "y1"]
 def find_hits(spans: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
     """Every occurrence of every rule in the original span texts, ignoring case.
 
-    All rules see the original text, so they do not cascade. A hit's box is its
-    share of the span's width; ``hit_no`` counts within span and rule.
+    All rules see the original text, so they do not cascade, and offsets are in it, whatever
+    letters change their length in lower case. A hit's box is its share of the span's width;
+    ``hit_no`` counts within span and rule. Rules without a match leave before spans are copied.
     """
     listed = [Rule(*rule) for rule in rules]
     table = F.array(
@@ -31,14 +32,15 @@ def find_hits(spans: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
             F.struct(
                 F.lit(i).alias("rule_id"),
                 F.lit(r.replace).alias("replace"),
-                F.lit(len(r.find.lower())).alias("size"),
-                F.split(F.lower("text"), re.escape(r.find.lower())).alias("pieces"),
+                F.lit(len(r.find)).alias("size"),
+                F.split("text", "(?iu)" + re.escape(r.find)).alias("pieces"),
             )
             for i, r in enumerate(listed)
             if r.find
         ]
     )
-    per_rule = spans.withColumn("_rule", F.explode(table)).where("size(_rule.pieces) > 1")
+    matching = F.filter(table, lambda rule: F.size(rule["pieces"]) > 1)
+    per_rule = spans.withColumn("_rule", F.explode(matching))
     starts = F.aggregate(
         F.slice("_rule.pieces", 1, F.size("_rule.pieces") - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),

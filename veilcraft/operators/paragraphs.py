@@ -12,30 +12,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilcraft.functions.replace import replaced_runs
 
-# fixed value: a document may not expand beyond this
-MAX_DOCUMENT_BYTES = 250 * 1024 * 1024
 PARAGRAPH = ["doc", "part", "para_index"]
 
 
-def oversize_documents(runs: DataFrame, limit: int = MAX_DOCUMENT_BYTES) -> DataFrame:
-    """Documents whose text expands beyond the processing limit, as error rows."""
-    sizes = runs.groupBy("doc").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    return sizes.where(F.col("bytes") > limit).withColumn(
-        "error", F.lit("Document expands beyond the safe processing limit")
-    )
-
+def gather_paragraphs(runs: DataFrame) -> DataFrame:
+    """Paragraphs from one row per run (doc, part, para_index, run_index, text): the runs of one paragraph come together.
 
-def gather_paragraphs(runs: DataFrame, limit: int = MAX_DOCUMENT_BYTES) -> DataFrame:
-    """Paragraphs from one row per run (doc, part, para_index, run_index, text).
-
-    Documents beyond the limit are left out, as :func:`oversize_documents` rows, so
-    a gathered paragraph is bounded. Their list is at most one row per ``limit``
-    bytes of input, small enough to broadcast.
+    Documents of any size pass; the size of a package is judged where it is unzipped.
     """
-    allowed = runs.join(F.broadcast(oversize_documents(runs, limit).select("doc")), "doc", "left_anti")
     ordered = F.array_sort(F.collect_list(F.struct("run_index", "text")))
     return (
-        allowed.groupBy(*PARAGRAPH)
+        runs.groupBy(*PARAGRAPH)
         .agg(ordered.alias("_r"))
         .select(*PARAGRAPH, F.transform("_r", lambda r: r["text"]).alias("runs"))
     )
@@ -50,15 +37,12 @@ def replace_paragraphs(paragraphs: DataFrame, rules: Iterable[tuple[str, str]])
     )
 
 
-def document_totals(replaced: DataFrame, what: str = "document") -> DataFrame:
-    """Replacements per document, and the error a document without any match gets."""
-    return (
-        replaced.groupBy("doc")
-        .agg(F.sum("replacements").alias("replacements"))
-        .withColumn(
-            "error",
-            F.when(
-                F.col("replacements") == 0, f"No replacement values were found in the {what}"
-            ),
-        )
-    )
+def document_totals(replaced: DataFrame, what: str = "document", files: DataFrame | None = None) -> DataFrame:
+    """Replacements per document, and the error a document without any match gets.
+
+    ``files`` lists the documents (doc): one without any paragraph has a total too.
+    """
+    totals = replaced.groupBy("doc").agg(F.sum("replacements").alias("replacements"))
+    if files is not None:
+        totals = files.select("doc").distinct().join(totals, "doc", "left").withColumn("replacements", F.coalesce("replacements", F.lit(0).cast("bigint")))
+    return totals.withColumn("error", F.when(F.col("replacements") == 0, f"No replacement values were found in the {what}"))

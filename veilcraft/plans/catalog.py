@@ -12,7 +12,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veilcraft.functions import geometry, names, rules as checks, text as tx
 from veilcraft.functions.cipher import CipherKey, TokenCipher
@@ -182,7 +182,7 @@ def document_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
-        F.lit("chat").alias("doc"), F.lit("word/document.xml").alias("part"),
+        F.format_string("chat-%d", "conv_id").alias("doc"), F.lit("word/document.xml").alias("part"),
         F.col("conv_id").alias("para_index"), F.col("turn").alias("run_index"), "text",
     )
 
@@ -201,15 +201,16 @@ def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Hits and spans with whole-number boxes from order lines; the page is the order."""
-    line = (
-        table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
-        .agg(F.min("l_partkey").alias("pk"), F.min("l_quantity").alias("q"), F.min("l_suppkey").alias("sk"))
+    """Hits and spans with whole-number boxes, one of each per order line; the page is the order."""
+    columns = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*columns))
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("pk"), F.col("l_quantity").alias("q"), F.col("l_suppkey").alias("sk"), number.alias("id")
     )
     keys = [F.lit("book").alias("doc"), F.col("l_orderkey").alias("page")]
     left, top = (F.col("pk") % 300).cast("double"), F.col("l_linenumber") * 12.0
     spans = line.select(
-        *keys, F.col("l_linenumber").alias("span_id"), left.alias("x0"), top.alias("y0"),
+        *keys, F.col("id").alias("span_id"), left.alias("x0"), top.alias("y0"),
         (left + 60 + F.col("q")).alias("x1"), (top + 14).alias("y1"),
         F.when(F.col("q") > 10, F.col("q") * 2).otherwise(0.0).alias("size"),
         F.when(F.col("sk") % 3 > 0, (F.col("pk") * 977).cast("int")).alias("color"),
@@ -220,7 +221,7 @@ def line_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     x, y = ((F.col("pk") * 7) % 300).cast("double"), F.col("l_linenumber") * 10.0 + 3
     hits = line.select(
-        *keys, F.col("l_linenumber").alias("hit_id"), F.lit(0).alias("rule_id"), x.alias("x0"), y.alias("y0"),
+        *keys, F.col("id").alias("hit_id"), F.lit(0).alias("rule_id"), x.alias("x0"), y.alias("y0"),
         (x + 50).alias("x1"), (y + 4 + F.col("q")).alias("y1"),
     )
     return hits, spans
@@ -253,6 +254,36 @@ def _zip_members(batches):
             yield pd.DataFrame({"path": [path], "content": [buffer.getvalue()]})
 
 
+def _flagged(data: bytes) -> bytes:
+    """A zip whose members are all marked as encrypted."""
+    out = bytearray(data)
+    for mark, place in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        at = data.find(mark)
+        while at >= 0:
+            out[at + place] |= 1
+            at = data.find(mark, at + 4)
+    return bytes(out)
+
+
+def _faulty_documents(batches):
+    """Word-processor files from their runs; the fault is 0 no zip, 1 broken header, 2 locked, 3 no body, 4 no paragraph, 5 none."""
+    word = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    for batch in batches:
+        made = []
+        for fault, runs in zip(batch["fault"], batch["runs"], strict=True):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("[Content_Types].xml", "<Types/>")
+                if fault != 3:
+                    body = "" if fault == 4 else f"<w:p>{runs}</w:p>"
+                    archive.writestr("word/document.xml", f"<w:document {word}><w:body>{body}</w:body></w:document>")
+                if fault == 1:
+                    archive.writestr("word/header1.xml", f"<w:hdr {word}><w:p>")
+            data = buffer.getvalue()
+            made.append({0: b"no package", 2: _flagged(data)}.get(fault, data))
+        yield pd.DataFrame({"path": batch["path"], "content": made})
+
+
 def _packed(files: DataFrame, members: dict[str, Column]) -> DataFrame:
     """Files (path, content) zipped from text columns."""
     listed = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in members.items()])
@@ -362,6 +393,50 @@ def package_documents(spark, sf_dir):
     return done.select("doc", "part", "para_index", F.array_join("runs", "\n").alias("text"), "replacements")
 
 
+@query
+def package_document_errors(spark, sf_dir):
+    """Documents as files, five of six with a fault: a total or an error for every file."""
+    runs = F.array_join(
+        F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit("<w:r><w:t>"), _xml(t), F.lit("</w:t></w:r>"))), ""
+    )
+    docs = table(spark, sf_dir, "documents").select(
+        F.format_string("%d.docx", "doc_id").alias("path"), (F.col("doc_id") % 6).alias("fault"), runs.alias("runs")
+    )
+    files = docs.mapInPandas(_faulty_documents, "path string, content binary")
+    loaded = document_plans.load_documents(packages.unzip(files, "docx"), strict=False)
+    _, totals = document_plans.replace_documents(loaded.paragraphs, LINE_RULES, loaded.files)
+    return totals.unionByName(loaded.errors, allowMissingColumns=True)
+
+
+@query
+def package_sheet_places(spark, sf_dir):
+    """Suppliers as workbooks whose two sheets lie outside the usual folder; one member is there twice, and the last one counts."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rels = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
+
+    def sheet(text: Column) -> Column:
+        cell = F.concat(F.lit('<row r="1"><c r="A1" t="inlineStr"><is><t>'), _xml(text), F.lit("</t></is></c></row>"))
+        return F.concat(F.lit(f"<worksheet {main}><sheetData>"), cell, F.lit("</sheetData></worksheet>"))
+
+    supplier = table(spark, sf_dir, "supplier").select(F.format_string("s%d.xlsx", "s_suppkey").alias("path"), "s_name", "s_acctbal")
+    members = [
+        ("[Content_Types].xml", F.lit("<Types/>")),
+        ("xl/workbook.xml", F.lit(f'<workbook {main} xmlns:r="{office}"><sheets><sheet name="One" r:id="a"/><sheet name="Two" r:id="b"/></sheets></workbook>')),
+        ("xl/_rels/workbook.xml.rels", F.lit(
+            f'<Relationships {rels}><Relationship Id="a" Type="{office}/worksheet" Target="data/one.part"/>'
+            f'<Relationship Id="b" Type="{office}/worksheet" Target="/sheets/two.xml"/></Relationships>'
+        )),
+        ("xl/data/one.part", sheet(F.lit("replaced by the next"))),
+        ("sheets/two.xml", sheet(F.col("s_acctbal").cast("string"))),
+        ("xl/data/one.part", sheet(F.col("s_name"))),
+    ]
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in members])
+    files = supplier.select("path", listed.alias("members")).mapInPandas(_zip_members, "path string, content binary")
+    book = workbook.load_workbooks(packages.unzip(files))
+    return book.cells.select("file_path", "sheet_name", "row", "col", "value")
+
+
 # --- replacement ------------------------------------------------------------------
 
 
@@ -551,7 +626,7 @@ def target_paths(spark, sf_dir):
     target = F.when(F.col("url").startswith("https"), path).otherwise(F.concat(F.lit("..\\.."), path))
     return pages.select(
         "page_id", tx.resolve_target(F.lit("xl/sub/deep/workbook.xml"), target).alias("target"),
-        tx.relationship_part(F.substring(path, 2, 1000)).alias("rels"),
+        tx.relationship_part(F.substr(path, F.lit(2))).alias("rels"),
     )
 
 
@@ -858,7 +933,8 @@ def pdf_hits(spark, sf_dir):
 
 @query
 def pdf_totals(spark, sf_dir):
-    _, totals = document_plans.plan_overlays(document_spans(spark, sf_dir), [("nicht", "n"), ("DANS", "d")])
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
+    _, totals = document_plans.plan_overlays(document_spans(spark, sf_dir), [("nicht", "n"), ("DANS", "d")], files)
     return totals
 
 

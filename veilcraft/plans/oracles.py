@@ -187,13 +187,13 @@ def _hits(rules) -> str:
 
 
 BOXES = (
-    "line AS (SELECT l_orderkey AS page, l_linenumber AS ln, MIN(l_partkey) AS pk, MIN(l_quantity) AS q, MIN(l_suppkey) AS sk"
-    " FROM lineitem GROUP BY ALL),"
-    " spans AS (SELECT page, ln AS span_id, pk % 300 AS x0, ln * 12 AS y0, pk % 300 + 60 + q AS x1, ln * 12 + 14 AS y1,"
+    "line AS (SELECT l_orderkey AS page, l_linenumber AS ln, l_partkey AS pk, l_quantity AS q, l_suppkey AS sk, row_number() OVER (PARTITION BY"
+    " l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS id FROM lineitem),"
+    " spans AS (SELECT page, id AS span_id, pk % 300 AS x0, ln * 12 AS y0, pk % 300 + 60 + q AS x1, ln * 12 + 14 AS y1,"
     " CASE WHEN q > 10 THEN q * 2 ELSE 0 END AS size, CASE WHEN sk % 3 > 0 THEN pk * 977 END AS color,"
     " CASE sk % 4 WHEN 0 THEN 'cour' WHEN 1 THEN 'tiro' WHEN 2 THEN 'zadb' ELSE 'helv' END AS font,"
     " CASE WHEN q > 25 THEN ln * 12 + 11 END AS origin_y FROM line),"
-    " hits AS (SELECT page, ln AS hit_id, pk * 7 % 300 AS x0, ln * 10 + 3 AS y0, pk * 7 % 300 + 50 AS x1, ln * 10 + 7 + q AS y1 FROM line),"
+    " hits AS (SELECT page, id AS hit_id, pk * 7 % 300 AS x0, ln * 10 + 3 AS y0, pk * 7 % 300 + 50 AS x1, ln * 10 + 7 + q AS y1 FROM line),"
     " best AS (SELECT h.page, h.hit_id, s.span_id, s.size, s.color, s.font, s.origin_y, row_number() OVER (PARTITION BY h.page, h.hit_id"
     " ORDER BY (least(h.x1, s.x1) - greatest(h.x0, s.x0)) * (least(h.y1, s.y1) - greatest(h.y0, s.y0)) DESC, s.span_id) AS k"
     " FROM hits h JOIN spans s ON h.page = s.page AND h.x0 < s.x1 AND s.x0 < h.x1 AND h.y0 < s.y1 AND s.y0 < h.y1)"
@@ -324,7 +324,7 @@ ORACLES: dict[str, str] = {
     "pdf_hits": "SELECT doc, span_id, rule_id, CAST(k - 1 AS INTEGER) AS hit_no, CAST(start AS INTEGER) AS start, put AS \"replace\","
     " CAST(start * 6 AS DOUBLE) AS x0, CAST((start + length(find)) * 6 AS DOUBLE) AS x1 FROM (" + _hits(catalog.HIT_RULES) + ")",
     "pdf_totals": _totals(
-        "SELECT d.doc_id AS doc, COUNT(h.doc) AS replacements FROM (SELECT doc_id FROM documents WHERE trim(text, chr(10)) <> '') d LEFT JOIN ("
+        "SELECT d.doc_id AS doc, COUNT(h.doc) AS replacements FROM documents d LEFT JOIN ("
         + _hits([("nicht", "n"), ("DANS", "d")]) + ") h ON h.doc = d.doc_id GROUP BY d.doc_id",
         "No replacement values were found in the PDF",
     ),
@@ -382,4 +382,19 @@ ORACLES["package_documents"] = (
     + _two_passes("SELECT doc_id, ['Document ', CAST(doc_id AS VARCHAR)] AS runs FROM documents", "doc_id", catalog.LINE_RULES, "chr(10)", "replacements")
     + "))"
 )
+_FAULTS = [
+    "Input is not a readable DOCX document", "DOCX document XML could not be read", "Password-protected DOCX packages are not supported",
+    "Input is not a valid DOCX document", "No replacement values were found in the document",
+]
+ORACLES["package_document_errors"] = (
+    "SELECT doc_id || '.docx' AS doc, CASE doc_id % 6 WHEN 4 THEN 0 WHEN 5 THEN replacements END AS replacements, CASE "
+    + " ".join(f"WHEN doc_id % 6 = {i} THEN '{error}'" for i, error in enumerate(_FAULTS))
+    + f" WHEN replacements = 0 THEN '{_FAULTS[4]}' END AS error FROM ("
+    + _two_passes("SELECT doc_id, string_split(text, chr(10)) AS runs FROM documents", "doc_id", catalog.LINE_RULES, "chr(10)", "replacements")
+    + ")"
+)
+ORACLES["package_sheet_places"] = (
+    "SELECT 's' || s_suppkey || '.xlsx' AS file_path, k.name AS sheet_name, 1 AS \"row\", 'A' AS col,"
+    " CASE k.name WHEN 'One' THEN s_name ELSE CAST(s_acctbal AS VARCHAR) END AS value FROM supplier, (VALUES ('One'), ('Two')) AS k(name)"
+)
 ORACLES["replace_stream"] = ORACLES["replace_documents"]

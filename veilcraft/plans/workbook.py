@@ -12,7 +12,7 @@ from veilcraft.functions import text as tx
 from veilcraft.functions.cipher import TokenCipher
 from veilcraft.operators import audit, cells as cell_ops, dictionary, pivot
 from veilcraft.operators.discover import describe_sheets, discover_columns
-from veilcraft.operators.gates import package_gate, require, require_changes
+from veilcraft.operators.gates import require, require_changes
 from veilcraft.operators.joins import fits_broadcast
 from veilcraft.session import materialize, materialize_all
 from veilcraft.sources import packages
@@ -41,17 +41,15 @@ def load_workbooks(parts: DataFrame, strict: bool = True) -> Workbooks:
     else it is left out of all tables and listed in ``errors``.
     """
     parts = materialize(parts, "parts")
-    sheets = packages.workbook_sheets(parts)
-    parsed = materialize_all(
-        sheets=sheets,
+    sheets = materialize(packages.workbook_sheets(parts), "sheets")
+    parsed = {"sheets": sheets} | materialize_all(
         cells=packages.cells(parts, sheets),
         strings=packages.shared_strings(parts),
         fields=packages.pivot_fields(parts),
         records=packages.pivot_records(parts),
     )
     found = [
-        parts,
-        package_gate(parts.where("ordinal IS NOT NULL")),
+        parts,  # limits, then unreadable members: in the order in which a file is read
         *[parsed[name] for name in ("strings", "sheets", "cells", "fields", "records")],
     ]
     ranked = [

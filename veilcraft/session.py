@@ -43,8 +43,8 @@ def redact_keys(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a session without that
-    setting (a test) gets a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``; without that setting a folder of the driver's own would be
+    read by no executor, so it is an error. Only a local session (a test) gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -52,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     fallback = tempfile.mkdtemp(prefix="veilcraft-")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback

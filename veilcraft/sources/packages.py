@@ -1,8 +1,9 @@
 """Office packages as tables.
 
-``read_packages`` unzips files into a ``parts`` table, one row per member. Each
-scan below filters the members it needs before any content is parsed, and
-parses them one by one where they are; no file passes through the driver.
+``read_packages`` unzips files into a ``parts`` table, one row per member. A file
+is judged by its list of members first; content is read only of a file that passes,
+and kept only of members that some scan needs. Each scan below parses its members
+one by one where they are; no file passes through the driver.
 Python does only what Spark has no reader for: the zip container and the XML
 of one member. Decoding, joins and checks are DataFrame operations.
 """
@@ -10,6 +11,8 @@ of one member. Decoding, joins and checks are DataFrame operations.
 from __future__ import annotations
 
 import io
+import posixpath
+import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilcraft.functions import text as tx
-from veilcraft.operators.gates import MAX_UPLOAD_BYTES
+from veilcraft.operators.gates import MAX_MEMBERS, MAX_UNCOMPRESSED_BYTES, PACKAGE_ERRORS, REQUIRED_PARTS, UPLOAD_ERROR
 
 # --- fixed values -----------------------------------------------------------
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -36,6 +39,9 @@ CORRUPT = {
     "xlsx": "Workbook contains a corrupt package member",
     "docx": "Document contains a corrupt package member",
 }
+NO_SHEETS = "Workbook does not contain any worksheets"
+MISSING_RELATIONSHIP = "Missing relationship for worksheet "
+MISSING_SHEET = "Missing or invalid worksheet part for "
 # ----------------------------------------------------------------------------
 
 PARTS_SCHEMA = (
@@ -47,22 +53,27 @@ BATCH_BYTES = 16 * 1024 * 1024
 
 
 def list_files(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
-    """path, length and modification time of files; content is not read unless selected."""
+    """path, length and modification time of files; content is not read unless selected.
+
+    Files of another suffix are left out by name, in any case of its letters, before any is opened.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = reader.load(path)
-    return files if suffix is None else files.where(tx.part_suffix(F.col("path")) == suffix)
+    if suffix is None:
+        return reader.load(path)
+    letters = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    return reader.option("pathGlobFilter", f"*{letters}").load(path).where(tx.part_suffix(F.col("path")) == suffix)
+
 
+def read_packages(spark: SparkSession, path: str, kind: str = "xlsx", max_file_bytes: int | None = None) -> DataFrame:
+    """Members of all packages below ``path``; files that are unreadable or break a limit are error rows.
 
-def read_packages(
-    spark: SparkSession, path: str, kind: str = "xlsx", max_file_bytes: int = MAX_UPLOAD_BYTES
-) -> DataFrame:
-    """Members of all packages below ``path``. Unreadable or oversize files are error rows."""
+    ``max_file_bytes`` is for uploads (see :func:`veilcraft.operators.gates.upload_gate`); a bulk scan has none.
+    """
     files = list_files(spark, path, f".{kind}")
-    fitting = files.where(F.col("length") <= max_file_bytes)
-    oversize = files.where(F.col("length") > max_file_bytes).select(
-        F.col("path").alias("file_path"), F.lit("File exceeds the 25 MiB upload limit").alias("error")
-    )
-    return unzip(fitting, kind).unionByName(oversize, allowMissingColumns=True)
+    if max_file_bytes is None:
+        return unzip(files, kind)
+    oversize = files.where(F.col("length") > max_file_bytes).select(F.col("path").alias("file_path"), F.lit(UPLOAD_ERROR).alias("error"))
+    return unzip(files.where(F.col("length") <= max_file_bytes), kind).unionByName(oversize, allowMissingColumns=True)
 
 
 def unzip(files: DataFrame, kind: str = "xlsx") -> DataFrame:
@@ -70,19 +81,61 @@ def unzip(files: DataFrame, kind: str = "xlsx") -> DataFrame:
     return files.select("path", "content").mapInPandas(_unzip(kind), PARTS_SCHEMA)
 
 
+def _refused(infos: list[zipfile.ZipInfo], kind: str) -> str | None:
+    """Why a package is refused by its list of members, before any is read."""
+    too_many, locked, too_large, incomplete = PACKAGE_ERRORS[kind]
+    if len(infos) > MAX_MEMBERS:
+        return too_many
+    if any(info.flag_bits & 1 for info in infos):
+        return locked
+    if sum(info.file_size for info in infos) > MAX_UNCOMPRESSED_BYTES:
+        return too_large
+    names = {info.filename for info in infos}
+    return None if names.issuperset(REQUIRED_PARTS[kind]) else incomplete
+
+
+def _needed(archive: zipfile.ZipFile, kind: str) -> Callable[[str], bool]:
+    """Whether some scan reads a member; sheets are wherever the workbook's relationships point."""
+    if kind == "docx":
+        return lambda name: re.search(DOCUMENT_PART.replace(r"\z", r"\Z"), name.replace("\\", "/")) is not None
+    try:
+        rels = ET.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
+        targets = [rel.get("Target") or "" for rel in rels]
+    except (ET.ParseError, zipfile.BadZipFile, zlib.error):
+        targets = []
+    linked = {t.lstrip("/") if t.startswith("/") else posixpath.normpath(posixpath.join("xl", t)) for t in targets}
+    fixed = re.compile(r"xl/workbook\.xml|xl/sharedStrings\.xml|(?:.*/)?_rels/[^/]*\.rels|xl/worksheets/.*\.xml|xl/pivotCache/.*\.xml", re.DOTALL)
+    skipped = re.compile(r"xl/(?:styles\.xml|theme/.*|calcChain\.xml|vbaProject\.bin)", re.DOTALL)
+    return lambda name: fixed.fullmatch(name) is not None or (name in linked and skipped.fullmatch(name) is None)
+
+
 def _unzip(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     columns = [field.split()[0] for field in PARTS_SCHEMA.split(", ")]
 
     def members(path: str, content: bytes) -> Iterator[tuple]:
+        def refused(error: str) -> tuple:
+            return path, None, None, None, None, None, error
+
         try:
             archive = zipfile.ZipFile(io.BytesIO(content))
         except zipfile.BadZipFile:
-            yield path, None, None, None, None, None, UNREADABLE[kind]
+            yield refused(UNREADABLE[kind])
+            return
+        infos = archive.infolist()
+        if error := _refused(infos, kind):
+            yield refused(error)
             return
-        for ordinal, info in enumerate(archive.infolist()):
+        last = {info.filename: ordinal for ordinal, info in enumerate(infos)}  # of equal names the last one counts
+        needed = _needed(archive, kind)
+        for ordinal, info in enumerate(infos):
             data, error = None, None
             try:
-                data = archive.read(info)
+                if last[info.filename] == ordinal and needed(info.filename):
+                    data = archive.read(info)
+                else:  # the checksum of every member counts; what is not needed is not kept
+                    with archive.open(info) as stream:
+                        while stream.read(1 << 20):
+                            pass
             except (zipfile.BadZipFile, zlib.error):
                 error = CORRUPT[kind]
             except (KeyError, RuntimeError, NotImplementedError):
@@ -95,7 +148,7 @@ def _unzip(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 for row in members(path, content):
                     held.append(row)
-                    size += row[4] or 0
+                    size += len(row[5] or b"")
                     if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
                         yield pd.DataFrame(held, columns=columns, dtype=object)
                         held, size = [], 0
@@ -105,17 +158,18 @@ def _unzip(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
     return run
 
 
-def _scan(parts: DataFrame, parse: Callable[[bytes], Iterable[tuple]], schema: str) -> DataFrame:
-    """Rows parsed from each member, with its file_path and part. A member that fails is an error row."""
-    names = ["file_path", "part", *[field.split()[0] for field in schema.split(", ")], "error"]
-    width = len(names) - 3
+def _scan(parts: DataFrame, parse: Callable[[bytes], Iterable[tuple]], schema: str, carry: str = "") -> DataFrame:
+    """Rows parsed from each member, with its file_path, part and ``carry`` columns. A member that fails is an error row."""
+    carried = [field.split()[0] for field in carry.split(", ")] if carry else []
+    names = ["file_path", "part", *carried, *[field.split()[0] for field in schema.split(", ")], "error"]
+    width = len(names) - 3 - len(carried)
 
-    def rows(path: str, part: str, content: bytes) -> Iterator[tuple]:
+    def rows(path: str, part: str, content: bytes, *more) -> Iterator[tuple]:
         try:
             for row in parse(bytes(content)):
-                yield (path, part, *row, None)
+                yield (path, part, *more, *row, None)
         except ET.ParseError as error:
-            yield (path, part, *[None] * width, f"{part}: {error}")
+            yield (path, part, *more, *[None] * width, f"{part}: {error}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -129,8 +183,8 @@ def _scan(parts: DataFrame, parse: Callable[[bytes], Iterable[tuple]], schema: s
         if held:
             yield pd.DataFrame(held, columns=names, dtype=object)
 
-    sound = parts.where("content IS NOT NULL").select("file_path", "part", "content")
-    return sound.mapInPandas(run, f"file_path string, part string, {schema}, error string")
+    sound = parts.where("content IS NOT NULL").select("file_path", "part", "content", *carried)
+    return sound.mapInPandas(run, f"file_path string, part string, {carry + ', ' if carry else ''}{schema}, error string")
 
 
 def _texts(node: ET.Element, namespace: str) -> list[str]:
@@ -164,7 +218,7 @@ def workbook_sheets(parts: DataFrame) -> DataFrame:
     def parse(content: bytes) -> Iterator[tuple]:
         sheets = ET.fromstring(content).find(f"{MAIN}sheets")
         if sheets is None:
-            raise ET.ParseError("Workbook does not contain any worksheets")
+            raise ET.ParseError(NO_SHEETS)
         for index, sheet in enumerate(sheets):
             yield index, sheet.get("name", ""), sheet.get(REL_ID)
 
@@ -177,17 +231,17 @@ def workbook_sheets(parts: DataFrame) -> DataFrame:
         .groupBy("file_path", "rel_id")
         .agg(F.max_by("target", "ordinal").alias("part"))
     )
-    present = parts.select("file_path", "part", F.lit(True).alias("_present"))
+    present = parts.where("content IS NOT NULL").select("file_path", "part", F.lit(True).alias("_present"))
     joined = listed.join(rels, ["file_path", "rel_id"], "left").join(present, ["file_path", "part"], "left")
     quoted = F.concat(F.lit("'"), F.col("sheet_name"), F.lit("'"))
     return joined.select(
         "file_path", "sheet_index", "sheet_name", "part",
         F.coalesce(
             "error",
-            F.when(F.col("part").isNull(), F.concat(F.lit("Missing relationship for worksheet "), quoted)),
+            F.when(F.col("part").isNull(), F.concat(F.lit(MISSING_RELATIONSHIP), quoted)),
             F.when(
                 F.col("_present").isNull(),
-                F.concat(F.lit("Missing or invalid worksheet part for "), quoted),
+                F.concat(F.lit(MISSING_SHEET), quoted),
             ),
         ).alias("error"),
     )
@@ -227,18 +281,23 @@ def _cell_rows(content: bytes) -> Iterator[tuple]:
 
 
 def cells(parts: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
-    """Raw cells of all sheets; dictionary-typed cells carry ``ss_index`` and no value yet."""
+    """Raw cells of all sheets; dictionary-typed cells carry ``ss_index`` and no value yet.
+
+    The parts to read are those that sheets refer to, wherever they are. They are joined before
+    they are parsed, so a row that moves is a sheet, not a cell.
+    """
     sheets = workbook_sheets(parts) if sheets is None else sheets
+    listed = sheets.where("error IS NULL").select("file_path", "part", "sheet_index", "sheet_name")
     raw = _scan(
-        parts.where(F.col("part").rlike(r"\.xml\z") & F.col("part").startswith("xl/worksheets/")),
+        parts.where("content IS NOT NULL").select("file_path", "part", "content").join(listed, ["file_path", "part"]),
         _cell_rows,
         "ordinal bigint, reference string, cell_type string, raw string, formula string",
+        carry="sheet_index int, sheet_name string",
     )
     position = tx.cell_position(F.col("reference"))
     shared = F.coalesce(F.col("cell_type") == "s", F.lit(False))
     index = F.col("raw").try_cast("bigint")
-    placed = raw.join(sheets.where("error IS NULL").drop("error"), ["file_path", "part"])
-    return placed.withColumn("_p", position).where("_p IS NOT NULL OR error IS NOT NULL").select(
+    return raw.withColumn("_p", position).where("_p IS NOT NULL OR error IS NOT NULL").select(
         "file_path", "sheet_index", "sheet_name", F.col("_p.row").alias("row"), F.col("_p.col").alias("col"),
         "ordinal", "cell_type",
         F.when(shared & (F.col("raw") != ""), F.coalesce(index, F.lit(-1))).alias("ss_index"),

@@ -106,7 +106,7 @@ def test_lookup_join_forms_agree_under_skew(spark):
         [(0 if i % 3 == 0 else None if i % 7 == 0 else rng.randrange(40), i) for i in range(3000)], "k int, i int"
     )
     lookup = spark.createDataFrame([(k, f"v{k}") for k in range(30)], "k int, v string")
-    small, salted = (joins.lookup_join(facts, lookup, ["k"], ["i"], small=s) for s in (True, False))
+    small, salted = (joins.lookup_join(facts, lookup, ["k"], small=s) for s in (True, False))
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
     assert salted.columns == small.columns
     assert joins.fits_broadcast(lookup) and not joins.fits_broadcast(lookup, rows=29)

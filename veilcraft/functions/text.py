@@ -173,10 +173,6 @@ def is_token(text: Column) -> Column:
     return F.coalesce(text.rlike(TOKEN_PATTERN) & (cipher_chars % 4 != 1), F.lit(False))
 
 
-def is_namespace(text: Column) -> Column:
-    return F.coalesce(text.rlike(NAMESPACE_PATTERN), F.lit(False))
-
-
 def token_parts(text: Column) -> Column:
     """``struct(namespace, ciphertext)`` of a token; NULL for other text."""
     at = F.locate(":", text)
@@ -198,10 +194,6 @@ def part_suffix(path: Column) -> Column:
     return casefold(F.regexp_extract(basename(path), r"(?s)^.+(\.[^.]+)\z", 1))
 
 
-def local_name(tag: Column) -> Column:
-    return F.substring_index(tag, "}", -1)
-
-
 def resolve_target(source_part: Column, target: Column) -> Column:
     """Package path of a relationship target, relative to the part that names it."""
     slashed = F.replace(target, F.lit("\\"), F.lit("/"))

@@ -28,7 +28,7 @@ BAD_INDEX = "Invalid shared-string index in cell"
 def decode_cells(cells: DataFrame, shared_strings: DataFrame, strict: bool = True) -> DataFrame:
     """Fill in dictionary-typed values. A dangling index is an error, or a row error if not ``strict``."""
     lookup = shared_strings.select("file_path", "ss_index", F.col("value").alias("_shared"))
-    joined = lookup_join(cells, lookup, ["file_path", "ss_index"], ["sheet_index", "row", "col"])
+    joined = lookup_join(cells, lookup, ["file_path", "ss_index"])
     shared = F.col("cell_type") == "s"
     dangling = F.coalesce(shared & F.col("ss_index").isNotNull() & F.col("_shared").isNull(), F.lit(False))
     message = F.concat(F.lit(f"{BAD_INDEX} "), F.col("col"), F.col("row").cast("string"))
@@ -83,7 +83,7 @@ def data_rows(cells: DataFrame, selected: DataFrame, small: bool | None = None)
         *(["state"] if "state" in selected.columns else []),
         tx.namespace_slug(F.col("header"), F.col("col")).alias("_slug"),
     )
-    joined = lookup_join(cells, lookup, ["file_path", "sheet_index", "col"], ["row"], small)
+    joined = lookup_join(cells, lookup, ["file_path", "sheet_index", "col"], small)
     wanted = (
         (F.col("row") >= F.col("start_row")) & ~tx.is_blank(F.col("value")) & ~tx.is_skip_value(F.col("value"))
     )

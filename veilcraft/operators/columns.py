@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veilcraft.functions import text as tx
 from veilcraft.functions.cipher import TokenCipher
 from veilcraft.functions.replace import replaced
-from veilcraft.operators.joins import fits_broadcast, lookup_join
+from veilcraft.operators.joins import lookup_join
 
 
 def column_namespaces(df: DataFrame, columns: Iterable[str]) -> dict[str, str]:
@@ -36,22 +36,16 @@ def encrypt_columns(
     """Replace string columns by tokens; no shuffle.
 
     Columns named in ``repeated`` hold few distinct values: each value is
-    encrypted once and joined back.
+    encrypted once and joined back. A stream encrypts them row by row.
     """
+    repeated = () if df.isStreaming else repeated
     spaces = {**column_namespaces(df, columns), **(namespaces or {})}
     direct = {c: _sealed(c, spaces[c], cipher) for c in columns if c not in repeated}
     result = df.withColumns(direct) if direct else df
     for c in repeated:
         values = df.select(F.col(f"`{c}`").alias("_value")).where("_value <> ''").distinct()
         tokens = values.withColumn("_token", _sealed("_value", spaces[c], cipher))
-        others = [F.col(f"`{name}`") for name in df.columns if name != c]
-        joined = lookup_join(
-            result.withColumnRenamed(c, "_value"),
-            tokens,
-            ["_value"],
-            others or [F.monotonically_increasing_id()],
-            small=fits_broadcast(values),
-        )
+        joined = lookup_join(result.withColumnRenamed(c, "_value"), tokens, ["_value"])
         result = joined.withColumn(c, F.coalesce("_token", "_value")).select(*df.columns)
     return result
 

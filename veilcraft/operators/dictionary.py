@@ -103,7 +103,7 @@ def remap_cells(cells: DataFrame, rebuilt: DataFrame) -> DataFrame:
     lookup = rebuilt.select(
         "file_path", F.col("old_index").alias("ss_index"), F.col("ss_index").alias("_new")
     )
-    joined = lookup_join(cells, lookup, ["file_path", "ss_index"], ["sheet_index", "row", "col"])
+    joined = lookup_join(cells, lookup, ["file_path", "ss_index"])
     shared = F.coalesce(F.col("cell_type") == "s", F.lit(False)) & F.col("ss_index").isNotNull()
     checked = F.coalesce("_new", F.raise_error(F.lit(OUT_OF_RANGE)).cast("bigint"))
     others = [c for c in cells.columns if c != "ss_index"]

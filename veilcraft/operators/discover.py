@@ -89,7 +89,7 @@ def discover_columns(cells: DataFrame) -> DataFrame:
 
 def _late_titles(cells: DataFrame, late: DataFrame) -> DataFrame:
     below = cells.where((F.col("row") > HEADER_ROWS) & (F.col("value") != ""))
-    marked = lookup_join(below.select(*SHEET, "row", "col", "ordinal", "value"), late, SHEET, ["row", "col"])
+    marked = lookup_join(below.select(*SHEET, "row", "col", "ordinal", "value"), late, SHEET)
     return (
         marked.where(F.col("row") == F.col("header_row"))
         .groupBy(*SHEET, "header_row", "col")

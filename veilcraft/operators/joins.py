@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -36,20 +35,12 @@ def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
-    spread: Sequence[Column | str],
     small: bool | None = None,
 ) -> DataFrame:
     """Left join of a large table with a lookup whose keys are unique.
 
-    A lookup of checked size is broadcast. A larger one is shuffled with a salt:
-    facts take one of ``SALTS`` salts from the ``spread`` columns, the lookup is
-    copied to every salt, so no key lands in a single task. Facts whose key is
-    NULL match nothing and are spread the same way.
+    A lookup known to be small is broadcast. Otherwise Spark sizes it when it has been
+    shuffled: a small one is broadcast after all, and where a key, or NULL, owns a large share of the
+    facts, adaptive execution splits its partition, as lookup keys are unique.
     """
-    if small is None:
-        small = fits_broadcast(lookup)
-    if small:
-        return facts.join(F.broadcast(lookup), list(on), "left")
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
+    return facts.join(F.broadcast(lookup) if small else lookup, list(on), "left")

@@ -48,7 +48,7 @@ def match_fields(fields: DataFrame, selected: DataFrame) -> DataFrame:
 
 def flag_encrypted_fields(fields: DataFrame, matched: DataFrame) -> DataFrame:
     """Fields of the matched list hold text from now on: number flags go, the text flag comes."""
-    marked = lookup_join(fields, matched.select(*FIELD, F.lit(True).alias("_hit")), FIELD, ["name"])
+    marked = lookup_join(fields, matched.select(*FIELD, F.lit(True).alias("_hit")), FIELD)
     hit = F.col("_hit").isNotNull()
     flags = [f for f in ("contains_string", *NUMBER_FLAGS) if f in fields.columns]
     changed = [
@@ -58,11 +58,11 @@ def flag_encrypted_fields(fields: DataFrame, matched: DataFrame) -> DataFrame:
     return marked.select(*[c for c in fields.columns if c not in flags], *changed)
 
 
-def _encrypt(values: DataFrame, matched: DataFrame, cipher: TokenCipher, spread: str) -> DataFrame:
+def _encrypt(values: DataFrame, matched: DataFrame, cipher: TokenCipher) -> DataFrame:
     lookup = matched.select(*FIELD, F.col("namespace").alias("_ns")).withColumn(
         "state", cipher.state("_ns")
     )
-    joined = lookup_join(values, lookup, FIELD, [spread])
+    joined = lookup_join(values, lookup, FIELD)
     wanted = (
         F.col("_ns").isNotNull()
         & (F.col("tag") != "x")
@@ -80,12 +80,12 @@ def _encrypt(values: DataFrame, matched: DataFrame, cipher: TokenCipher, spread:
 
 def encrypt_items(items: DataFrame, matched: DataFrame, cipher: TokenCipher) -> DataFrame:
     """Encrypt the shared items of matched fields; an encrypted item becomes a string item."""
-    return _encrypt(items, matched, cipher, "item_index")
+    return _encrypt(items, matched, cipher)
 
 
 def encrypt_records(records: DataFrame, matched: DataFrame, cipher: TokenCipher) -> DataFrame:
     """Encrypt inline record values of matched fields; references to items stay."""
-    return _encrypt(records, matched, cipher, "row")
+    return _encrypt(records, matched, cipher)
 
 
 def decrypt_values(values: DataFrame, cipher: TokenCipher, strict: bool = True) -> DataFrame:

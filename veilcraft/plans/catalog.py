@@ -308,6 +308,7 @@ def customer_books(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row": row,
         "entry": F.format_string("<si><r><t>%s</t></r><r><t>%s</t></r></si>", F.substring("c_name", 1, 8), F.expr("substring(c_name, 9)")),
         "item": F.format_string('<s v="%s"/>', F.col("c_mktsegment")),
+        "group": F.format_string('<s v="%s"/>', F.col("c_name")),
         "record": F.format_string('<r><x v="%s"/><n v="%s"/></r>', (F.col("at") - 1).cast("string"), F.col("c_acctbal").cast("string")),
     }
     customer = table(spark, sf_dir, "customer").withColumn("at", F.col("c_custkey") % 50 + 1)
@@ -327,7 +328,8 @@ def customer_books(spark: SparkSession, sf_dir: str) -> DataFrame:
         "xl/sharedStrings.xml": F.concat(F.lit(f"<sst {main}>"), _joined("entry"), F.lit("</sst>")),
         f"{pivot_name}Definition1.xml": F.concat(
             F.lit(f'<pivotCacheDefinition {main}><cacheFields><cacheField name="Segment"><sharedItems>'), _joined("item"),
-            F.lit('</sharedItems></cacheField><cacheField name="Balance"/></cacheFields></pivotCacheDefinition>'),
+            F.lit('</sharedItems><fieldGroup base="0"><groupItems>'), _joined("group"),
+            F.lit('</groupItems></fieldGroup></cacheField><cacheField name="Balance"/></cacheFields></pivotCacheDefinition>'),
         ),
         f"{pivot_name}Records1.xml": F.concat(F.lit(f"<pivotCacheRecords {main}>"), _joined("record"), F.lit("</pivotCacheRecords>")),
         "xl/pivotCache/_rels/pivotCacheDefinition1.xml.rels": F.lit(
@@ -385,6 +387,14 @@ def package_pivots(spark, sf_dir):
     return seen.select("file_path", "row", "field_index", "tag", F.coalesce("item", "v").alias("v"))
 
 
+@query
+def package_pivot_groups(spark, sf_dir):
+    """Values of pivot groups, outside items and records, after a replace."""
+    book = workbook.load_workbooks(packages.unzip(customer_books(spark, sf_dir)))
+    updated, _ = workbook.replace_values(book, [("Customer#", "CLIENT_")])
+    return updated.pivot_other.select("file_path", "ordinal", "tag", "v")
+
+
 @query
 def package_documents(spark, sf_dir):
     """Zipped documents read back and replaced: totals per part."""
@@ -811,6 +821,33 @@ def scrub_roundtrip(spark, sf_dir):
     return opened.select("sheet_index", "row", "col", "cell_type", "value")
 
 
+@query
+def scrub_errors(spark, sf_dir):
+    """Customers as books of fifty, one of three refused for a token or a dangling reference: errors, and counts of the sound ones."""
+    customer = table(spark, sf_dir, "customer").withColumn("book", F.expr("c_custkey DIV 50"))
+    at = (F.col("c_custkey") % 50).cast("int")
+    shared = (F.col("book") % 3 == 1) & (at == 7)
+    token = F.concat(F.lit("note:"), F.expr("rtrim('=', translate(base64(CAST(repeat('x', 24) AS BINARY)), '+/', '-_'))"))
+    value = F.when((F.col("book") % 3 == 2) & (at == 9), token).when(shared, "").otherwise(F.col("c_name"))
+    data = customer.select(
+        "book", (at + 2).cast("bigint").alias("row"), value.alias("value"), F.when(shared, "s").otherwise("inlineStr").alias("cell_type"),
+        F.when(shared, F.lit(99)).cast("bigint").alias("ss_index"),
+    )
+    heads = customer.select("book").distinct().select(
+        "book", F.lit(1).cast("bigint").alias("row"), F.lit("Customer Name").alias("value"), F.lit("inlineStr").alias("cell_type"), F.lit(None).cast("bigint").alias("ss_index")
+    )
+    found = data.unionByName(heads).select(
+        F.format_string("book-%d", "book").alias("file_path"), F.lit(0).alias("sheet_index"), F.lit("Main").alias("sheet_name"), "row", F.lit("A").alias("col"),
+        F.col("row").alias("ordinal"), "cell_type", "ss_index", "value", F.lit(None).cast("string").alias("formula"),
+    )
+    strings = customer.select("book").distinct().select(
+        F.format_string("book-%d", "book").alias("file_path"), F.lit(0).cast("bigint").alias("ss_index"), F.array(F.lit("unused")).alias("runs"), F.lit("unused").alias("value")
+    )
+    done = workbook.scrub(workbook.Workbooks(found, strings), sample_cipher(spark), ["0|A"], strict=False)
+    sealed = done.book.cells.groupBy("file_path").agg(F.count_if(tx.is_token(F.col("value"))).alias("tokens"))
+    return sealed.withColumn("error", F.lit(None).cast("string")).unionByName(done.book.errors.withColumn("tokens", F.lit(None).cast("bigint")))
+
+
 @query
 def double_encryption_report(spark, sf_dir):
     """Texts that already look like tokens and would be refused, per source."""
@@ -1054,6 +1091,16 @@ def replace_stream(spark, sf_dir):
     return _run_stream(spark, columns.replace_in_columns(docs, ["text"], TEXT_RULES), "replaced")
 
 
+@query
+def first_redemption_stream(spark, sf_dir):
+    """Events as redemptions of one job per user and hour, made at the full hour: those that are served."""
+    used = _stream(spark, sf_dir, "events").select(
+        F.format_string("%d at %s", "user_id", F.date_format("ts", "yyyy-MM-dd HH")).alias("token"),
+        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("created_at"), F.col("ts").cast("timestamp").alias("redeemed_at"),
+    )
+    return _run_stream(spark, streams.first_redemptions_stream(used), "redeemed").select("token")
+
+
 @query
 def expired_jobs_stream(spark, sf_dir):
     made = _stream(spark, sf_dir, "events").select(F.col("event_id").alias("token"), F.col("ts").cast("timestamp").alias("created_at"))

@@ -382,6 +382,17 @@ ORACLES["package_documents"] = (
     + _two_passes("SELECT doc_id, ['Document ', CAST(doc_id AS VARCHAR)] AS runs FROM documents", "doc_id", catalog.LINE_RULES, "chr(10)", "replacements")
     + "))"
 )
+ORACLES["package_pivot_groups"] = (
+    f"SELECT {_BOOK}, c_custkey % 50 AS ordinal, 's' AS tag, replace(c_name, 'Customer#', 'CLIENT_') AS v FROM customer"
+)
+ORACLES["scrub_errors"] = (
+    "SELECT 'book-' || b AS file_path, CASE WHEN b % 3 = 0 OR NOT hit THEN n END AS tokens, CASE WHEN b % 3 = 1 AND hit THEN 'Invalid shared-string index in cell A9'"
+    " WHEN b % 3 = 2 AND hit THEN 'Input already contains an encrypted value' END AS error FROM (SELECT c_custkey // 50 AS b, COUNT(*) AS n,"
+    " bool_or(CASE (c_custkey // 50) % 3 WHEN 1 THEN c_custkey % 50 = 7 WHEN 2 THEN c_custkey % 50 = 9 ELSE false END) AS hit FROM customer GROUP BY 1)"
+)
+ORACLES["first_redemption_stream"] = (
+    "SELECT DISTINCT user_id || ' at ' || strftime(ts, '%Y-%m-%d %H') AS token FROM events WHERE ts <= date_trunc('hour', ts) + INTERVAL 900 SECONDS"
+)
 _FAULTS = [
     "Input is not a readable DOCX document", "DOCX document XML could not be read", "Password-protected DOCX packages are not supported",
     "Input is not a valid DOCX document", "No replacement values were found in the document",

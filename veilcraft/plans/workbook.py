@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from veilcraft.functions import text as tx
-from veilcraft.functions.cipher import TokenCipher
+from veilcraft.functions.cipher import ENCRYPTED_INPUT, TokenCipher
 from veilcraft.operators import audit, cells as cell_ops, dictionary, pivot
 from veilcraft.operators.discover import describe_sheets, discover_columns
 from veilcraft.operators.gates import require, require_changes
@@ -31,6 +31,7 @@ class Workbooks:
     pivot_items: DataFrame | None = None
     pivot_records: DataFrame | None = None
     errors: DataFrame | None = None
+    pivot_other: DataFrame | None = None
 
 
 def load_workbooks(parts: DataFrame, strict: bool = True) -> Workbooks:
@@ -47,10 +48,11 @@ def load_workbooks(parts: DataFrame, strict: bool = True) -> Workbooks:
         strings=packages.shared_strings(parts),
         fields=packages.pivot_fields(parts),
         records=packages.pivot_records(parts),
+        other=packages.pivot_other(parts),
     )
     found = [
         parts,  # limits, then unreadable members: in the order in which a file is read
-        *[parsed[name] for name in ("strings", "sheets", "cells", "fields", "records")],
+        *[parsed[name] for name in ("strings", "sheets", "cells", "fields", "records", "other")],
     ]
     ranked = [
         df.where("error IS NOT NULL").select("file_path", F.lit(i).alias("rank"), "error")
@@ -75,6 +77,7 @@ def load_workbooks(parts: DataFrame, strict: bool = True) -> Workbooks:
         packages.pivot_items(parsed["fields"]),
         parsed["records"].drop("error"),
         errors,
+        parsed["other"].drop("error"),
     )
 
 
@@ -97,7 +100,7 @@ def replace_values(book: Workbooks, rules: Iterable[tuple[str, str]]) -> tuple[W
     done = {"cells": cell_ops.replace_cells(book.cells, rules)}
     if book.shared_strings is not None:
         done["shared_strings"] = dictionary.replace_dictionary(book.shared_strings, rules)
-    for name in ("pivot_items", "pivot_records"):
+    for name in ("pivot_items", "pivot_records", "pivot_other"):
         if getattr(book, name) is not None:
             done[name] = pivot.replace_values(getattr(book, name), rules)
     updated = with_fields(book, **{name: df.drop("replacements") for name, df in done.items()})
@@ -125,6 +128,7 @@ def scrub(
     cipher: TokenCipher,
     columns: DataFrame | Iterable[str] | None = None,
     rules: Iterable[tuple[str, str]] = (),
+    strict: bool = True,
 ) -> ScrubResult:
     """Replace, discover, select, encrypt and rebuild the dictionaries.
 
@@ -132,12 +136,17 @@ def scrub(
     requested keys, or is a table of them (sheet_index, col and optionally file_path);
     None takes all.
     Counts come from columns that need no cipher, so auditing does not encrypt.
+
+    A file that holds a token already or a reference outside its dictionary stops the run if ``strict``; else
+    it is left out of every table and listed in the result's ``book.errors``, and the others are scrubbed.
     """
     rules = list(rules)
     replaced: DataFrame | None = None
     if rules:
         book, layouts = replace_values(book, rules)
         replaced = audit.replacement_total(*layouts)
+    if not strict:
+        book = without_faulty(book, columns)
     plain = decoded(book)
     selected = materialize(
         cell_ops.select_columns(discover_columns(plain), columns), "descriptors"
@@ -170,6 +179,31 @@ def scrub(
     return ScrubResult(result, counts, listed, replaced)
 
 
+def without_faulty(book: Workbooks, columns: DataFrame | Iterable[str] | None) -> Workbooks:
+    """The books that can be encrypted; the others are added to ``errors`` with the first reason. Nothing is encrypted here."""
+    found, cells = [], book.cells
+    if book.shared_strings is not None:
+        read = cell_ops.decode_cells(book.cells, book.shared_strings, strict=False)
+        found.append(read.where("error IS NOT NULL").select("file_path", F.lit(0).alias("rank"), "error"))
+        cells = read.drop("error")
+    selected = materialize(cell_ops.select_columns(discover_columns(cells), columns), "descriptors")
+    held = cell_ops.data_rows(cells, selected).where("namespace IS NOT NULL").where(tx.is_token(F.col("value")))
+    refused = [held.select("file_path")]
+    if book.pivot_fields is not None:
+        matched = pivot.match_fields(book.pivot_fields, selected).select(*pivot.FIELD)
+        for values in (book.pivot_items, book.pivot_records):
+            refused.append(values.where(F.col("tag") != "x").where(tx.is_token(F.col("v"))).join(matched, pivot.FIELD, "left_semi").select("file_path"))
+    found += [df.select("file_path", F.lit(1).alias("rank"), F.lit(ENCRYPTED_INPUT).alias("error")) for df in refused]
+    faults = reduce(DataFrame.unionByName, found).groupBy("file_path").agg(F.min(F.struct("rank", "error"))["error"].alias("error"))
+    faults = materialize(faults, "faulty-books")
+    kept = {
+        name: getattr(book, name).join(faults, "file_path", "left_anti")
+        for name in ("cells", "shared_strings", "pivot_fields", "pivot_items", "pivot_records", "pivot_other")
+        if getattr(book, name) is not None
+    }
+    return with_fields(book, **kept, errors=faults if book.errors is None else book.errors.select("file_path", "error").unionByName(faults))
+
+
 def token_namespaces(values: DataFrame, column: str, limit: int = KNOWN_NAMESPACES) -> list[str]:
     """Namespaces of the tokens in a stored column, or none when there are more than ``limit``.
 
@@ -193,18 +227,21 @@ def unscrub(book: Workbooks, cipher: TokenCipher, strict: bool = True) -> ScrubR
     """
     cells = cell_ops.decrypt_cells(book.cells, cipher, strict)
     result = with_fields(book, cells=cells.drop("namespace"))
-    sources: list[DataFrame | None] = [cells, None, None]
+    sources: list[DataFrame | None] = [cells, None, None, None]
     if book.shared_strings is not None:
         opened = dictionary.decrypt_dictionary(book.shared_strings, cipher, strict)
         result = with_fields(result, shared_strings=opened.drop("namespaces"))
         runs = opened.select(F.explode("namespaces").alias("namespace"))
         sources[0] = cells.select("namespace").unionByName(runs)
-    for i, name in enumerate(("pivot_items", "pivot_records"), start=1):
+    for i, name in enumerate(("pivot_items", "pivot_records", "pivot_other"), start=1):
         values = getattr(book, name)
         if values is not None:
             sources[i] = pivot.decrypt_values(values, cipher, strict)
             result = with_fields(result, **{name: sources[i].drop("namespace")})
-    counts = audit.namespace_counts(*sources, mode="decrypt")
+    records, other = sources[2:]
+    if other is not None:
+        sources[2] = other.select("namespace") if records is None else records.select("namespace").unionByName(other.select("namespace"))
+    counts = audit.namespace_counts(*sources[:3], mode="decrypt")
     return ScrubResult(result, counts, None, None)
 
 

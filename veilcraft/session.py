@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,9 +62,28 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+_run: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for the intermediate tables of a run; it is removed at the end, plain text and all.
+
+    Publish results inside: they may still read from it.
+    """
+    path = os.path.join(shared_dir(spark), f"run-{uuid.uuid4().hex}")
+    before = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(before)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below the folder of the run, or else below the shared folder."""
+    return os.path.join(_run.get() or shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
 def widen(df: DataFrame) -> DataFrame:
@@ -89,5 +111,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def materialize_all(**tables: DataFrame) -> dict[str, DataFrame]:
     """:func:`materialize` several tables at once, as concurrent jobs."""
     with ThreadPoolExecutor(len(tables)) as pool:
-        written = {label: pool.submit(materialize, df, label) for label, df in tables.items()}
+        written = {label: pool.submit(copy_context().run, materialize, df, label) for label, df in tables.items()}
     return {label: future.result() for label, future in written.items()}

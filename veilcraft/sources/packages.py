@@ -376,6 +376,25 @@ def pivot_records(parts: DataFrame) -> DataFrame:
     return raw.join(owner, ["file_path", "part"], "left").drop("part")
 
 
+def pivot_other(parts: DataFrame) -> DataFrame:
+    """Values of pivot parts that are neither shared items nor record values: file_path, part, ordinal, tag, v.
+
+    Groups and the like repeat values of the sheet in clear, so rules and restoration take them too.
+    """
+
+    def parse(content: bytes) -> Iterator[tuple]:
+        root, ordinal = ET.fromstring(content), 0
+        known = {id(item) for shared in root.iter(f"{MAIN}sharedItems") for item in shared}
+        if root.tag == f"{MAIN}pivotCacheRecords":
+            known |= {id(item) for record in root for item in record}
+        for element in root.iter():
+            if element.get("v") is not None and id(element) not in known:
+                yield ordinal, _local(element), element.get("v")
+                ordinal += 1
+
+    return _scan(parts.where(F.col("part").rlike(PIVOT_PART)), parse, "ordinal bigint, tag string, v string")
+
+
 # --- documents ----------------------------------------------------------------
 
 

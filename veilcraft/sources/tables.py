@@ -29,8 +29,3 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-
-
-def write_clustered_cells(df: DataFrame, table: str, buckets: int) -> None:
-    """Save cells bucketed by file, so that discovery and column joins need no shuffle."""
-    df.write.mode("errorifexists").bucketBy(buckets, "file_path").sortBy("sheet_index", "row").saveAsTable(table)

@@ -23,10 +23,13 @@ def expired_jobs_stream(jobs: DataFrame) -> DataFrame:
 
 
 def first_redemptions_stream(redemptions: DataFrame) -> DataFrame:
-    """First redemption of each token; later ones within the lifetime are refused."""
-    return redemptions.withWatermark("redeemed_at", f"{TTL_SECONDS} seconds").dropDuplicatesWithinWatermark(
-        ["token"]
-    )
+    """One redemption of each token (token, created_at, redeemed_at), within the job's lifetime; every other one is refused.
+
+    A token is remembered for the lifetime after its first redemption. A later replay falls
+    outside the lifetime of the job itself and is refused for that, so forgetting is safe.
+    """
+    alive = redemptions.where(F.col("redeemed_at") <= F.col("created_at") + F.expr(f"INTERVAL {TTL_SECONDS} SECONDS"))
+    return alive.withWatermark("redeemed_at", f"{TTL_SECONDS} seconds").dropDuplicatesWithinWatermark(["token"])
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

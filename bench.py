@@ -1,11 +1,13 @@
 """Time the headline queries: ``BENCH_SF_DIR=… BENCH_CPUS=… python bench.py [name …]``.
 
-Prints one JSON line. Each query runs twice into a sink that computes every
-row and keeps none; the second time counts, the first one warms the JVM.
+Prints one JSON line. Each query runs three times into a sink that computes every
+row and keeps none: the first one warms the JVM, the median of the others counts,
+and ``spread`` tells how far they lie apart.
 """
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -22,14 +24,16 @@ HEADLINES = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = build_session("veilcraft-bench", os.environ.get("BENCH_CPUS", "8"))
-    times = {}
+    times, spread = {}, {}
     for name in sys.argv[1:] or HEADLINES:
-        for _ in range(2):
+        runs = []
+        for _ in range(3):
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times[name] = round(time.perf_counter() - start, 3)
+            runs.append(time.perf_counter() - start)
+        times[name], spread[name] = round(statistics.median(runs[1:]), 3), round(max(runs[1:]) - min(runs[1:]), 3)
     result = {
-        "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+        "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "spread": spread,
         "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
     }
     print(json.dumps(result))

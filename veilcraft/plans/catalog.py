@@ -778,6 +778,19 @@ def encrypt_tampered(spark, sf_dir):
     )
 
 
+@query
+def token_bytes(spark, sf_dir):
+    """The very tokens of nation names, and of region names repeated to sizes on both sides of the cipher's switches."""
+    cipher = sample_cipher(spark)
+    nation = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("name"), F.length("n_name").alias("size"), cipher.encrypt("nation", "n_name").alias("token")
+    )
+    sizes = F.explode(F.array(*map(F.lit, (16, 17, 160, 161))))
+    region = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), sizes.alias("size"))
+    region = region.withColumn("text", F.expr("substring(repeat(name, 40), 1, size)")).select("name", "size", cipher.encrypt("region", "text").alias("token"))
+    return nation.unionByName(region).select("name", "size", F.substring("token", 1, 64).alias("head"), F.right("token", F.lit(8)).alias("tail"))
+
+
 @query
 def namespaces_separate(spark, sf_dir):
     """Equal texts agree within a namespace and differ between two."""

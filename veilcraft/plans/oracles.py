@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veilcraft.plans import catalog
+from veilcraft.plans.known import NATION_TOKENS, REGION_TOKENS
 from veilcraft.functions import names
 
 
@@ -393,6 +394,14 @@ ORACLES["scrub_errors"] = (
 ORACLES["first_redemption_stream"] = (
     "SELECT DISTINCT user_id || ' at ' || strftime(ts, '%Y-%m-%d %H') AS token FROM events WHERE ts <= date_trunc('hour', ts) + INTERVAL 900 SECONDS"
 )
+_KNOWN = ", ".join(
+    [f"('{name}', {len(name)}, '{token[:64]}', '{token[-8:]}')" for name, token in NATION_TOKENS.items()]
+    + [f"('{name}', {size}, '{head}', '{tail}')" for (name, size), (head, tail) in REGION_TOKENS.items()]
+)
+ORACLES["token_bytes"] = (
+    f"SELECT k.* FROM (VALUES {_KNOWN}) AS k(name, size, head, tail)"
+    " WHERE name IN (SELECT n_name FROM nation) OR name IN (SELECT r_name FROM region)"
+)
 _FAULTS = [
     "Input is not a readable DOCX document", "DOCX document XML could not be read", "Password-protected DOCX packages are not supported",
     "Input is not a valid DOCX document", "No replacement values were found in the document",

@@ -57,6 +57,15 @@ def letter_table() -> np.ndarray:
     return table
 
 
+@lru_cache(1)
+def mark_table() -> np.ndarray:
+    """Which code points the letter table keeps without being letters."""
+    kept = np.flatnonzero(letter_table() != GAP)
+    table = np.zeros(0x110000, bool)
+    table[kept] = [not chr(point).isalpha() for point in kept]
+    return table
+
+
 def normal_form(text: str) -> np.ndarray:
     """Letters in lower case, each run of other characters as one gap, with a gap at both ends."""
     points = letter_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
@@ -68,7 +77,9 @@ def normal_form(text: str) -> np.ndarray:
         points = points[1:]
     if len(points) and points[-1] == GAP:
         points = points[:-1]
-    return points if not len(points) else np.concatenate(([GAP], points, [GAP])).astype(np.uint32)
+    if (mark_table()[points] | (points == GAP)).all():
+        return points[:0]
+    return np.concatenate(([GAP], points, [GAP])).astype(np.uint32)
 
 
 def gram_hashes(points: np.ndarray, order: int) -> np.ndarray:

@@ -198,6 +198,20 @@ def test_page_hits_ignore_case_and_do_not_cascade(spark):
     }
 
 
+def test_very_large_boxes_find_their_spans(spark):
+    schema = "doc string, page int, span_id int, x0 double, y0 double, x1 double, y1 double, size double, color int, font string, origin_y double"
+    spans = spark.createDataFrame(
+        [("d", 0, 1, 0.0, 0.0, 1e12, 10.0, 5.0, 0, "a", None), ("d", 0, 2, 5.0, 100.0, 400.0, 300.0, 6.0, 0, "b", None), ("d", 1, 3, 0.0, 0.0, 9.0, 9.0, 7.0, 0, "c", None)],
+        schema,
+    )
+    hits = spark.createDataFrame(
+        [("d", 0, 1.0, 1.0, 5.0, 5.0), ("d", 0, -1e12, 90.0, 1e12, 400.0), ("d", 0, 60.0, 120.0, 330.0, 290.0), ("d", 1, 100.0, 0.0, 120.0, 9.0)],
+        "doc string, page int, x0 double, y0 double, x1 double, y1 double",
+    )
+    found = {(r["page"], r["x0"]): r["span"]["span_id"] for r in overlay.best_spans(hits, spans).collect()}
+    assert found == {(0, 1.0): 1, (0, -1e12): 2, (0, 60.0): 2}
+
+
 def test_gathering_keeps_order_and_every_document(spark):
     runs = spark.createDataFrame(
         [("a", "p", 0, 2, "c"), ("a", "p", 0, 0, "a"), ("a", "p", 0, 1, None), ("big", "p", 0, 0, "x" * 500_000)],

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veilcraft.functions import geometry as geo
 from veilcraft.functions.replace import Rule
 
-# Edge of the grid squares that pair hits with spans, in page units.
+# Edge of the grid squares that pair hits with spans, in page units, and most squares along an edge of a box.
 GRID = 64.0
+MOST_SQUARES = 32
 BOX = ["doc", "page", "x0", "y0", "x1", "y1"]
 
 
@@ -68,25 +69,39 @@ def _squares(low: str, high: str) -> Column:
     return F.explode(F.sequence(first, F.greatest(first, F.floor(F.col(high) / GRID).cast("bigint"))))
 
 
+def _large(x0: str, y0: str, x1: str, y1: str) -> Column:
+    return F.greatest(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0)) > GRID * MOST_SQUARES
+
+
+def _corner(low: str, square: str) -> Column:
+    """Whether a square holds the upper or left edge of the overlap: of several shared squares one does."""
+    return F.col(square) == F.floor(F.greatest(F.col(low), F.col(f"s_{low}")) / GRID).cast("bigint")
+
+
 def best_spans(hits: DataFrame, spans: DataFrame) -> DataFrame:
     """For each distinct hit box the span that shares the largest area; the first span wins a tie.
 
     Copies of one box count once on both sides: the first of equal spans would win
     anyway. Both sides go to the grid squares they touch and meet per square, so a
-    page that holds most of the corpus is split by position and only neighbours pair up.
+    page that holds most of the corpus is split by position and only neighbours pair up, each pair once.
+    The few boxes beyond ``MOST_SQUARES`` squares meet the others of their page instead.
     """
-    placed = hits.select(*BOX).distinct()
-    placed = placed.withColumn("_gx", _squares("x0", "x1")).withColumn("_gy", _squares("y0", "y1"))
+    placed = hits.select(*BOX).distinct().withColumn("_wide", _large(*BOX[2:]))
     style = F.struct("span_id", "size", "color", "font", "origin_y")
     boxes = spans.groupBy(*BOX).agg(F.min_by(style, "span_id").alias("span")).select(
         "doc", "page", "span", *[F.col(c).alias(f"s_{c}") for c in BOX[2:]]
     )
-    boxes = boxes.withColumn("_gx", _squares("s_x0", "s_x1")).withColumn("_gy", _squares("s_y0", "s_y1"))
+    boxes = boxes.withColumn("_s_wide", _large("s_x0", "s_y0", "s_x1", "s_y1"))
     touching = (
         (F.col("x0") < F.col("s_x1")) & (F.col("s_x0") < F.col("x1"))
         & (F.col("y0") < F.col("s_y1")) & (F.col("s_y0") < F.col("y1"))
     )
-    paired = placed.join(boxes, ["doc", "page", "_gx", "_gy"]).where(touching)
+    hit_squares = placed.where("NOT _wide").withColumn("_gx", _squares("x0", "x1")).withColumn("_gy", _squares("y0", "y1"))
+    span_squares = boxes.where("NOT _s_wide").withColumn("_gx", _squares("s_x0", "s_x1")).withColumn("_gy", _squares("s_y0", "s_y1"))
+    near = hit_squares.join(span_squares, ["doc", "page", "_gx", "_gy"]).where(touching & _corner("x0", "_gx") & _corner("y0", "_gy"))
+    wide = placed.where("_wide").join(boxes, ["doc", "page"]).where(touching)
+    under_wide = placed.where("NOT _wide").join(boxes.where("_s_wide"), ["doc", "page"]).where(touching)
+    paired = near.drop("_gx", "_gy").unionByName(wide).unionByName(under_wide)
     rank = F.struct(geo.overlap_area("", "s_").alias("area"), (-F.col("span.span_id")).alias("order"))
     return paired.groupBy(*BOX).agg(F.max_by("span", rank).alias("span"))
 

@@ -11,7 +11,8 @@ then exactly.
 Documents with equal sets are one node from the start. The members of a piece are not paired with one another but with one leader
 (first within a task, then among the tasks' leaders, so a piece that a third of all sets have sends one row per task), and
 components are formed of the pairs that hold. Only where a piece still has members of different components are those
-compared with each other. So no link between different texts is lost, and copies make no pairs.
+compared with each other, in blocks of bounded size: a few times along a spanning forest of the possible pairs, then for
+all possible pairs that still lie between components. So no link between different texts is lost, and copies make no pairs.
 
 Defined results: a text without words (null, empty, blank) has an empty set and links with nothing, its component is its own
 id; with fewer words than a shingle, the whole sequence is one shingle; rows equal in text are in one component whatever their
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilcraft.llm.common import RollingHash, flat, mix, slices
+from veilcraft.llm import blocks
+from veilcraft.llm.common import RollingHash, flat, mix, slices, squeezed, unsqueezed
 from veilcraft.llm.components import components
 from veilcraft.session import materialize
 
@@ -38,6 +40,10 @@ BIT_WORDS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 1 << PI
 #: A task hands on its pieces when it has so many, or so many documents.
 FLUSH_ROWS, FLUSH_SETS = 4 << 20, 1 << 16
 KEY_BYTES = 6
+#: Sets of a piece that are compared in one place at a time.
+BLOCK = 1024
+#: How often possible pairs that tie the components of a piece are tried before all that are left.
+FOREST_ROUNDS = 3
 
 
 @dataclass(frozen=True)
@@ -229,6 +235,36 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(leader), pa.array(member)], ["star_key", "star_a", "star_b"])
 
 
+def forest(near: np.ndarray, left: np.ndarray, right: np.ndarray, labels: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the possible pairs (rows of ``left``, of ``right``), enough to connect all labels that they connect."""
+    draw = np.random.Generator(np.random.PCG64([seed, len(left), len(right)]))
+    names, number = np.unique(labels, return_inverse=True)
+    done, rows, columns = np.zeros(len(names), bool), [], []
+    place, other = np.full(len(labels), -1), np.full(len(labels), -1)
+    place[left], other[right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(number, kind="stable")
+    edges = np.searchsorted(number[order], np.arange(len(names) + 1))
+    for start in draw.permutation(len(names)):
+        if done[start]:
+            continue
+        done[start], waiting = True, [start]
+        while waiting:
+            label = waiting.pop()
+            for member in draw.permutation(order[edges[label] : edges[label + 1]]):
+                for found, at in ((right, near[place[member]]) if place[member] >= 0 else (right[:0], None), (left, near[:, other[member]]) if other[member] >= 0 else (left[:0], None)):
+                    if at is None:
+                        continue
+                    met = np.flatnonzero(at)
+                    met = draw.permutation(met[~done[number[found[met]]]])
+                    fresh, first = np.unique(number[found[met]], return_index=True)
+                    done[fresh] = True
+                    waiting += fresh.tolist()
+                    for k in met[first]:
+                        rows.append(place[member] if found is right else k)
+                        columns.append(k if found is right else other[member])
+    return np.array(rows, np.int64), np.array(columns, np.int64)
+
+
 class Join:
     """The steps of one join; intermediate tables are in the shared folder."""
 
@@ -259,27 +295,57 @@ class Join:
         close = (100 * smaller >= self.bands.percent * larger) & (apart * self.bands.percent <= smaller * (100 - self.bands.percent))
         return pairs.where(close).select("a", "b", "n_a", "n_b")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that hold, by their whole sets."""
-        pairs = materialize(self.possible(pairs), "jaccard-pairs")
-        if pairs.isEmpty():
-            return pairs.select("a", "b")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        places = self.sets.join(needed, "set_id").select("set_id", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"))
-        keyed = self.docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-        texts = keyed.join(places, (F.col("text_hash") == F.col("at_hash")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("set_id", "text")
+    def between(self, members: DataFrame, seed: int | None = None) -> DataFrame:
+        """Pairs (a, b) of a piece's members (key, set_id, label, n, sketch) with different labels that sizes and sketches allow.
+
+        Members meet in blocks, and no row leaves for a pair that is not possible. With a seed, of all possible pairs of a block
+        only those of a spanning forest leave, as many as labels at most.
+        """
+        percent = self.bands.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in blocks.groups(batches):
+                low, block = group["low"][0].as_py(), group["block"].to_numpy()
+                sets, labels, sizes = (group[name].to_numpy() for name in ("set_id", "label", "n"))
+                bits = np.unpackbits(np.array(group["sketch"].to_pylist(), np.int64).view(np.uint8).reshape(len(sets), -1), axis=1)
+                signs = 1 - 2 * bits.astype(np.float32)
+                left, right = np.flatnonzero(block == low), np.flatnonzero(block == group["high"][0].as_py())
+                apart = (SHORT_BITS - signs[left] @ signs[right].T) / 2
+                smaller, larger = (least(sizes[left][:, None], sizes[right][None, :]) for least in (np.minimum, np.maximum))
+                near = (labels[left][:, None] != labels[right][None, :]) & (100 * smaller >= percent * larger) & (apart * percent <= smaller * (100 - percent))
+                rows, columns = np.nonzero(near) if seed is None else forest(near, left, right, labels, seed)
+                x, y = sets[left[rows]], sets[right[columns]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        return blocks.in_order(blocks.dealt(members, "set_id", BLOCK)).mapInArrow(run, "a long, b long")
+
+    def shingles(self, wanted: DataFrame) -> DataFrame:
+        """(set_id, shingles) of the sets wanted, from the texts."""
+        places = self.sets.join(wanted, "set_id").select("set_id", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"))
+        keyed = squeezed(self.docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")))
+        texts = keyed.join(places, (F.col("text_hash") == F.col("at_hash")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("set_id", "squeezed")
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text"):
-                    found = [x.view(np.int64) for x in shingle_sets(part.column("text"), words)]
+                for start in range(0, batch.num_rows, 64):
+                    part = batch.slice(start, 64)
+                    whole = pa.array([unsqueezed(z) for z in part.column("squeezed").to_pylist()], pa.large_binary()).cast(pa.large_string())
+                    found = [x.view(np.int64) for x in shingle_sets(whole, words)]
                     yield pa.RecordBatch.from_arrays([part.column("set_id"), pa.array(found, pa.list_(pa.int64()))], ["set_id", "shingles"])
 
-        whole = texts.mapInArrow(run, "set_id long, shingles array<long>")
+        return texts.mapInArrow(run, "set_id long, shingles array<long>").dropDuplicates(["set_id"])
+
+    def links(self, pairs: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+        """Those of the pairs (a, b) that hold, by their whole sets."""
+        pairs = materialize(self.possible(pairs), "jaccard-pairs")
+        if pairs.isEmpty():
+            return pairs.select("a", "b")
+        if whole is None:
+            whole = self.shingles(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
         both = pairs.join(whole.toDF("a", "of_a"), "a").join(whole.toDF("b", "of_b"), "b")
         shared = F.size(F.array_intersect("of_a", "of_b"))
-        return both.where(self.similar(shared, F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
+        return both.where(self.similar(shared, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
     def components(self) -> DataFrame:
         """(node, component) over set ids, for sets that link with another."""
@@ -287,17 +353,30 @@ class Join:
         tried = self.stars.select(*ordered).distinct()
         links = materialize(self.links(tried), "jaccard-links")
         known = materialize(components(links), "jaccard-components")
-        # pieces whose members are not all in one component: those of different components meet there
-        labels = known.toDF("set_id", "label")
-        label = F.coalesce(F.col("label"), F.col("set_id")).alias("label")
         members = self.stars.select("key", F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        labelled = members.join(labels, "set_id", "left").select("key", "set_id", label)
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
-        open_rows = materialize(labelled.join(mixed, "key"), "jaccard-open")
-        pairs = open_rows.alias("l").join(open_rows.alias("r"), "key").where("l.label < r.label").select(F.col("l.set_id").alias("a"), F.col("r.set_id").alias("b"))
-        pairs = pairs.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti")
-        more = materialize(self.links(pairs), "jaccard-links")
-        return known if more.isEmpty() else components(links.union(more))
+        members = self.mixed(members, known)
+        if members.isEmpty():
+            return known
+        # members of one piece in different components meet: first some possible pairs that tie most of them, then all that are left
+        members = members.drop("label").join(self.sets.select("set_id", "n", "sketch"), "set_id")
+        members = materialize(members, "jaccard-open")
+        whole = materialize(self.shingles(members.select("set_id").distinct()), "jaccard-sets")
+        for seed in (*range(FOREST_ROUNDS), None):
+            still = self.mixed(members, known)
+            pairs = materialize(self.between(still, seed).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-tried")
+            more = materialize(self.links(pairs, whole), "jaccard-links")
+            tried = tried.union(pairs)
+            if not more.isEmpty():
+                links = links.union(more)
+                known = materialize(components(links), "jaccard-components")
+        return known
+
+    def mixed(self, members: DataFrame, known: DataFrame) -> DataFrame:
+        """The members (key, set_id, ...) of pieces that have members of several components, with the component as ``label``."""
+        labels = known.toDF("set_id", "label")
+        labelled = members.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+        several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2")
+        return materialize(labelled.join(several.select("key"), "key"), "jaccard-mixed")
 
     def classes(self) -> DataFrame:
         """(set_id, component_id): the least document id of each component."""

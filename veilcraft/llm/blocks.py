@@ -22,7 +22,7 @@ def dealt(members: DataFrame, id_column: str, size: int) -> DataFrame:
 def in_order(rows: DataFrame) -> DataFrame:
     """The rows of two blocks one after the other."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(4 * partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return rows.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
 
 
 def groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("key", "low", "high")) -> Iterator[pa.Table]:

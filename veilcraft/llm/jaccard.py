@@ -43,7 +43,7 @@ KEY_BYTES = 6
 #: Sets of a piece that are compared in one place at a time.
 BLOCK = 1024
 #: How often possible pairs that tie the components of a piece are tried before all that are left.
-FOREST_ROUNDS = 3
+FOREST_ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -289,6 +289,8 @@ class Join:
         """The pairs (a, b) that sizes and short sketches do not exclude, with the sizes."""
         sized = self.sets.select("set_id", "n", "sketch")
         for side in "ab":
+            if still.isEmpty():
+                break
             pairs = pairs.join(sized.toDF(side, f"n_{side}", f"sketch_{side}"), side)
         apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
         smaller, larger = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
@@ -364,6 +366,8 @@ class Join:
         for seed in (*range(FOREST_ROUNDS), None):
             still = self.mixed(members, known)
             pairs = materialize(self.between(still, seed).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-tried")
+            if pairs.isEmpty():
+                continue
             more = materialize(self.links(pairs, whole), "jaccard-links")
             tried = tried.union(pairs)
             if not more.isEmpty():

@@ -289,8 +289,6 @@ class Join:
         """The pairs (a, b) that sizes and short sketches do not exclude, with the sizes."""
         sized = self.sets.select("set_id", "n", "sketch")
         for side in "ab":
-            if still.isEmpty():
-                break
             pairs = pairs.join(sized.toDF(side, f"n_{side}", f"sketch_{side}"), side)
         apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
         smaller, larger = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
@@ -365,6 +363,8 @@ class Join:
         whole = materialize(self.shingles(members.select("set_id").distinct()), "jaccard-sets")
         for seed in (*range(FOREST_ROUNDS), None):
             still = self.mixed(members, known)
+            if still.isEmpty():
+                break
             pairs = materialize(self.between(still, seed).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-tried")
             if pairs.isEmpty():
                 continue

@@ -7,9 +7,11 @@ windows. They are sorted by passes over digits, most significant first, and a gr
    one, and about one start in a hundred is an anchor for all windows around it). Anchors that occur once leave.
 2. The second digit is all that windows with this anchor can read, up to ``length - DIGIT`` bytes before it and ``length``
    bytes from it on. Where that is equal, all those windows are, so such places are done; one of them stands for them.
-3. Among the remaining places of an anchor, the last digit orders the single windows: their hashes are sorted in groups of
-   bounded size. An anchor with more different surroundings is dealt into several groups, and windows that are alone in their
-   group meet those of the anchor's other groups in a count by hash.
+3. An anchor that still has more than ``GROUP`` different surroundings takes another digit: half of what a window reads beside
+   the anchor, on the left for windows that reach far to the left and on the right for the others. Places alone with theirs
+   leave, and equal ones are done, as before.
+4. The last digit orders the single windows: their hashes are sorted in groups of bounded size. Where there are more places, they
+   are dealt into several groups, and windows that are alone in their group meet those of the others in a count by hash.
 
 Windows are compared by 128 bits (the anchor's and their own). Counts combine before every shuffle; what moves are anchors of
 24 bytes, the surroundings of undecided places, and compressed texts twice. Nothing is gathered but the places of one document
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ from veilcraft.llm.common import RollingHash, flat, mix, slices, squeezed, unsqu
 from veilcraft.session import materialize
 
 LENGTH, DIGIT = 400, 200
-GROUP = 512
+GROUP = 2048
 PIECE_BYTES = 1 << 20
 #: Bits that number the places of a slice or piece while anchors are chosen; the others are the hash's.
 _PLACE_BITS = 24
@@ -97,13 +100,32 @@ def anchor_table(docs: DataFrame, length: int, digit: int) -> DataFrame:
     return packed.select("doc_id", "text_hash", F.explode(F.arrays_zip(*names)).alias("a")).select("doc_id", "text_hash", "a.*")
 
 
-def surroundings(docs: DataFrame, open_places: DataFrame) -> DataFrame:
-    """The undecided places with the bytes around them."""
-    item = F.struct("anchor", "around", "place", "before", "onward", "groups")
+def halves(places: pa.Table, length: int, digit: int) -> Iterator[tuple[int, int, int, bytes, int]]:
+    """Row, side, bytes before the anchor, bytes to read and next digit: whole for an anchor of few places, else one for either side."""
+    beside = length - digit
+    half = beside // 2
+    for row, (around, before, many) in enumerate(zip(places["bytes"].to_pylist(), places["before"].to_pylist(), places["many"].to_pylist())):
+        if not many:
+            yield row, 0, before, around, 0
+            continue
+        if before >= half:  # windows with at least half of the rest on the left
+            yield row, 1, before, around[: before + digit + beside - half], _digest(around[before - half : before])
+        if len(around) - before >= digit + half:  # windows with less than half on the left
+            kept = min(before, half - 1)
+            if kept >= 0:
+                yield row, 2, kept, around[before - kept :], _digest(around[before + digit : before + digit + half])
+
+
+def _digest(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+def surroundings(docs: DataFrame, open_places: DataFrame, length: int, digit: int) -> DataFrame:
+    """The undecided places with the bytes that their windows read; ``second`` tells side and next digit, ``around`` all bytes."""
+    item = F.struct("anchor", "place", "before", "onward", "many")
     by_doc = open_places.groupBy("doc_id", "text_hash").agg(F.collect_list(item).alias("items"))
     joined = with_texts(docs, by_doc, "inner")
     id_type = joined.schema["doc_id"].dataType.simpleString()
-    kinds = {"anchor": pa.int64(), "around": pa.int64(), "place": pa.int32(), "before": pa.int16(), "onward": pa.int16(), "groups": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,10 +137,17 @@ def surroundings(docs: DataFrame, open_places: DataFrame) -> DataFrame:
                 places, before, onward = (items.field(name).to_numpy() for name in ("place", "before", "onward"))
                 texts = [unsqueezed(z) for z in part.column("squeezed").to_pylist()]
                 around = [texts[r][p - b : p + o] for r, p, b, o in zip(rows.to_pylist(), places.tolist(), before.tolist(), onward.tolist())]
-                columns = [part.column("doc_id").take(rows), part.column("text_hash").take(rows), *(items.field(name) for name in kinds), pa.array(around, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *kinds, "bytes"])
+                found = list(halves(pa.table({"bytes": pa.array(around, pa.binary()), "before": pa.array(before), "many": items.field("many")}), length, digit))
+                take = pa.array([row for row, *_ in found], pa.int64())
+                owner = rows.take(take)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(owner), part.column("text_hash").take(owner), items.field("anchor").take(take), items.field("place").take(take),
+                     items.field("many").take(take), pa.array([b for _, _, b, _, _ in found], pa.int32()), pa.array([d + s for _, s, _, _, d in found], pa.int64()),
+                     pa.array([_digest(x + bytes([b % 256, b // 256])) for _, _, b, x, _ in found], pa.int64()), pa.array([x for _, _, _, x, _ in found], pa.binary())],
+                    ["doc_id", "text_hash", "anchor", "place", "many", "before", "second", "around", "bytes"],
+                )
 
-    return joined.mapInArrow(run, f"doc_id {id_type}, text_hash long, anchor long, around long, place int, before short, onward short, groups int, bytes binary")
+    return joined.mapInArrow(run, f"doc_id {id_type}, text_hash long, anchor long, place int, many boolean, before int, second long, around long, bytes binary")
 
 
 def with_texts(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
@@ -131,7 +160,7 @@ def with_texts(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
 
 def sorted_windows(group: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The windows of a group's places: place's row, start within its bytes, hash; ordered by hash."""
-    sizes = group["before"].to_numpy().astype(np.int64) + group["onward"].to_numpy()
+    sizes = np.array([len(x) for x in group["bytes"].to_pylist()], np.int64)
     data = np.frombuffer(b"".join(group["bytes"].to_pylist()), np.uint8)
     begin = np.concatenate(([0], np.cumsum(sizes)))
     counts = np.maximum(np.minimum(group["before"].to_numpy().astype(np.int64) + 1, sizes - length + 1), 0)
@@ -181,7 +210,7 @@ def decided(places: DataFrame, length: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             rows = pa.Table.from_batches([*held, batch]).combine_chunks()
-            marks = np.column_stack((rows["anchor"].to_numpy(), rows["group"].to_numpy()))
+            marks = np.column_stack([rows[name].to_numpy() for name in ("anchor", "second", "group")])
             cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist()]
             for begin, end in zip(cuts, cuts[1:]):
                 yield from solve(rows.slice(begin, end - begin))
@@ -204,16 +233,24 @@ def repeated_intervals(docs: DataFrame, length: int, digit: int) -> DataFrame:
     done = places.where(F.col("before") + F.col("onward") >= length).join(equal, ["anchor", "around"])
     done = done.select("doc_id", "text_hash", (F.col("place") - F.col("before")).cast("long").alias("start"), (F.col("place") + F.col("onward")).cast("long").alias("end"))
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    groups = F.ceil(F.col("kinds") / GROUP).cast("int")
-    open_places = kinds.join(several, "anchor").select("anchor", "around", "at.*", groups.alias("groups"))
-    near = surroundings(docs, open_places).withColumn("group", F.pmod("around", "groups"))
+    open_places = kinds.join(several, "anchor").select("anchor", "at.*", (F.col("kinds") > GROUP).alias("many"))
+    near = materialize(surroundings(docs, open_places, length, digit), "suffix-surroundings")
+    few = near.where("not many").withColumns({"groups": F.lit(1), "group": F.lit(0)})
+    # the next digit of anchors with many places: alone, equal, or to be sorted in groups
+    many, digits = near.where("many"), ["anchor", "second"]
+    alike = materialize(many.groupBy(*digits, "around").agg(F.count("*").alias("n")), "suffix-kinds")
+    same = many.where(F.octet_length("bytes") >= length).join(alike.where("n > 1").drop("n"), [*digits, "around"])
+    start = (F.col("place") - F.col("before")).cast("long")
+    done = done.unionByName(same.select("doc_id", "text_hash", start.alias("start"), (start + F.octet_length("bytes")).alias("end")))
+    left = alike.groupBy(*digits).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*digits, F.ceil(F.col("kinds") / GROUP).cast("int").alias("groups"))
+    rest = many.dropDuplicates([*digits, "around"]).join(left, digits).withColumn("group", F.pmod("around", "groups").cast("int"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = near.repartition(partitions, "anchor", "group").sortWithinPartitions("anchor", "group")
+    near = few.unionByName(rest).repartition(partitions, "anchor", "second", "group").sortWithinPartitions("anchor", "second", "group")
     solved = materialize(decided(near, length), "suffix-windows")
     interval = ("doc_id", "text_hash", "start", "end")
-    left = solved.where("alone is not null")
-    met = left.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    late = left.where("alone").join(met, ["anchor", "window"])
+    lone = solved.where("alone is not null")
+    met = lone.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+    late = lone.where("alone").join(met, ["anchor", "window"])
     return done.unionByName(solved.where("alone is null").select(*interval)).unionByName(late.select(*interval))
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilcraft.llm.common import slices
+from veilcraft.llm.common import slices, squeezed, unsqueezed
 from veilcraft.session import materialize
 
 RUN = 3
@@ -37,17 +38,23 @@ _BLANKS = re.compile(f"{BLANK}+")
 
 def sentences(text: str) -> list[tuple[str, int, int]]:
     """Each sentence with blanks collapsed, and where it and the blanks behind it begin and end."""
-    return [(_BLANKS.sub(" ", m.group(1).rstrip(" \t\n\v\f\r")), m.start(), m.end()) for m in _SEGMENT.finditer(text)]
+    return [(collapsed(m.group(1)), m.start(), m.end()) for m in _SEGMENT.finditer(text)]
+
+
+def collapsed(sentence: str) -> str:
+    sentence = sentence.rstrip(" \t\n\v\f\r")
+    return sentence if "  " not in sentence and sentence.isprintable() else _BLANKS.sub(" ", sentence)
 
 
 def spans(found: list[tuple[str, int, int]], run: int = RUN, long_words: int = LONG_WORDS) -> tuple[list[bytes], list[int], list[int]]:
     """Hash, first sentence and number of sentences of every span."""
     names, firsts, lengths = [], [], []
-    words = np.concatenate(([0], np.cumsum([s.count(" ") + 1 for s, _, _ in found]))).tolist()
+    words = [0, *accumulate(s.count(" ") + 1 for s, _, _ in found)]
+    data = [s.encode("utf-8", "replace") for s, _, _ in found]
     for i in range(len(found)):
         for length in range(1, min(run, len(found) - i) + 1):
             if length == run or words[i + length] - words[i] >= long_words:
-                names.append(xxhash.xxh3_128_digest("\n".join(s for s, _, _ in found[i : i + length]).encode("utf-8", "replace")))
+                names.append(xxhash.xxh3_128_digest(b"\n".join(data[i : i + length])))
                 firsts.append(i)
                 lengths.append(length)
     return names, firsts, lengths
@@ -72,13 +79,16 @@ def span_places(docs: DataFrame, run: int, long_words: int) -> DataFrame:
 
 def covered_sentences(docs: DataFrame, run: int, long_words: int) -> DataFrame:
     """doc_id, text_hash, and the spans to remove: ``later`` in any row, ``every`` also where the row repeats an earlier one."""
-    placed = materialize(span_places(docs, run, long_words), "sentence-spans")
+    # computed twice rather than written: spans are as large as the texts
+    placed = span_places(docs, run, long_words)
     rows = placed.select("doc_id", "text_hash", F.explode(F.arrays_zip("h1", "h2", "first", "length")).alias("s")).select("doc_id", "text_hash", "s.*")
+    counts = rows.groupBy("h1", "h2").agg(F.count("*").alias("places")).where("places > 1").select("h1", "h2")
+    places = materialize(rows.join(counts, ["h1", "h2"]), "sentence-places")
     at = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"), F.col("first"))
-    repeated = rows.groupBy("h1", "h2").agg(F.count("*").alias("places"), F.min(at).alias("kept_at")).where("places > 1")
-    repeated = repeated.select("h1", "h2", F.col("kept_at.doc_id").alias("kept_id"), F.col("kept_at.text_hash").alias("kept_hash"), F.col("kept_at.first").alias("kept_first"))
+    kept = places.groupBy("h1", "h2").agg(F.min(at).alias("kept_at"))
+    kept = kept.select("h1", "h2", F.col("kept_at.doc_id").alias("kept_id"), F.col("kept_at.text_hash").alias("kept_hash"), F.col("kept_at.first").alias("kept_first"))
     here = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("text_hash").eqNullSafe(F.col("kept_hash")) & (F.col("first") == F.col("kept_first"))
-    places = rows.join(repeated, ["h1", "h2"]).select("doc_id", "text_hash", "first", "length", (~here).alias("later")).distinct()
+    places = places.join(kept, ["h1", "h2"]).select("doc_id", "text_hash", "first", "length", (~here).alias("later")).distinct()
     span = F.struct("first", "length")
     return places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.when(F.col("later"), span)).alias("later"), F.collect_list(span).alias("every"))
 
@@ -89,22 +99,24 @@ def remove_spans(
     """doc_id, n_sentences, n_removed and ``kept``, the text without the sentences that repeat an earlier passage."""
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     covered = covered_sentences(named, run, long_words).toDF("__id", "__hash", "later", "every")
-    keyed = named.withColumn("text_hash", F.xxhash64("text"))
+    keyed = squeezed(named.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.col("text").isNull().alias("missing")))
     joined = keyed.join(covered, (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     copy = F.row_number().over(Window.partitionBy("text_hash", "doc_id").orderBy(F.lit(1)))
-    chosen = joined.select("doc_id", "text", F.when(copy == 1, F.col("later")).otherwise(F.col("every")).alias("spans"))
+    chosen = joined.select("doc_id", "squeezed", "missing", F.when(copy == 1, F.col("later")).otherwise(F.col("every")).alias("spans"))
     id_type = named.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 counts, removed, kept = [], [], []
-                for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                    segments = sentences(text or "")
+                for packed, missing, found in zip(*(part.column(name).to_pylist() for name in ("squeezed", "missing", "spans"))):
+                    text = unsqueezed(packed).decode()
+                    segments = sentences(text)
                     gone = {i for span in found or () for i in range(span["first"], span["first"] + span["length"])}
                     counts.append(len(segments)), removed.append(len(gone))
                     stays = [text[start:end] for i, (_, start, end) in enumerate(segments) if i not in gone]
-                    kept.append(text if not gone else text[: segments[0][1]] + "".join(stays))
+                    kept.append(None if missing else text if not gone else text[: segments[0][1]] + "".join(stays))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                     ["doc_id", "n_sentences", "n_removed", "kept"],

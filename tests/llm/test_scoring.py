@@ -67,3 +67,51 @@ def test_model_beats_base_where_context_tells(spark):
     none = scoring.score_texts(same, F.lit(False), classes=4).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and abs(r.base_score) < 1e-9 for r in none)
     assert scoring.score_texts(same.limit(0), F.lit(True)).count() == 0
+
+
+def brute_grams(texts):
+    found = [Counter(), Counter(), Counter()]
+    for text in texts:
+        padded = ["</s>", "</s>", *words(text)]
+        for i in range(2, len(padded)):
+            for k in range(3):
+                found[k][tuple(padded[i - k : i + 1])] += 1
+    return found
+
+
+@pytest.mark.parametrize("chunk_bytes, range_bytes", [(12 << 20, 8 << 20), (60, 40)])
+def test_counts_of_all_ngrams_equal_brute_force(spark, chunk_bytes, range_bytes):
+    draw = np.random.default_rng(7)
+    texts = [" ".join(f"w{draw.zipf(1.3) % 90}" for _ in range(draw.integers(0, 40))) for _ in range(70)] + [None, "", "a", "a b"]
+    uses = [i % 3 for i in range(len(texts))]
+    rows = spark.createDataFrame([(i, t, u > 0, u) for i, (t, u) in enumerate(zip(texts, uses))], "doc_id long, text string, training boolean, use int").repartition(3)
+    stored = scoring.materialize(scoring.chunks(rows, chunk_bytes).withColumn("chunk", F.monotonically_increasing_id()), "test-chunks")
+    answers = scoring.replies(scoring.requests(stored, 1 + sum(len(t or "") for t in texts) // range_bytes)).toArrow()
+    want = {"totals": brute_grams(t for t, u in zip(texts, uses) if u), "kept": brute_grams(t for t, u in zip(texts, uses) if u == scoring.KEPT)}
+    seen = 0
+    for chunk in stored.collect():
+        answer = answers.filter(scoring.pc.equal(answers["chunk"], chunk.chunk))
+        hashes, begins = scoring.chunk_tokens(chunk.docs)
+        ids = [i for batch in scoring.opened(chunk.docs) for i in batch.column("doc_id").to_pylist()]
+        for column in ("totals", "kept") if chunk.use == scoring.DELETED else ("totals",):
+            got = scoring.token_counts(scoring.grams(hashes, begins), answer, column)
+            for at, i in enumerate(ids):
+                padded = ["</s>", "</s>", *words(texts[i])]
+                for k in range(3):
+                    assert got[k, begins[at] : begins[at + 1]].tolist() == [want[column][k][tuple(padded[j - k : j + 1])] for j in range(2, len(padded))]
+        seen += len(ids)
+    assert seen == len(texts)
+
+
+def test_order_of_words_outside_the_classes_counts(spark):
+    docs = [(i, "common " * 20 + "rare words meet here " * 2) for i in range(40)] + [(100, "common rare words meet here"), (101, "common rare meet words here"), (102, "common words rare meet here")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for sizes in ({}, {"chunk_bytes": 100, "range_bytes": 50}):
+        got = {r.doc_id: r.score for r in scoring.score_texts(table, F.col("doc_id") < 100, classes=3, **sizes).collect()}
+        assert got[100] > got[101] + 1 and got[100] > got[102] + 1
+
+
+def test_word_weights_follow_the_better_estimate():
+    cells = np.array([[5, 12, scoring.NEVER], [5, scoring.NEVER, 8], [7, scoring.NEVER, scoring.NEVER]])
+    weights = scoring.word_weights(cells, np.array([90, 10, 50]))
+    assert np.allclose(weights.sum(axis=1), 1) and weights[5, 0] > 0.8 and weights[7, 2] > 0.9 and weights[0].tolist() == [0, 0, 1]

@@ -67,3 +67,33 @@ def test_tables(spark):
     assert safe.columns == docs.columns and safe.count() == 5
     assert {r.text for r in safe.where("doc_id = 1 or doc_id is null").collect()} == {"mail [EMAIL]", None}
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, kind, value", [
+    ("IBAN DE89 3704 0044 0532 0130 00 Please pay", "iban", "DE89 3704 0044 0532 0130 00"),
+    ("IBAN DE89370400440532013000 BIC X", "iban", "DE89370400440532013000"),
+    ("Iban: GB82WEST12345698765432 The bank", "iban", "GB82WEST12345698765432"),
+    ("iban_number: NO93 8601 1117 947 2", "iban", "NO93 8601 1117 947"),
+    ("Account no: 12345678 2nd try", "account", "12345678"),
+    ("ACCOUNT NO: 1234 5678 90 3rd", "account", "1234 5678 90"),
+    ("account_number=12345678", "account", "12345678"),
+    ("Social Security number: 123-45-6789.", "account", "123-45-6789"),
+    ("İ Social Security: 123-45-6789", "account", "123-45-6789"),
+    ("account " + "1234567890" * 3 + " 12345", "account", "1234567890" * 3),
+    ("Api_Key: 0af3c4d2e1b5968877aa", "secret", "0af3c4d2e1b5968877aa"),
+    ("Access_Key=0af3c4d2e1b5968877aa", "secret", "0af3c4d2e1b5968877aa"),
+    ("MY_API_KEY=0af3c4d2e1b5968877aa", "secret", "0af3c4d2e1b5968877aa"),
+    ("aws_secret_access_key = '0af3c4d2e1b5968877aa'", "secret", "0af3c4d2e1b5968877aa"),
+])
+def test_values_end_where_they_end_and_cues_have_any_case(text, kind, value):
+    assert [text[a:b] for a, b in pii.Finder().find(text)[kind]] == [value]
+    assert value not in pii.redacted(text) and f"[{kind.upper()}]" in pii.redacted(text)
+
+
+@pytest.mark.parametrize("text", [
+    "IBAN DE88 3704 0044 0532 0130 00 Please pay", "IBAN DE89 3704", "account 12345", "account 12345 6th", "account 12345678x", "account " + "1" * 35,
+    "accountant_x 12345678", "mytoken: 0af3c4d2e1b5968877aa", "token_id gesture",
+])
+def test_cues_without_values(text):
+    found = pii.Finder().find(text)
+    assert not any(found[kind] for kind in ("account", "iban", "secret", "url"))

@@ -7,8 +7,10 @@ run of digits or letters is.
 
 Kinds, in the order in which spans are listed: ``email ip card phone`` (the base, equal to a leftmost scan per kind with
 the patterns in the comments; a match that fails its check is dropped and not retried), then ``account`` (digits after a word
-such as *account* or *SSN*), ``iban`` (checked modulo 97), ``secret`` (a long value assigned to a word such as *token*) and
-``url`` (from a scheme to the next blank or bracket). Offsets are code points, the end is exclusive.
+such as *account* or *SSN*, up to the last whole group of digits), ``iban`` (as long as its country's are, checked modulo 97),
+``secret`` (a long value assigned to a word such as *token*) and
+``url`` (from a scheme to the next blank or bracket). Words that announce a value are found in any case of ASCII letters, behind an underscore, and with word parts joined
+by underscores behind them. Offsets are code points, the end is exclusive.
 
 Defined results: null or empty text has no spans; null stays null when texts are redacted; rows are independent, so repeated
 rows get equal results; other columns pass through and may have any name.
@@ -41,13 +43,25 @@ SECRET_CUES = ("token", "api_key", "apikey", "api-key", "secret", "password", "p
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+_PART = _WORD - {"_"}
+#: How long the IBANs of a country are.
+IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (line.split(":") for line in (
+        "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV", "22:BG BH CR DE GB GE IE ME RS VA",
+        "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM",
+        "28:AL AZ BY CY DO GT HN HU LB NI PL SV", "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+    ))
+    for country in countries.split()
+}
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _PHONE_REST = re.compile(r"[ ().0-9-]++")
-_ACCOUNT = re.compile(r"(?: ?(?:number|no|nr|id)\b\.?)?[ :#=]{1,3}([0-9](?:[ -]?[0-9]){5,33}+)(?![0-9A-Za-z])", re.IGNORECASE)
-_IBAN = re.compile(r"[ :#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+)")
-_SECRET = re.compile(r"[\"']? ?[:=] ?[\"']?([A-Za-z0-9+/_.=-]{16,}+)")
+_PARTS = r"(?:_[A-Za-z0-9]{1,32}){0,4}+"
+_ACCOUNT = re.compile(_PARTS + r"(?: ?(?:number|no|nr|id)\b\.?)?[ :#=]{1,3}([0-9]{1,34}+(?![0-9A-Za-z])(?:[ -][0-9]{1,34}+(?![0-9A-Za-z])){0,33}+)", re.IGNORECASE)
+_IBAN = re.compile(_PARTS + r"[ :#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+)")
+_SECRET = re.compile(_PARTS + r"[\"']? ?[:=] ?[\"']?([A-Za-z0-9+/_.=-]{16,}+)")
 _URL = re.compile(r"[^\s<>\"'()\[\]{}]++")
 
 
@@ -68,6 +82,33 @@ def is_iban(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def lower(text: str) -> str:
+    """The text with A to Z in lower case and nothing else changed, so that every character keeps its place."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def account_end(value: str) -> int:
+    """Where the last whole group of digits ends with which an account number has at most 34 digits; 0 if it has under six."""
+    end = digits = 0
+    for group in re.finditer("[0-9]+", value):
+        if digits + len(group.group()) > 34:
+            break
+        digits, end = digits + len(group.group()), group.end()
+    return end if digits >= 6 else 0
+
+
+def iban_end(value: str) -> int:
+    """Where the IBAN that ``value`` starts with ends, 0 if none does: of its country's length, or of a country unknown the longest."""
+    places = [place for place, sign in enumerate(value) if sign != " "]
+    known = IBAN_LENGTHS.get(value[:2])
+    for length in [known] if known else range(len(places), 14, -1):
+        if length <= len(places):
+            end = places[length - 1] + 1
+            if is_iban(value[:end].replace(" ", "")):
+                return end
+    return 0
+
+
 class Finder:
     """The spans of one text; ``at`` remembers up to where each kind has read."""
 
@@ -79,13 +120,12 @@ class Finder:
         self.anchors.add_word("+", (1, self.plus))
         for cues, parser in ((SCHEMES, self.scheme), (ACCOUNT_CUES, self.account), (IBAN_CUES, self.iban), (SECRET_CUES, self.secret)):
             for cue in cues:
-                for spelling in {cue, cue.upper(), cue.capitalize()}:
-                    self.anchors.add_word(spelling, (len(cue), parser))
+                self.anchors.add_word(cue, (len(cue), parser))
         self.anchors.make_automaton()
 
     def find(self, text: str) -> dict[str, list[Span]]:
         self.text, self.spans, self.read = text, {kind: [] for kind in KINDS}, dict.fromkeys(KINDS, 0)
-        for last, (length, parser) in self.anchors.iter(text):
+        for last, (length, parser) in self.anchors.iter(lower(text)):
             parser(last + 1 - length, last + 1)
         return self.spans
 
@@ -136,20 +176,20 @@ class Finder:
             if end > after:
                 self.keep("url", at, end)
 
-    def announced(self, kind: str, pattern: re.Pattern, at: int, after: int, valid) -> None:
-        """A value of ``kind`` behind a cue that starts a word."""
-        if at >= self.read[kind] and (at == 0 or self.text[at - 1] not in _WORD) and (found := pattern.match(self.text, after)):
-            if valid(found.group(1)):
-                self.keep(kind, found.start(1), found.end(1))
+    def announced(self, kind: str, pattern: re.Pattern, at: int, after: int, end_of) -> None:
+        """A value of ``kind`` behind a cue that starts a word or a word part; ``end_of`` tells how much of it is one, or 0."""
+        if at >= self.read[kind] and (at == 0 or self.text[at - 1] not in _PART) and (found := pattern.match(self.text, after)):
+            if length := end_of(found.group(1)):
+                self.keep(kind, found.start(1), found.start(1) + length)
 
     def account(self, at: int, after: int) -> None:
-        self.announced("account", _ACCOUNT, at, after, lambda value: True)
+        self.announced("account", _ACCOUNT, at, after, account_end)
 
     def iban(self, at: int, after: int) -> None:
-        self.announced("iban", _IBAN, at, after, lambda value: is_iban(value.replace(" ", "")))
+        self.announced("iban", _IBAN, at, after, iban_end)
 
     def secret(self, at: int, after: int) -> None:
-        self.announced("secret", _SECRET, at, after, lambda value: any(map(str.isdigit, value)))
+        self.announced("secret", _SECRET, at, after, lambda value: len(value) * any(map(str.isdigit, value)))
 
 
 @lru_cache(1)

@@ -93,3 +93,11 @@ def test_held_out_accuracy(spark):
     got = catalog.QUERIES["op1_identify_language"](spark, str(SF_DIR)).join(docs, "doc_id").where("held_out and lang is not null")
     right = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert right >= 0.98 and got.where("rejected").count() == 0
+
+
+def test_copies_of_a_text_are_drawn_once(spark, monkeypatch):
+    samples = []
+    monkeypatch.setattr(language, "fit", lambda languages, sample: samples.append(sample))
+    rows = [("one text that many rows hold " * 20, "en")] * 500 + [(f"ein Satz mit der Nummer {i}", "de") for i in range(20)]
+    language.train(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    assert sorted(samples[0]["text"]) == sorted(text for text, _ in set(rows))

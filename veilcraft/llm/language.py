@@ -256,10 +256,14 @@ def calibrate(models: Models, texts: list[str], truth: list[str]) -> None:
 
 
 def train(docs: DataFrame, text_column: str = "text", label_column: str = "lang", sample_chars: int = SAMPLE_CHARS) -> Models:
-    """Models of every label, from about ``sample_chars`` characters of the rows given; null labels and texts are skipped."""
+    """Models of every label, from about ``sample_chars`` characters of the rows given; null labels and texts are skipped.
+
+    Copies of a text with one label count once.
+    """
     labelled = docs.select(F.col(text_column).alias("text"), F.col(label_column).alias("lang")).where("text is not null and lang is not null")
     hashed = labelled.withColumn("h", F.xxhash64("text"))
-    totals = {row["lang"]: row for row in hashed.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.min(F.struct("h")).alias("least")).collect()}
+    distinct = hashed.groupBy("lang", "h").agg(F.max(F.length("text")).alias("size"))
+    totals = {row["lang"]: row for row in distinct.groupBy("lang").agg(F.sum("size").alias("chars"), F.min(F.struct("h")).alias("least")).collect()}
     languages = sorted(totals)
     if not languages:
         return Models([], [], [], [], np.zeros(0, np.float32))
@@ -270,8 +274,9 @@ def train(docs: DataFrame, text_column: str = "text", label_column: str = "lang"
     draw = F.pmod(F.xxhash64("h", "n"), F.lit(1_000_003)) / 1_000_003
     least = F.create_map(*(F.lit(x) for lang in languages for x in (lang, totals[lang]["least"]["h"])))
     chosen = pieces.where((draw < share[F.col("lang")]) | ((F.col("h") == least[F.col("lang")]) & (F.col("n") == 0)))
-    sample = chosen.select(
-        "lang", F.substring("text", F.col("n") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("text"),
+    piece = F.substring("text", F.col("n") * PIECE_CHARS + 1, F.lit(PIECE_CHARS))
+    sample = chosen.select("lang", "h", "n", piece.alias("text")).groupBy("lang", "h", "n").agg(F.min("text").alias("text")).select(
+        "lang", "text",
         (F.pmod(F.xxhash64("n", "h"), F.lit(5)) == 0).alias("held_out"),
     ).toPandas()
     if not (~sample["held_out"]).any() or sample["held_out"].all():

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -48,6 +49,37 @@ def test_equals_brute_force(spark, monkeypatch, group, piece, seed):
     assert suffixes.remove_repeats(table.limit(0), 40).count() == 0
 
 
+@pytest.mark.parametrize("group", [512, 3])
+@pytest.mark.parametrize("period", ["abcd", "ab cdef", "abcdefg "])
+@pytest.mark.parametrize("copies", [1, 2])
+def test_short_period_does_not_repeat_itself(spark, monkeypatch, group, period, copies):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    draw = random.Random(9)
+    text = lambda n: "".join(draw.choice("ghijklm") for _ in range(n))
+    stretch = (period * 100)[:280]
+    docs = [(n, text(164) + stretch + text(164)) for n in range(3)] + [(7, text(350) + stretch + stretch[3:] + text(350))]
+    docs = docs + [(i + 100 * c, t) for i, t in docs for c in range(1, copies)]
+    got = suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in got), key=str) == brute(docs, 400)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="sample tables are absent")
+def test_sample_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = suffixes.remove_repeats(docs).collect()
+    counts, texts = Counter(), [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    for _, d in texts:
+        counts.update(hash(d[i : i + 400]) for i in range(len(d) - 399))
+    expected = []
+    for doc_id, d in texts:
+        gone = bytearray(len(d))
+        for i in range(len(d) - 399):
+            if counts[hash(d[i : i + 400])] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        expected.append((doc_id, bytes(c for c, g in zip(d, gone) if not g)))
+    assert sorted((r.doc_id, bytes(r.kept)) for r in got) == sorted(expected)
+
+
 def test_long_text_in_pieces(monkeypatch):
     import pyarrow as pa
 

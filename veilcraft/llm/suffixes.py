@@ -159,18 +159,31 @@ def with_texts(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
 
 
 def sorted_windows(group: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of a group's places: place's row, start within its bytes, hash; ordered by hash."""
+    """The windows of a group's places, each once: place's row, start within its bytes, hash; ordered by hash.
+
+    In a stretch of short period one anchor stands at several places of a text, and a window that holds two of them is
+    in reach of both; it counts for the first of them only, or it would find itself.
+    """
     sizes = np.array([len(x) for x in group["bytes"].to_pylist()], np.int64)
     data = np.frombuffer(b"".join(group["bytes"].to_pylist()), np.uint8)
     begin = np.concatenate(([0], np.cumsum(sizes)))
     counts = np.maximum(np.minimum(group["before"].to_numpy().astype(np.int64) + 1, sizes - length + 1), 0)
     rows = np.repeat(np.arange(len(sizes)), counts)
     offsets = np.arange(len(rows)) - np.repeat(np.concatenate(([0], np.cumsum(counts)))[:-1], counts)
+    starts = (group["place"].to_numpy().astype(np.int64) - group["before"].to_numpy())[rows] + offsets
+    once = np.unique(np.column_stack((texts_of(group)[rows], starts)), axis=0, return_index=True)[1]
+    rows, offsets = rows[once], offsets[once]
     hashes = RollingHash(data).of(begin[rows] + offsets, begin[rows] + offsets + length)
     order = np.argsort(hashes, kind="stable")
     return rows[order], offsets[order], hashes[order]
 
 
+def texts_of(group: pa.Table) -> np.ndarray:
+    """A number for the text (id and hash) that each place of a group is in."""
+    ids = group["doc_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+    return np.unique(np.column_stack((ids.astype(np.int64), group["text_hash"].to_numpy())), axis=0, return_inverse=True)[1].ravel()
+
+
 def decided(places: DataFrame, length: int) -> DataFrame:
     """Sort the windows of groups that come one after the other: intervals to remove, and windows that are alone in a group of several."""
     id_type = places.schema["doc_id"].dataType.simpleString()
@@ -224,7 +237,8 @@ def decided(places: DataFrame, length: int) -> DataFrame:
 def repeated_intervals(docs: DataFrame, length: int, digit: int) -> DataFrame:
     """(doc_id, text_hash, start, end): stretches of bytes covered by strings of ``length`` bytes that also start elsewhere."""
     rows = anchor_table(docs, length, digit)
-    twice = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # counts are written before they are joined: adaptive execution splits a hot key only between two shuffles
+    twice = materialize(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-twice")
     places = materialize(rows.join(twice, "anchor"), "suffix-places")
     at = F.struct("doc_id", "text_hash", "place", "before", "onward")
     kinds = places.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.first(at).alias("at"))
@@ -249,7 +263,9 @@ def repeated_intervals(docs: DataFrame, length: int, digit: int) -> DataFrame:
     solved = materialize(decided(near, length), "suffix-windows")
     interval = ("doc_id", "text_hash", "start", "end")
     lone = solved.where("alone is not null")
-    met = lone.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+    window = F.struct("doc_id", "text_hash", "start")  # one window can be in reach of two places of different groups
+    met = lone.groupBy("anchor", "window").agg(F.min(window).alias("one"), F.max(window).alias("other"))
+    met = materialize(met.where("not (one <=> other)").select("anchor", "window"), "suffix-met")
     late = lone.where("alone").join(met, ["anchor", "window"])
     return done.unionByName(solved.where("alone is null").select(*interval)).unionByName(late.select(*interval))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilcraft.llm import bpe, jaccard, language, mixing, nearvectors, pii, scoring, search, sentences, suffixes
+from veilcraft.llm import bpe, contamination, jaccard, language, mixing, nearvectors, pii, scoring, search, sentences, suffixes
 from veilcraft.llm.common import fold, table
 from veilcraft.llm.oracles import ORACLES as ORACLES
 
@@ -88,3 +88,13 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document, learned from four of five folds."""
     return scoring.score_texts(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)
+
+
+@query
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every document stand in a window of ten words of a benchmark item, and which items those are."""
+    found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, run: total + run["end"] - run["start"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated")
+    )

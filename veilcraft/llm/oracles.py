@@ -80,4 +80,26 @@ SELECT query_id, rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits WHERE score > 0) WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op2_near_vectors": VECTORS, "op4_search": SEARCH, "op8_mix_sources": MIX, "op9_sentence_spans": SPANS}
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_ITEM_WORDS = rf"coalesce(regexp_extract_all(translate(text, {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+_AHEAD = ", ".join(f"lead(word, {k}) OVER o" for k in range(1, 10))
+
+CONTAMINATION = f"""
+WITH dw AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+iw AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_ITEM_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
+dt AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p, len(w) AS n FROM dw),
+dg AS (SELECT doc_id, p, n, [word, {_AHEAD}] AS ahead FROM dt WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+met AS (SELECT doc_id, p, dg.k, win.item FROM (SELECT doc_id, p, k, array_to_string(ahead[1:k], ' ') AS gram FROM dg, (SELECT DISTINCT k FROM win) WHERE p + k <= n) dg
+  JOIN win ON win.k = dg.k AND win.gram = dg.gram),
+hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS spot FROM met) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit ON hit.doc_id = dw.doc_id LEFT JOIN found ON found.doc_id = dw.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_near_vectors": VECTORS, "op4_search": SEARCH, "op8_mix_sources": MIX, "op9_sentence_spans": SPANS, "op11_decontaminate": CONTAMINATION}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilcraft.llm import bpe, contamination, jaccard, language, mixing, nearvectors, pii, scoring, search, sentences, suffixes
+from veilcraft.llm import bpe, codes, contamination, jaccard, language, mixing, nearvectors, pii, scoring, search, sentences, suffixes
 from veilcraft.llm.common import fold, table
 from veilcraft.llm.oracles import ORACLES as ORACLES
 
@@ -98,3 +98,9 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated")
     )
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as sixteen codes of one byte, and what that loses."""
+    return codes.code_digests(table(spark, sf_dir, "embeddings"))

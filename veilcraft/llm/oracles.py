@@ -102,4 +102,25 @@ SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
 FROM dw LEFT JOIN hit ON hit.doc_id = dw.doc_id LEFT JOIN found ON found.doc_id = dw.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_near_vectors": VECTORS, "op4_search": SEARCH, "op8_mix_sources": MIX, "op9_sentence_spans": SPANS, "op11_decontaminate": CONTAMINATION}
+def _moved(n: int) -> str:
+    """Nearest entries by the codebooks of one round of :mod:`veilcraft.llm.codes`, and the codebooks of the next."""
+    return f"""
+a{n} AS (SELECT vec_id, part, any_value(s) AS s, min(struct_pack(d := list_sum([(s[i] - c[i]) * (s[i] - c[i]) for i in range(1, len(s) + 1)]), entry := entry)) AS best
+  FROM p JOIN c{n} USING (part) GROUP BY vec_id, part),
+m{n} AS (SELECT part, entry, list((total - ((total % n) + n) % n) // n ORDER BY place) AS c
+  FROM (SELECT part, best.entry AS entry, place, sum(s[place])::BIGINT AS total, count(*) AS n FROM a{n}, generate_series(1, len(s)) AS t(place) GROUP BY ALL) GROUP BY part, entry),
+c{n + 1} AS (SELECT part, entry, coalesce(m.c, c.c) AS c FROM c{n} c LEFT JOIN m{n} m USING (part, entry))"""
+
+
+CODES = f"""
+WITH v AS (SELECT vec_id, label, [floor(x::DOUBLE * 256)::BIGINT for x in embedding] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT vec_id, part, e[part * (len(e) // 16) + 1:(part + 1) * (len(e) // 16)] AS s FROM v, range(16) AS t(part)),
+c0 AS (SELECT part, entry, s AS c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT 64) USING (vec_id)),
+{_moved(0)}, {_moved(1)}, {_moved(2)},
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2),
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (vec_id), books
+"""
+
+ORACLES: dict[str, str] = {"op2_near_vectors": VECTORS, "op4_search": SEARCH, "op8_mix_sources": MIX, "op9_sentence_spans": SPANS, "op11_decontaminate": CONTAMINATION, "op13_vector_codes": CODES}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilcraft.llm import bpe, codes, contamination, jaccard, language, mixing, nearvectors, pii, scoring, search, sentences, suffixes
+from veilcraft.llm import bpe, codes, contamination, jaccard, language, mixing, nearvectors, pii, scoring, search, sentences, suffixes, variants
 from veilcraft.llm.common import fold, table
 from veilcraft.llm.oracles import ORACLES as ORACLES
 
@@ -104,3 +104,15 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as sixteen codes of one byte, and what that loses."""
     return codes.code_digests(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of seven letters or more with their near words, forms and roots; one in 31 pairs of document and word loses a letter."""
+    run = variants.runs(table(spark, sf_dir, "documents").select("doc_id", "text"), 7)
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run")
+    hashed = run.select("run", F.crc32(named.cast("binary")).alias("h"))
+    place = F.col("h") % F.length("run")
+    shorter = F.concat(F.substring("run", F.lit(1), place.cast("int")), F.substring("run", (place + 2).cast("int"), F.length("run")))
+    words = variants.counted(hashed, F.when(F.col("h") % 31 == 0, shorter).otherwise(F.col("run")), 7, 2)
+    return variants.variants(words)

@@ -123,4 +123,30 @@ coded AS (SELECT vec_id, string_agg(format('{{:02x}}', best.entry), '' ORDER BY
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (vec_id), books
 """
 
-ORACLES: dict[str, str] = {"op2_near_vectors": VECTORS, "op4_search": SEARCH, "op8_mix_sources": MIX, "op9_sentence_spans": SPANS, "op11_decontaminate": CONTAMINATION, "op13_vector_codes": CODES}
+VARIANTS = f"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, {LOWER}), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (SELECT run, times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+hashed AS (SELECT run, times,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || x[i:i + 1])::BIGINT for i in range(1, length(x), 2)]),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM coded, tab),
+damaged AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+inserted AS (SELECT DISTINCT l.word AS longer, l.n AS longer_n, w.word AS shorter, w.n AS shorter_n FROM less l JOIN words w ON w.word = l.rest),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT longer, shorter, shorter_n FROM inserted UNION ALL SELECT shorter, longer, longer_n FROM inserted),
+best AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+told AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS at_word, 0 AS steps FROM told UNION ALL SELECT way.word, told.form, steps + 1 FROM way JOIN told ON told.word = way.at_word WHERE told.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM told JOIN (SELECT word, arg_max(at_word, steps) AS root FROM way GROUP BY word) USING (word)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_near_vectors": VECTORS, "op4_search": SEARCH, "op8_mix_sources": MIX, "op9_sentence_spans": SPANS, "op11_decontaminate": CONTAMINATION,
+    "op12_spelling_variants": VARIANTS, "op13_vector_codes": CODES,
+}

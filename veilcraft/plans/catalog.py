@@ -1092,9 +1092,9 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def _run_stream(spark, stream, label):
+def _run_stream(spark, stream, label, sweep=False):
     path = work_path(spark, label)
-    streams.write_available(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    streams.write_available(stream, f"{path}/out", f"{path}/state", sweep).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -1104,17 +1104,30 @@ def replace_stream(spark, sf_dir):
     return _run_stream(spark, columns.replace_in_columns(docs, ["text"], TEXT_RULES), "replaced")
 
 
+def _jobs_and_redemptions(spark, sf_dir):
+    """Sign-ups as jobs; every other event redeems the token of the last event whose number four divides."""
+    events, at = _stream(spark, sf_dir, "events"), F.col("ts").cast("timestamp")
+    made = events.where("event_type = 'signup'").select(F.col("event_id").alias("token"), at.alias("created_at"))
+    used = events.where("event_type <> 'signup'")
+    return made, used.select((F.col("event_id") - F.col("event_id") % 4).alias("token"), at.alias("redeemed_at"), F.col("event_id").alias("redemption_id"))
+
+
 @query
 def first_redemption_stream(spark, sf_dir):
-    """Events as redemptions of one job per user and hour, made at the full hour: those that are served."""
-    used = _stream(spark, sf_dir, "events").select(
-        F.format_string("%d at %s", "user_id", F.date_format("ts", "yyyy-MM-dd HH")).alias("token"),
-        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("created_at"), F.col("ts").cast("timestamp").alias("redeemed_at"),
-    )
-    return _run_stream(spark, streams.first_redemptions_stream(used), "redeemed").select("token")
+    """Jobs that are served: a redemption came in their lifetime, and only one of them counts."""
+    return _run_stream(spark, streams.first_redemptions_stream(*_jobs_and_redemptions(spark, sf_dir)), "redeemed").select("token")
+
+
+@query
+def refused_redemption_stream(spark, sf_dir):
+    """Redemptions of unknown tokens and of jobs that are over, as far as the watermarks tell."""
+    return _run_stream(spark, streams.refused_redemptions_stream(*_jobs_and_redemptions(spark, sf_dir)), "refused").select("token", "redemption_id")
 
 
 @query
 def expired_jobs_stream(spark, sf_dir):
-    made = _stream(spark, sf_dir, "events").select(F.col("event_id").alias("token"), F.col("ts").cast("timestamp").alias("created_at"))
-    return _run_stream(spark, streams.expired_jobs_stream(made), "expired").select("token")
+    """Events as jobs, views ten years later than they were: those whose lifetime the clock has ended."""
+    later = F.when(F.col("event_type") == "view", F.expr("INTERVAL 10 YEARS")).otherwise(F.expr("INTERVAL 0 YEARS"))
+    made = _stream(spark, sf_dir, "events").select(F.col("event_id").alias("token"), (F.col("ts").cast("timestamp") + later).alias("created_at"))
+    with streams.timer_store(spark):
+        return _run_stream(spark, streams.expired_jobs_stream(made), "expired", sweep=True).select("token")

@@ -352,8 +352,8 @@ ORACLES: dict[str, str] = {
     f" ELSE {_SUFFIX} = '.xlsx' END AS INTEGER) AS supported FROM named",
     "expired_jobs": f"SELECT event_id AS token FROM events WHERE ts < TIMESTAMP '{catalog.AS_OF}' - INTERVAL 900 SECONDS",
     "first_redemption": "SELECT user_id AS token, arg_min(event_id, (ts, event_id)) AS redemption_id, COUNT(*) - 1 AS refused FROM events GROUP BY user_id",
-    "expired_jobs_stream": "SELECT event_id AS token FROM events WHERE date_trunc('minute', ts) + INTERVAL 60 SECONDS"
-    " <= (SELECT MAX(ts) FROM events) - INTERVAL 900 SECONDS",
+    "expired_jobs_stream": "SELECT event_id AS token FROM events"
+    " WHERE ts + CASE WHEN event_type = 'view' THEN INTERVAL 10 YEARS ELSE INTERVAL 0 YEARS END < CAST(now() AS TIMESTAMP) - INTERVAL 900 SECONDS",
 }
 ORACLES["encrypt_line_refs"] = (
     "SELECT l_returnflag, COUNT(*) AS n, COUNT(DISTINCT l_orderkey || '-' || l_partkey || '-' || l_linenumber) AS tokens"
@@ -391,8 +391,16 @@ ORACLES["scrub_errors"] = (
     " WHEN b % 3 = 2 AND hit THEN 'Input already contains an encrypted value' END AS error FROM (SELECT c_custkey // 50 AS b, COUNT(*) AS n,"
     " bool_or(CASE (c_custkey // 50) % 3 WHEN 1 THEN c_custkey % 50 = 7 WHEN 2 THEN c_custkey % 50 = 9 ELSE false END) AS hit FROM customer GROUP BY 1)"
 )
-ORACLES["first_redemption_stream"] = (
-    "SELECT DISTINCT user_id || ' at ' || strftime(ts, '%Y-%m-%d %H') AS token FROM events WHERE ts <= date_trunc('hour', ts) + INTERVAL 900 SECONDS"
+_USES = (
+    "WITH made AS (SELECT event_id AS token, ts AS created_at FROM events WHERE event_type = 'signup'),"
+    " used AS (SELECT event_id - event_id % 4 AS token, event_id AS redemption_id, ts AS redeemed_at FROM events WHERE event_type <> 'signup'),"
+    " met AS (SELECT used.*, made.created_at FROM used LEFT JOIN made ON made.token = used.token"
+    " AND redeemed_at BETWEEN created_at AND created_at + INTERVAL 900 SECONDS)"
+)
+ORACLES["first_redemption_stream"] = f"{_USES} SELECT DISTINCT token FROM met WHERE created_at IS NOT NULL"
+ORACLES["refused_redemption_stream"] = (
+    f"{_USES} SELECT token, redemption_id FROM met WHERE created_at IS NULL AND redeemed_at"
+    " < (SELECT least((SELECT max(created_at) FROM made), (SELECT max(redeemed_at) FROM used))) - INTERVAL 900 SECONDS"
 )
 _KNOWN = ", ".join(
     [f"('{name}', {len(name)}, '{token[:64]}', '{token[-8:]}')" for name, token in NATION_TOKENS.items()]

@@ -212,6 +212,37 @@ def test_very_large_boxes_find_their_spans(spark):
     assert found == {(0, 1.0): 1, (0, -1e12): 2, (0, 60.0): 2}
 
 
+def test_hits_run_over_spans_of_a_line(spark):
+    from veilcraft.plans.documents import plan_overlays
+
+    texts = [("d", 0, 7, 0.0, 20.0, "Jo"), ("d", 0, 3, 20.0, 30.0, "h"), ("d", 0, 5, 30.0, 30.0, ""), ("d", 0, 4, 30.0, 90.0, "n Smit"), ("d", 0, 9, 90.0, 130.0, "h ow")]
+    rows = [(d, p, i, a, 0.0, b, 10.0, 8.0 + i, 0, "Arial", 9.0, text) for d, p, i, a, b, text in reversed(texts)]
+    rows += [("d", 0, 8, 0.0, 20.0, 50.0, 30.0, 9.0, 0, "Arial", 29.0, "n Smith"), ("d", 1, 1, 0.0, 0.0, 10.0, 10.0, 9.0, 0, "Arial", None, "John"),
+             ("d", 1, 2, 10.0, 0.0, 20.0, 10.0, 9.0, 0, "Arial", None, " Smith"), ("e", 0, 1, 0.0, 0.0, 1.0, 1.0, 1.0, 0, "", 9.0, None)]
+    spans = spark.createDataFrame(rows, "doc string, page int, span_id int, x0 double, y0 double, x1 double, y1 double, size double, color int, font string, origin_y double, text string")
+    overlays, totals = plan_overlays(spans, [("john smith", "CLIENT_001"), ("ohn", "x")])
+    got = sorted((r["rule_id"], r["part"], r["found_in"], r["start"], r["replace"], r["x0"], r["x1"], r["font_size"]) for r in overlays.collect() if r["page"] == 0)
+    assert got == [
+        (0, 0, 7, 0, "CLIENT_001", 0.0, 20.0, 15.0), (0, 1, 3, 0, "", 20.0, 30.0, 11.0), (0, 2, 4, 0, "", 30.0, 90.0, 12.0), (0, 3, 9, 0, "", 90.0, 100.0, 17.0),
+        (1, 0, 7, 1, "x", 10.0, 20.0, 15.0), (1, 1, 3, 0, "", 20.0, 30.0, 11.0), (1, 2, 4, 0, "", 30.0, 40.0, 12.0),
+    ]
+    # the first line has one hit of either rule, and "John" on the second page holds one; a line is the bound
+    assert {r["doc"]: r["replacements"] for r in totals.collect()} == {"d": 3, "e": 0}
+
+
+def test_a_page_of_large_boxes_stays_linear(spark):
+    size = "doc string, page int, {}x0 double, y0 double, x1 double, y1 double"
+    at = lambda n: (n % 40) * 5000.0
+    wide = [("d", 0, n, at(n), (n // 40) * 5000.0, at(n) + 4000, (n // 40) * 5000.0 + 4000) for n in range(1600)]
+    spans = spark.createDataFrame(wide, size.format("span_id int, ")).selectExpr("*", "1D size", "0 color", "'' font", "0D origin_y")
+    hits = spark.createDataFrame([(d, p, x0 + 10, y0 + 10, x1 - 10, y1 - 10) for d, p, _, x0, y0, x1, y1 in wide], size.format(""))
+    best = overlay.best_spans(hits, spans)
+    assert [r["n"] for r in best.selectExpr("count(*) n", "count(distinct span.span_id)").collect()] == [1600]
+    assert {(r["x0"] - 10, r["y0"] - 10): r["span"]["span_id"] for r in best.collect()} == {(x0, y0): n for _, _, n, x0, y0, _, _ in wide}
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, ((" in plan and "_gx" in plan and plan.count("Join ") == 1  # one level, one join by square
+
+
 def test_gathering_keeps_order_and_every_document(spark):
     runs = spark.createDataFrame(
         [("a", "p", 0, 2, "c"), ("a", "p", 0, 0, "a"), ("a", "p", 0, 1, None), ("big", "p", 0, 0, "x" * 500_000)],

@@ -14,18 +14,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veilcraft.functions import geometry as geo
 from veilcraft.functions.replace import Rule
 
-# Edge of the grid squares that pair hits with spans, in page units, and most squares along an edge of a box.
+# Edge of the finest grid squares that pair hits with spans, in page units; each level doubles it.
 GRID = 64.0
-MOST_SQUARES = 32
 BOX = ["doc", "page", "x0", "y0", "x1", "y1"]
+_LINE = ["doc", "page", "line", "text", "spans"]
+
+
+def text_lines(spans: DataFrame) -> DataFrame:
+    """(doc, page, line, text, spans): the spans of one baseline from left to right, and their text in one piece.
+
+    A line is named after its first span. A span without a baseline is a line of its own and is not shuffled. What comes
+    together is one line of one page.
+    """
+    parts = F.struct("x0", "span_id", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("text"))
+    if "origin_y" not in spans.columns:
+        spans = spans.withColumn("origin_y", F.lit(None).cast("double"))
+    lone = spans.where("origin_y IS NULL").select("doc", "page", F.array(parts).alias("spans"))
+    lined = spans.where("origin_y IS NOT NULL").groupBy("doc", "page", "origin_y").agg(F.array_sort(F.collect_list(parts)).alias("spans"))
+    lines = lone.unionByName(lined.drop("origin_y"))
+    return lines.withColumns({"line": F.col("spans")[0]["span_id"], "text": F.array_join("spans.text", "")}).select(*_LINE)
 
 
 def find_hits(spans: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
-    """Every occurrence of every rule in the original span texts, ignoring case.
+    """Every occurrence of every rule in the original text of every line, ignoring case; a row for each span that it touches.
 
-    All rules see the original text, so they do not cascade, and offsets are in it, whatever
-    letters change their length in lower case. A hit's box is its share of the span's width;
-    ``hit_no`` counts within span and rule. Rules without a match leave before spans are copied.
+    All rules see the original text, so they do not cascade, and offsets are in it, whatever letters change their length in
+    lower case. A hit may run over several spans: ``part`` counts them, ``start`` is where it begins in that span, the box
+    is its share of the span's width, and the first part carries the replacement, the others an empty text, as with the
+    runs of a paragraph. ``hit_no`` counts within line and rule. Rules without a match leave before lines are copied.
     """
     listed = [Rule(*rule) for rule in rules]
     table = F.array(
@@ -41,7 +57,7 @@ def find_hits(spans: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
         ]
     )
     matching = F.filter(table, lambda rule: F.size(rule["pieces"]) > 1)
-    per_rule = spans.withColumn("_rule", F.explode(matching))
+    per_rule = text_lines(spans).withColumn("_rule", F.explode(matching))
     starts = F.aggregate(
         F.slice("_rule.pieces", 1, F.size("_rule.pieces") - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
@@ -50,58 +66,96 @@ def find_hits(spans: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
             F.concat(state["starts"], F.array(state["at"] + F.length(piece))).alias("starts"),
         ),
     )["starts"]
-    located = per_rule.select(
-        "doc", "page", "span_id", "x0", "y0", "x1", "y1", "text", "_rule.rule_id", "_rule.replace",
-        "_rule.size", F.posexplode(starts).alias("hit_no", "start"),
-    )
-    unit = (F.col("x1") - F.col("x0")) / F.length("text")
-    return located.select(
-        "doc", "page", "span_id", "rule_id", "hit_no", "start", "replace",
-        (F.col("x0") + unit * F.col("start")).alias("x0"),
-        "y0",
-        (F.col("x0") + unit * (F.col("start") + F.col("size"))).alias("x1"),
-        "y1",
-    )
+    # the span of every character and its place in it, so that a hit finds its spans by looking up its first and last one
+    owners = F.flatten(F.transform("spans", lambda span, i: F.array_repeat(i, F.length(span["text"]))))
+    places = F.flatten(F.transform("spans", lambda span: F.transform(F.array_repeat(F.lit(0), F.length(span["text"])), lambda _, k: k)))
 
+    def boxes(line: Column) -> Column:
+        def of_hit(at: Column, hit_no: Column) -> Column:
+            last = at + line["size"] - 1
+            first_span, last_span = line["owners"][at], line["owners"][last]
+            touched = F.filter(F.sequence(first_span, last_span), lambda i: F.length(line["spans"][i]["text"]) > 0)
 
-def _squares(low: str, high: str) -> Column:
-    first = F.floor(F.col(low) / GRID).cast("bigint")
-    return F.explode(F.sequence(first, F.greatest(first, F.floor(F.col(high) / GRID).cast("bigint"))))
+            def of_span(i: Column, part: Column) -> Column:
+                span = line["spans"][i]
+                start = F.when(i == first_span, line["places"][at]).otherwise(F.lit(0))
+                end = F.when(i == last_span, line["places"][last] + 1).otherwise(F.length(span["text"]))
+                unit = (span["x1"] - span["x0"]) / F.length(span["text"])
+                return F.struct(
+                    span["span_id"].alias("span_id"), hit_no.alias("hit_no"), part.alias("part"), start.alias("start"),
+                    F.when(part == 0, line["replace"]).otherwise("").alias("replace"),
+                    (span["x0"] + unit * start).alias("x0"), span["y0"].alias("y0"), (span["x0"] + unit * end).alias("x1"), span["y1"].alias("y1"),
+                )
+
+            return F.transform(touched, of_span)
+
+        return F.flatten(F.transform(line["starts"], of_hit))
+
+    # bound once per line: what a lambda names is not computed again for every hit, and no hit carries the whole line along
+    bound = F.struct("spans", "_rule.replace", "_rule.size", owners.alias("owners"), places.alias("places"), starts.alias("starts"))
+    found = F.element_at(F.transform(F.array(bound), boxes), 1)
+    hit = per_rule.select("doc", "page", "line", "_rule.rule_id", F.explode(found).alias("hit"))
+    return hit.select("doc", "page", "line", "hit.span_id", "rule_id", *(f"hit.{c}" for c in ("hit_no", "part", "start", "replace", "x0", "y0", "x1", "y1")))
 
 
-def _large(x0: str, y0: str, x1: str, y1: str) -> Column:
-    return F.greatest(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0)) > GRID * MOST_SQUARES
+def _level(x0: str, y0: str, x1: str, y1: str) -> Column:
+    """The level whose squares are as long as the box at least, so that it covers at most four of them."""
+    side = F.greatest(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0))
+    return F.ceil(F.log2(F.greatest(side, F.lit(GRID)) / GRID)).cast("int")
+
+
+def _square(place: Column) -> Column:
+    return F.floor(place / (GRID * F.pow(F.lit(2.0), F.col("_level")))).cast("bigint")
+
+
+def _squares(low: str, high: str) -> Column:
+    first = _square(F.col(low))
+    return F.explode(F.sequence(first, F.greatest(first, _square(F.col(high)))))
 
 
 def _corner(low: str, square: str) -> Column:
     """Whether a square holds the upper or left edge of the overlap: of several shared squares one does."""
-    return F.col(square) == F.floor(F.greatest(F.col(low), F.col(f"s_{low}")) / GRID).cast("bigint")
+    return F.col(square) == _square(F.greatest(F.col(low), F.col(f"s_{low}")))
+
+
+def _levels(boxes: DataFrame) -> list[int]:
+    """The levels that occur: one number for each doubling of the largest box."""
+    return sorted(row[0] for row in boxes.select("own").where("own IS NOT NULL").distinct().collect())
 
 
 def best_spans(hits: DataFrame, spans: DataFrame) -> DataFrame:
     """For each distinct hit box the span that shares the largest area; the first span wins a tie.
 
     Copies of one box count once on both sides: the first of equal spans would win
-    anyway. Both sides go to the grid squares they touch and meet per square, so a
-    page that holds most of the corpus is split by position and only neighbours pair up, each pair once.
-    The few boxes beyond ``MOST_SQUARES`` squares meet the others of their page instead.
+    anyway. A box lies in the level of squares that fits its size. The smaller of two boxes looks for the larger one in that
+    one's level, so every box is in at most four squares for each level that occurs, whatever its size; a page that holds
+    most of the corpus is split by position and only neighbours pair up, each pair once.
     """
-    placed = hits.select(*BOX).distinct().withColumn("_wide", _large(*BOX[2:]))
+    placed = hits.select(*BOX).distinct().withColumn("own", _level(*BOX[2:]))
     style = F.struct("span_id", "size", "color", "font", "origin_y")
     boxes = spans.groupBy(*BOX).agg(F.min_by(style, "span_id").alias("span")).select(
         "doc", "page", "span", *[F.col(c).alias(f"s_{c}") for c in BOX[2:]]
     )
-    boxes = boxes.withColumn("_s_wide", _large("s_x0", "s_y0", "s_x1", "s_y1"))
+    boxes = boxes.withColumn("own", _level("s_x0", "s_y0", "s_x1", "s_y1"))
     touching = (
         (F.col("x0") < F.col("s_x1")) & (F.col("s_x0") < F.col("x1"))
         & (F.col("y0") < F.col("s_y1")) & (F.col("s_y0") < F.col("y1"))
     )
-    hit_squares = placed.where("NOT _wide").withColumn("_gx", _squares("x0", "x1")).withColumn("_gy", _squares("y0", "y1"))
-    span_squares = boxes.where("NOT _s_wide").withColumn("_gx", _squares("s_x0", "s_x1")).withColumn("_gy", _squares("s_y0", "s_y1"))
-    near = hit_squares.join(span_squares, ["doc", "page", "_gx", "_gy"]).where(touching & _corner("x0", "_gx") & _corner("y0", "_gy"))
-    wide = placed.where("_wide").join(boxes, ["doc", "page"]).where(touching)
-    under_wide = placed.where("NOT _wide").join(boxes.where("_s_wide"), ["doc", "page"]).where(touching)
-    paired = near.drop("_gx", "_gy").unionByName(wide).unionByName(under_wide)
+    hit_levels = _levels(hits.select(_level(*BOX[2:]).alias("own")))
+    span_levels = _levels(spans.select(_level(*BOX[2:]).alias("own")))
+
+    def home(side: DataFrame, prefix: str) -> DataFrame:
+        return side.withColumnRenamed("own", "_level").withColumn("_gx", _squares(f"{prefix}x0", f"{prefix}x1")).withColumn("_gy", _squares(f"{prefix}y0", f"{prefix}y1"))
+
+    def looking(side: DataFrame, prefix: str, levels: list[int], same: bool) -> DataFrame:
+        above = F.filter(F.array(*map(F.lit, levels)), lambda level: level >= F.col("own") if same else level > F.col("own"))
+        return home(side.withColumn("own", F.explode(above)), prefix)
+
+    keys = ["doc", "page", "_level", "_gx", "_gy"]
+    pairs = looking(placed, "", span_levels, True).join(home(boxes, "s_"), keys)
+    if hit_levels and span_levels and hit_levels[-1] > span_levels[0]:
+        pairs = pairs.unionByName(looking(boxes, "s_", hit_levels, False).join(home(placed, ""), keys))
+    paired = pairs.where(touching & _corner("x0", "_gx") & _corner("y0", "_gy"))
     rank = F.struct(geo.overlap_area("", "s_").alias("area"), (-F.col("span.span_id")).alias("order"))
     return paired.groupBy(*BOX).agg(F.max_by("span", rank).alias("span"))
 

@@ -56,7 +56,7 @@ def plan_overlays(
     """What to draw over every hit, and totals per document; ``files`` (doc) lists the documents, spans or not."""
     found = find_hits(spans, rules)
     hits = found.withColumn(
-        "hit_id", F.concat_ws(":", "span_id", "rule_id", "hit_no")
+        "hit_id", F.concat_ws(":", "line", "rule_id", "hit_no", "part")
     ).withColumnRenamed("span_id", "found_in")
-    counted = found.groupBy("doc").agg(F.count(F.lit(1)).alias("replacements"))
+    counted = found.where("part = 0").groupBy("doc").agg(F.count(F.lit(1)).alias("replacements"))
     return overlay_styles(hits, spans), document_totals(counted, "PDF", spans if files is None else files)

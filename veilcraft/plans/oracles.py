@@ -324,6 +324,10 @@ ORACLES: dict[str, str] = {
     " FROM hits h LEFT JOIN best b ON h.page = b.page AND h.hit_id = b.hit_id AND b.k = 1)",
     "pdf_hits": "SELECT doc, span_id, rule_id, CAST(k - 1 AS INTEGER) AS hit_no, CAST(start AS INTEGER) AS start, put AS \"replace\","
     " CAST(start * 6 AS DOUBLE) AS x0, CAST((start + length(find)) * 6 AS DOUBLE) AS x1 FROM (" + _hits(catalog.HIT_RULES) + ")",
+    "pdf_hits_across_spans": "SELECT doc, span_id * 100000 - j AS span_id, rule_id, CAST(k - 1 AS INTEGER) AS hit_no, CAST(j - start // 3 AS INTEGER) AS part,"
+    " CAST(greatest(start - 3 * j, 0) AS INTEGER) AS start, CASE WHEN j = start // 3 THEN put ELSE '' END AS \"replace\","
+    " CAST(greatest(start, 3 * j) * 6 AS DOUBLE) AS x0, CAST(least(start + length(find), 3 * j + 3) * 6 AS DOUBLE) AS x1"
+    " FROM (SELECT *, unnest(range(start::BIGINT // 3, (start::BIGINT + length(find) - 1) // 3 + 1)) AS j FROM (" + _hits(catalog.HIT_RULES) + "))",
     "pdf_totals": _totals(
         "SELECT d.doc_id AS doc, COUNT(h.doc) AS replacements FROM documents d LEFT JOIN ("
         + _hits([("nicht", "n"), ("DANS", "d")]) + ") h ON h.doc = d.doc_id GROUP BY d.doc_id",

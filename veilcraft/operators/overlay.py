@@ -17,11 +17,11 @@ from veilcraft.functions.replace import Rule
 # Edge of the finest grid squares that pair hits with spans, in page units; each level doubles it.
 GRID = 64.0
 BOX = ["doc", "page", "x0", "y0", "x1", "y1"]
-_LINE = ["doc", "page", "line", "text", "spans"]
 
 
-def text_lines(spans: DataFrame) -> DataFrame:
-    """(doc, page, line, text, spans): the spans of one baseline from left to right, and their text in one piece.
+def text_lines(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of one span and lines that may have several, each (doc, page, line, text, spans): the spans of one baseline from
+    left to right, and their text in one piece.
 
     A line is named after its first span. A span without a baseline is a line of its own and is not shuffled. What comes
     together is one line of one page.
@@ -29,10 +29,9 @@ def text_lines(spans: DataFrame) -> DataFrame:
     parts = F.struct("x0", "span_id", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("text"))
     if "origin_y" not in spans.columns:
         spans = spans.withColumn("origin_y", F.lit(None).cast("double"))
-    lone = spans.where("origin_y IS NULL").select("doc", "page", F.array(parts).alias("spans"))
+    lone = spans.where("origin_y IS NULL").select("doc", "page", F.col("span_id").alias("line"), F.coalesce("text", F.lit("")).alias("text"), F.array(parts).alias("spans"))
     lined = spans.where("origin_y IS NOT NULL").groupBy("doc", "page", "origin_y").agg(F.array_sort(F.collect_list(parts)).alias("spans"))
-    lines = lone.unionByName(lined.drop("origin_y"))
-    return lines.withColumns({"line": F.col("spans")[0]["span_id"], "text": F.array_join("spans.text", "")}).select(*_LINE)
+    return lone, lined.select("doc", "page", F.col("spans")[0]["span_id"].alias("line"), F.array_join("spans.text", "").alias("text"), "spans")
 
 
 def find_hits(spans: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
@@ -57,7 +56,7 @@ def find_hits(spans: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
         ]
     )
     matching = F.filter(table, lambda rule: F.size(rule["pieces"]) > 1)
-    per_rule = text_lines(spans).withColumn("_rule", F.explode(matching))
+    alone, lined = (lines.withColumn("_rule", F.explode(matching)) for lines in text_lines(spans))
     starts = F.aggregate(
         F.slice("_rule.pieces", 1, F.size("_rule.pieces") - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
@@ -70,6 +69,14 @@ def find_hits(spans: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
     owners = F.flatten(F.transform("spans", lambda span, i: F.array_repeat(i, F.length(span["text"]))))
     places = F.flatten(F.transform("spans", lambda span: F.transform(F.array_repeat(F.lit(0), F.length(span["text"])), lambda _, k: k)))
 
+    def box(line: Column, span: Column, hit_no: Column, part: Column, start: Column, end: Column) -> list[Column]:
+        unit = (span["x1"] - span["x0"]) / F.length(span["text"])
+        return [
+            span["span_id"].alias("span_id"), line["rule_id"].alias("rule_id"), hit_no.alias("hit_no"), part.alias("part"), start.alias("start"),
+            F.when(part == 0, line["replace"]).otherwise("").alias("replace"),
+            (span["x0"] + unit * start).alias("x0"), span["y0"].alias("y0"), (span["x0"] + unit * end).alias("x1"), span["y1"].alias("y1"),
+        ]
+
     def boxes(line: Column) -> Column:
         def of_hit(at: Column, hit_no: Column) -> Column:
             last = at + line["size"] - 1
@@ -80,22 +87,20 @@ def find_hits(spans: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
                 span = line["spans"][i]
                 start = F.when(i == first_span, line["places"][at]).otherwise(F.lit(0))
                 end = F.when(i == last_span, line["places"][last] + 1).otherwise(F.length(span["text"]))
-                unit = (span["x1"] - span["x0"]) / F.length(span["text"])
-                return F.struct(
-                    span["span_id"].alias("span_id"), hit_no.alias("hit_no"), part.alias("part"), start.alias("start"),
-                    F.when(part == 0, line["replace"]).otherwise("").alias("replace"),
-                    (span["x0"] + unit * start).alias("x0"), span["y0"].alias("y0"), (span["x0"] + unit * end).alias("x1"), span["y1"].alias("y1"),
-                )
+                return F.struct(*box(line, span, hit_no, part, start, end))
 
             return F.transform(touched, of_span)
 
         return F.flatten(F.transform(line["starts"], of_hit))
 
     # bound once per line: what a lambda names is not computed again for every hit, and no hit carries the whole line along
-    bound = F.struct("spans", "_rule.replace", "_rule.size", owners.alias("owners"), places.alias("places"), starts.alias("starts"))
+    bound = F.struct("spans", "_rule.*", owners.alias("owners"), places.alias("places"), starts.alias("starts"))
     found = F.element_at(F.transform(F.array(bound), boxes), 1)
-    hit = per_rule.select("doc", "page", "line", "_rule.rule_id", F.explode(found).alias("hit"))
-    return hit.select("doc", "page", "line", "hit.span_id", "rule_id", *(f"hit.{c}" for c in ("hit_no", "part", "start", "replace", "x0", "y0", "x1", "y1")))
+    across = lined.select("doc", "page", "line", F.explode(found).alias("hit")).select("doc", "page", "line", "hit.*")
+    single = alone.select("doc", "page", "line", "_rule", F.col("spans")[0].alias("span"), F.posexplode(starts).alias("hit_no", "at"))
+    at = F.col("at")
+    within = box(F.col("_rule"), F.col("span"), F.col("hit_no"), F.lit(0), at, at + F.col("_rule.size"))
+    return single.select("doc", "page", "line", *within).unionByName(across)
 
 
 def _level(x0: str, y0: str, x1: str, y1: str) -> Column:

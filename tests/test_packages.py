@@ -267,6 +267,20 @@ def test_tables_are_never_overwritten_by_accident(spark, tmp_path):
         write_table(spark.read.parquet(out), out, force=True)
 
 
+def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
+    out = tmp_path / "out"
+    bad = spark.range(100).repartition(4).selectExpr("id", "IF(id = 97, raise_error('no'), id) AS x")
+    with pytest.raises(PySparkException):
+        write_table(bad, str(out))
+    assert not out.exists() and list(tmp_path.iterdir()) == []
+    write_table(spark.range(5), str(out), partition_by=())
+    with pytest.raises(PySparkException):
+        write_table(bad, str(out), force=True)
+    assert spark.read.parquet(str(out)).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    write_table(spark.range(6).selectExpr("id", "id % 2 AS k"), str(out), force=True, partition_by=("k",))
+    assert spark.read.parquet(str(out)).where("k = 1").count() == 3 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
 def test_one_fault_rejects_the_whole_file(spark, tmp_path):
     b.write_zip(tmp_path / "good.xlsx", b.workbook({"Data": b.clients_sheet()}))
     (tmp_path / "junk.xlsx").write_bytes(b"not a zip")

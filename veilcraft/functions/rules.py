@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from veilcraft.functions.text import column_key_parts, py_strip
 
@@ -20,8 +20,18 @@ BAD_CLIENT_RULE = "Each replacement row needs both a sensitive value and a safe
 _RULES_TYPE = "array<struct<find:string,replace:string>>"
 
 
+def last_key_wins(spark: SparkSession) -> None:
+    """Let the session read JSON objects that repeat a key: the last one counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def _variant_array(raw: Column) -> Column:
-    """The JSON array's elements as VARIANTs; NULL for malformed text or another shape."""
+    """The JSON array's elements as VARIANTs; NULL for malformed text or another shape.
+
+    Of repeated keys the last counts. Spark decides that by a setting that it reads when the query runs, so the
+    session keeps it.
+    """
+    last_key_wins(SparkSession.active())
     return F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>")
 
 

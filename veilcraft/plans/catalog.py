@@ -23,6 +23,7 @@ from veilcraft.operators import (
 from veilcraft.plans import documents as document_plans, workbook
 from veilcraft.session import materialize, widen, work_path
 from veilcraft.sources import packages
+from veilcraft.sources.tables import write_table
 from veilcraft.streaming import jobs as streams
 
 SAMPLE_KEY = bytes(range(64))  # for the sample tables only
@@ -521,6 +522,23 @@ def rules_from_json(spark, sf_dir):
     )
 
 
+@query
+def rules_with_repeated_keys(spark, sf_dir):
+    """Requests that repeat keys: the last value of a key counts, whatever the first one was."""
+    last = F.concat(F.lit('"find": " '), F.col("c_name"), F.lit('", "replace": "CLIENT_'), F.col("c_custkey"), F.lit('"'))
+    raw = (
+        F.when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit('[{"find": 1, "replace": null, '), last, F.lit("}]")))
+        .when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("[{"), last, F.lit(', "replace": 5}]')))
+        .when(F.col("c_mktsegment") == "HOUSEHOLD", F.concat(F.lit("[{"), last, F.lit(', "find": "", "replace": "", "other": {"a": 1, "a": 2}}]')))
+        .otherwise(F.concat(F.lit('[{"find": "x", "find": "y", '), last, F.lit('}, {"find": "b", "find": "c", "replace": "c"}]')))
+    )
+    parsed = table(spark, sf_dir, "customer").select("c_custkey", checks.parse_replacement_rules(raw, F.lit("encrypt")).alias("p"))
+    return parsed.select(
+        "c_custkey", F.array_size("p.rules").cast("bigint").alias("n_rules"), F.get("p.rules", 0)["find"].alias("find"),
+        F.get("p.rules", 0)["replace"].alias("put"), F.col("p.error").alias("error"),
+    )
+
+
 @query
 def columns_from_json(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
@@ -965,6 +983,15 @@ def pivot_replace(spark, sf_dir):
     return done.select("row", "field_index", "v", "replacements")
 
 
+@query
+def table_write(spark, sf_dir):
+    """Customers with replaced texts, published as a table and read back."""
+    path = work_path(spark, "published")
+    done = columns.replace_in_columns(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_name", "c_mktsegment"], [("Customer", "CLIENT"), ("BUILDING", "B")])
+    write_table(done, path, partition_by=("c_mktsegment",))
+    return spark.read.parquet(path).select("c_custkey", "c_name", "c_mktsegment")
+
+
 # --- overlays -------------------------------------------------------------------------
 
 

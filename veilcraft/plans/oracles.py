@@ -401,6 +401,15 @@ _USES = (
     " met AS (SELECT used.*, made.created_at FROM used LEFT JOIN made ON made.token = used.token"
     " AND redeemed_at BETWEEN created_at AND created_at + INTERVAL 900 SECONDS)"
 )
+ORACLES["rules_with_repeated_keys"] = (
+    "SELECT c_custkey, CAST(CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'HOUSEHOLD' THEN 0 ELSE 1 END AS BIGINT) AS n_rules,"
+    " CASE WHEN c_mktsegment NOT IN ('BUILDING', 'HOUSEHOLD') THEN c_name END AS find,"
+    " CASE WHEN c_mktsegment NOT IN ('BUILDING', 'HOUSEHOLD') THEN 'CLIENT_' || c_custkey END AS put,"
+    " CASE WHEN c_mktsegment = 'BUILDING' THEN 'Find and replace rules could not be read' END AS error FROM customer"
+)
+ORACLES["table_write"] = (
+    "SELECT c_custkey, replace(c_name, 'Customer', 'CLIENT') AS c_name, replace(c_mktsegment, 'BUILDING', 'B') AS c_mktsegment FROM customer"
+)
 ORACLES["first_redemption_stream"] = f"{_USES} SELECT DISTINCT token FROM met WHERE created_at IS NOT NULL"
 ORACLES["refused_redemption_stream"] = (
     f"{_USES} SELECT token, redemption_id FROM met WHERE created_at IS NULL AND redeemed_at"

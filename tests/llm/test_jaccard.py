@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilcraft.llm import jaccard
 from veilcraft.llm.components import components
@@ -59,6 +61,27 @@ def test_equals_brute_force(spark, words, percent, seed):
     assert set(kept) - {None} == set(wanted) - {None} and len([k for k in kept if k is not None]) == len(set(kept) - {None})
 
 
+def test_short_sketches_bound_and_exclude(spark):
+    draw = np.random.Generator(np.random.PCG64(8))
+    sets = [draw.integers(0, 1 << 64, n, dtype=np.uint64) for n in (3, 500, 600, 1500, 1900, 2100, 9000, 11000, 40000)]
+    sets += [np.concatenate((x[: len(x) * 9 // 10], draw.integers(0, 1 << 64, max(1, len(x) // 20), dtype=np.uint64))) for x in sets]
+    sketches = [jaccard.short_sketch(x) for x in sets]
+    rows = []
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[: i + 1]):
+            found = int(jaccard.apart(sketches[i][None], sketches[j][None])[0, 0])
+            truly = len(np.setxor1d(x, y))
+            assert found <= truly
+            rows.append((sketches[i].tolist(), sketches[j].tolist(), found))
+            small, large = sorted((len(x), len(y)))
+            if i != j and truly > 0.9 * large and 80 * large <= 100 * small and 600 < small < 16000:
+                assert found > small / 4  # excluded at a similarity of 0.8
+    size = F.least(F.size("a"), F.size("b"))
+    words = F.zip_with(jaccard._folded(F.col("a"), size), jaccard._folded(F.col("b"), size), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    told = spark.createDataFrame(rows, "a array<long>, b array<long>, n int").select("n", F.aggregate(words, F.lit(0), lambda s, x: s + x).alias("m"))
+    assert all(r.n == r.m for r in told.collect())
+
+
 def test_chain_within_one_piece(spark):
     """Sets that share pieces with a leader they are not similar to still link with each other."""
     base = [f"w{i}" for i in range(40)]

@@ -5,8 +5,9 @@ differ in shingles. Two sets of similarity t differ in at most D = floor(a (1 -
 sketch is cut into D + 1 pieces, similar sets agree in at least one whole piece. Sizes fall into bands with a number of pieces
 each; a set joins in its own band and, where a similar smaller set can be in the band below, in that one too. A piece has 2^16
 bits, few of them set, and is kept as the XOR of one random word per bit, in which equal bits cancel as they do in
-the sketch. Sets that share a piece are compared: first by size, then by a short sketch of 512 bits (a lower bound as well),
-then exactly.
+the sketch. Sets that share a piece are compared: first by size, then by one short sketch of the whole set (a lower bound as well),
+then exactly. The short sketch has as many bits as the set has shingles at least, as one of fewer bits than that fills up and excludes
+nothing; of two lengths the longer is folded to the shorter by XOR.
 
 Documents with equal sets are one node from the start. The members of a piece are not paired with one another but with one leader
 (first within a task, then among the tasks' leaders, so a piece that a third of all sets have sends one row per task), and
@@ -34,8 +35,11 @@ from veilcraft.llm.common import RollingHash, flat, mix, slices, squeezed, unsqu
 from veilcraft.llm.components import components
 from veilcraft.session import materialize
 
-#: Random words for the bits of a piece, and bits of the short sketch.
-PIECE_BITS, SHORT_BITS = 16, 512
+#: Bits of a piece, and least and most bits of the short sketch.
+PIECE_BITS, SHORT_BITS, LONG_BITS = 16, 512, 1 << 14
+#: Bits of two blocks' sketches that are multiplied at a time.
+BIT_STEP = 2048
+#: Random words for the bits of a piece.
 BIT_WORDS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 1 << PIECE_BITS, dtype=np.uint64)
 #: A task hands on its pieces when it has so many, or so many documents.
 FLUSH_ROWS, FLUSH_SETS = 4 << 20, 1 << 16
@@ -125,10 +129,33 @@ def pieces(found: np.ndarray, band: int, count: int) -> np.ndarray:
 
 
 def short_sketch(found: np.ndarray) -> np.ndarray:
-    parity = np.bincount(((found >> np.uint64(32)) & np.uint64(SHORT_BITS - 1)).astype(np.int64), minlength=SHORT_BITS) & 1
+    bits = min(max(SHORT_BITS, 1 << max(0, len(found) - 1).bit_length()), LONG_BITS)
+    parity = np.bincount(((found >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Rows of words folded to ``size`` words: the sketch with so many bits."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, size), axis=1)
+
+
+def apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many bits each row of words on the left differs from each on the right."""
+    size = min(left.shape[1], right.shape[1])
+    left, right = (folded(side, size).view(np.uint8) for side in (left, right))
+    equal = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, left.shape[1], BIT_STEP // 8):
+        x, y = (1 - 2 * np.unpackbits(side[:, at : at + BIT_STEP // 8], axis=1).astype(np.float32) for side in (left, right))
+        equal += x @ y.T
+    return (64 * size - equal) / 2
+
+
+def _folded(sketch: Column, size: Column) -> Column:
+    part = lambda k: F.slice(sketch, k * size + 1, size)
+    rest = F.aggregate(F.sequence(F.lit(1), (F.size(sketch) / size).cast("int") - 1), F.slice(sketch, F.lit(1), size), lambda x, k: F.zip_with(x, part(k), lambda u, v: u.bitwiseXOR(v)))
+    return F.when(F.size(sketch) <= size, sketch).otherwise(rest)
+
+
 def set_name(found: np.ndarray) -> int:
     """One number for a set."""
     return int(mix(np.array([found.sum(dtype=np.uint64) + np.uint64(len(found))], np.uint64)).view(np.int64)[0])
@@ -290,9 +317,10 @@ class Join:
         sized = self.sets.select("set_id", "n", "sketch")
         for side in "ab":
             pairs = pairs.join(sized.toDF(side, f"n_{side}", f"sketch_{side}"), side)
-        apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        size = F.least(F.size("sketch_a"), F.size("sketch_b"))
+        differing = F.aggregate(F.zip_with(_folded(F.col("sketch_a"), size), _folded(F.col("sketch_b"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
         smaller, larger = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-        close = (100 * smaller >= self.bands.percent * larger) & (apart * self.bands.percent <= smaller * (100 - self.bands.percent))
+        close = (100 * smaller >= self.bands.percent * larger) & (differing * self.bands.percent <= smaller * (100 - self.bands.percent))
         return pairs.where(close).select("a", "b", "n_a", "n_b")
 
     def between(self, members: DataFrame, seed: int | None = None) -> DataFrame:
@@ -307,12 +335,18 @@ class Join:
             for group in blocks.groups(batches):
                 low, block = group["low"][0].as_py(), group["block"].to_numpy()
                 sets, labels, sizes = (group[name].to_numpy() for name in ("set_id", "label", "n"))
-                bits = np.unpackbits(np.array(group["sketch"].to_pylist(), np.int64).view(np.uint8).reshape(len(sets), -1), axis=1)
-                signs = 1 - 2 * bits.astype(np.float32)
                 left, right = np.flatnonzero(block == low), np.flatnonzero(block == group["high"][0].as_py())
-                apart = (SHORT_BITS - signs[left] @ signs[right].T) / 2
+                differing = np.zeros((len(left), len(right)), np.float32)
+                words = group["sketch"].combine_chunks()
+                lengths, flat_words = words.value_lengths().to_numpy(zero_copy_only=False), words.flatten().to_numpy()
+                begins = np.concatenate(([0], np.cumsum(lengths)))
+                for x_size in np.unique(lengths[left]):
+                    for y_size in np.unique(lengths[right]):
+                        x, y = np.flatnonzero(lengths[left] == x_size), np.flatnonzero(lengths[right] == y_size)
+                        x_words, y_words = (flat_words[begins[rows][:, None] + np.arange(size)] for rows, size in ((left[x], x_size), (right[y], y_size)))
+                        differing[np.ix_(x, y)] = apart(x_words, y_words)
                 smaller, larger = (least(sizes[left][:, None], sizes[right][None, :]) for least in (np.minimum, np.maximum))
-                near = (labels[left][:, None] != labels[right][None, :]) & (100 * smaller >= percent * larger) & (apart * percent <= smaller * (100 - percent))
+                near = (labels[left][:, None] != labels[right][None, :]) & (100 * smaller >= percent * larger) & (differing * percent <= smaller * (100 - percent))
                 rows, columns = np.nonzero(near) if seed is None else forest(near, left, right, labels, seed)
                 x, y = sets[left[rows]], sets[right[columns]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])

@@ -9,12 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilcraft.session import materialize
+
 
 def dealt(members: DataFrame, id_column: str, size: int) -> DataFrame:
     """Rows (key, ...) dealt into blocks of about ``size`` per key, with ``low`` and ``high``: a row goes to every pair of blocks
-    that its own is in, so that any two members of a key meet in one place."""
+    that its own is in, so that any two members of a key meet in one place.
+
+    The counts are written before they are joined: adaptive execution splits a hot key only between two shuffles.
+    """
     counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
-    own = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64(id_column, "key"), F.col("blocks")).cast("int"))
+    own = members.join(materialize(counts, "block-counts"), "key").withColumn("block", F.pmod(F.xxhash64(id_column, "key"), F.col("blocks")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
 

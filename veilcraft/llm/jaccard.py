@@ -307,7 +307,7 @@ class Join:
         sets = self.rows.where("set_id is not null").groupBy("set_id").agg(
             F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("at")
         )
-        self.sets = sets
+        self.sets = materialize(sets, "jaccard-nodes")
 
     def similar(self, shared: Column, n_a: Column, n_b: Column) -> Column:
         return 100 * shared >= self.bands.percent * (n_a + n_b - shared)
@@ -323,11 +323,12 @@ class Join:
         close = (100 * smaller >= self.bands.percent * larger) & (differing * self.bands.percent <= smaller * (100 - self.bands.percent))
         return pairs.where(close).select("a", "b", "n_a", "n_b")
 
-    def between(self, members: DataFrame, seed: int | None = None) -> DataFrame:
+    def between(self, members: DataFrame, seed: int | None = None, sets_only: bool = False) -> DataFrame:
         """Pairs (a, b) of a piece's members (key, set_id, label, n, sketch) with different labels that sizes and sketches allow.
 
         Members meet in blocks, and no row leaves for a pair that is not possible. With a seed, of all possible pairs of a block
-        only those of a spanning forest leave, as many as labels at most.
+        only those of a spanning forest leave, as many as labels at most. With ``sets_only``, the sets that have a possible
+        partner leave, each paired with itself.
         """
         percent = self.bands.percent
 
@@ -347,8 +348,11 @@ class Join:
                         differing[np.ix_(x, y)] = apart(x_words, y_words)
                 smaller, larger = (least(sizes[left][:, None], sizes[right][None, :]) for least in (np.minimum, np.maximum))
                 near = (labels[left][:, None] != labels[right][None, :]) & (100 * smaller >= percent * larger) & (differing * percent <= smaller * (100 - percent))
-                rows, columns = np.nonzero(near) if seed is None else forest(near, left, right, labels, seed)
-                x, y = sets[left[rows]], sets[right[columns]]
+                if sets_only:
+                    x = y = np.unique(np.concatenate((sets[left[near.any(axis=1)]], sets[right[near.any(axis=0)]])))
+                else:
+                    rows, columns = np.nonzero(near) if seed is None else forest(near, left, right, labels, seed)
+                    x, y = sets[left[rows]], sets[right[columns]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
         return blocks.in_order(blocks.dealt(members, "set_id", BLOCK)).mapInArrow(run, "a long, b long")
@@ -394,7 +398,11 @@ class Join:
         # members of one piece in different components meet: first some possible pairs that tie most of them, then all that are left
         members = members.drop("label").join(self.sets.select("set_id", "n", "sketch"), "set_id")
         members = materialize(members, "jaccard-open")
-        whole = materialize(self.shingles(members.select("set_id").distinct()), "jaccard-sets")
+        # most members have no possible partner left; whole sets are written of the others alone
+        possible = self.between(self.mixed(members, known), sets_only=True).select(F.col("a").alias("set_id")).distinct()
+        possible = materialize(possible, "jaccard-possible")
+        members = materialize(members.join(possible, "set_id"), "jaccard-open")
+        whole = materialize(self.shingles(possible), "jaccard-sets")
         for seed in (*range(FOREST_ROUNDS), None):
             still = self.mixed(members, known)
             if still.isEmpty():

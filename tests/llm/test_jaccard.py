@@ -100,6 +100,18 @@ def test_bounds_and_empty(spark):
         for large in range(small, small * 100 // 90 + 1):
             met = own.keys() & {band for band, _ in bands.of(large)}
             assert any(own[band] > bands.differing(small) for band in met)
+    draw = np.random.Generator(np.random.PCG64(4))
+    for percent in (80, 90):  # any two sets that differ as much as similar ones can share a key
+        bands = jaccard.Bands(percent)
+        for size in [*range(bands.first, 60), *range(60, 900, 37)]:
+            for _ in range(6):
+                base, gone = draw.integers(0, 1 << 64, size, dtype=np.uint64), bands.differing(size)
+                fewer = int(draw.integers(0, gone + 1))
+                other = np.concatenate((base[fewer:], draw.integers(0, 1 << 64, gone - fewer, dtype=np.uint64)))
+                keys = [np.concatenate([jaccard.pieces(x, band, count, bands.differing(len(x))) for band, count in bands.of(len(x))] or [np.zeros(0, np.uint64)]) for x in (base, other)]
+                shared = len(np.intersect1d(base, other))
+                if 100 * shared >= percent * (len(base) + len(other) - shared):
+                    assert len(np.intersect1d(*keys))
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.drop_near_duplicates(empty).count() == 0
 

@@ -3,7 +3,8 @@
 A set is hashed into a bit sketch: each shingle flips one bit. The sketches of two sets differ in no more bits than the sets
 differ in shingles. Two sets of similarity t differ in at most D = floor(a (1 - t) / t) shingles, a the smaller size, so if a
 sketch is cut into D + 1 pieces, similar sets agree in at least one whole piece. Sizes fall into bands with a number of pieces
-each; a set joins in its own band and, where a similar smaller set can be in the band below, in that one too. A piece has 2^16
+each; a set joins in its own band and, where a similar smaller set can be in the band below, in that one too. There are a few more pieces than D + 1, so that sets
+agree in a piece with bits set; empty pieces, which would bring all sets of a band together, join only sets that have too few others. A piece has 2^16
 bits, few of them set, and is kept as the XOR of one random word per bit, in which equal bits cancel as they do in
 the sketch. Sets that share a piece are compared: first by size, then by one short sketch of the whole set (a lower bound as well),
 then exactly. The short sketch has as many bits as the set has shingles at least, as one of fewer bits than that fills up and excludes
@@ -22,6 +23,7 @@ ids; a null id is never a component's id unless all its members have none.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,7 +82,12 @@ class Bands:
         bands = [own]
         if own and size <= (int(edges[own]) - 1) * 100 // self.percent:
             bands.append(own - 1)
-        return [(band, self.differing(int(edges[band + 1]) - 1) + 1) for band in bands]
+        return [(band, self.pieces(int(edges[band + 1]) - 1)) for band in bands]
+
+    def pieces(self, size: int) -> int:
+        """Pieces of a band up to ``size``: one more than similar sets differ in, and four times as many more as are empty by chance."""
+        least = self.differing(size) + 1
+        return least + math.ceil(4 * least * math.exp(-size / least))
 
 
 def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,11 +128,19 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield hashes[:0]
 
 
-def pieces(found: np.ndarray, band: int, count: int) -> np.ndarray:
-    """The sketch of a set in ``count`` pieces, each as one number that tells band, place and bits."""
-    out = mix(np.arange(count, dtype=np.uint64) + np.uint64((band + 1) << 32))
-    np.bitwise_xor.at(out, ((found & np.uint64(0xFFFFFFFF)) % np.uint64(count)).astype(np.int64), BIT_WORDS[(found >> np.uint64(64 - PIECE_BITS)).astype(np.int64)])
-    return mix(out) >> np.uint64(64 - 8 * KEY_BYTES)
+def pieces(found: np.ndarray, band: int, count: int, differing: int) -> np.ndarray:
+    """The sketch of a set in ``count`` pieces, each as one number that tells band, place and bits; empty pieces only if they are needed.
+
+    A piece without bits is the same in every set that has it. A set with more pieces with bits than it can differ in
+    from a similar larger one (``differing``) agrees with that, and with similar smaller ones, in one of those: the
+    smaller of two sets bounds the difference. Two similar sets that both have fewer meet in their empty pieces.
+    """
+    bits = np.zeros(count, np.uint64)
+    np.bitwise_xor.at(bits, ((found & np.uint64(0xFFFFFFFF)) % np.uint64(count)).astype(np.int64), BIT_WORDS[(found >> np.uint64(64 - PIECE_BITS)).astype(np.int64)])
+    place = np.arange(count, dtype=np.uint64)
+    if np.count_nonzero(bits) > differing:
+        place = place[bits != 0]
+    return mix(mix(place + np.uint64((band + 1) << 32)) ^ bits[place.astype(np.int64)]) >> np.uint64(64 - 8 * KEY_BYTES)
 
 
 def short_sketch(found: np.ndarray) -> np.ndarray:
@@ -227,9 +242,9 @@ def signatures(docs: DataFrame, words: int, bands: Bands, buckets: int) -> DataF
                 for found in shingle_sets(part.column("text"), words):
                     name = set_name(found) if len(found) else None
                     for band, count in bands.of(len(found)):
-                        keys.append(pieces(found, band, count))
-                        sets.append(np.full(count, name, np.int64))
-                        waiting += count
+                        keys.append(pieces(found, band, count, bands.differing(len(found))))
+                        sets.append(np.full(len(keys[-1]), name, np.int64))
+                        waiting += len(keys[-1])
                     sizes.append(len(found)), names.append(name), sketches.append(short_sketch(found))
                 columns = {"n_shingles": pa.array(sizes, pa.int64()), "set_id": pa.array(names, pa.int64()), "sketch": pa.array(sketches, pa.list_(pa.int64()))}
                 yield rows(part.num_rows, columns | {name: part.column(name) for name in ("doc_id", "text_hash")})

@@ -44,7 +44,7 @@ BIT_STEP = 2048
 #: Random words for the bits of a piece.
 BIT_WORDS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 1 << PIECE_BITS, dtype=np.uint64)
 #: A task hands on its pieces when it has so many, or so many documents.
-FLUSH_ROWS, FLUSH_SETS = 4 << 20, 1 << 16
+FLUSH_ROWS, FLUSH_SETS = 2 << 20, 1 << 16
 KEY_BYTES = 6
 #: Sets of a piece that are compared in one place at a time.
 BLOCK = 1024

@@ -81,7 +81,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier place has."""
     cleaned = sentences.remove_spans(table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    return cleaned.select("doc_id", "n_sentences", "n_repeated", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 @query

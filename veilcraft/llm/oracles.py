@@ -48,19 +48,20 @@ SPANS = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SEGMENT}') AS segments FROM documents),
 s AS (SELECT doc_id, i, trim(regexp_replace(segments[i], '[ \t-\r]+', ' ', 'g')) AS sentence, segments[i] AS segment
   FROM (SELECT doc_id, segments, unnest(generate_series(1, len(segments))) AS i FROM d)),
-w AS (SELECT *, len(string_split(sentence, ' ')) AS words,
-    lead(sentence) OVER o AS sentence2, lead(sentence, 2) OVER o AS sentence3, lead(len(string_split(sentence, ' '))) OVER o AS words2
-  FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+w AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (SELECT *, len(string_split(sentence, ' ')) AS words FROM s)),
+l AS (SELECT doc_id, list(sentence ORDER BY i) AS list FROM s GROUP BY doc_id),
+r AS (SELECT a.doc_id, a.i, b.i - a.i + 1 AS length, b.upto - a.upto + a.words AS words FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 19),
 p AS (
-  SELECT doc_id, i, 3 AS length, sentence || chr(10) || sentence2 || chr(10) || sentence3 AS span FROM w WHERE sentence3 IS NOT NULL
-  UNION ALL SELECT doc_id, i, 2, sentence || chr(10) || sentence2 FROM w WHERE sentence2 IS NOT NULL AND words + words2 >= 50
-  UNION ALL SELECT doc_id, i, 1, sentence FROM w WHERE words >= 50),
-later AS (SELECT doc_id, i, length FROM (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS place FROM p) WHERE place > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + length - 1)) AS i FROM later),
-kept AS (SELECT s.doc_id, count(*) AS n_sentences, count(gone.i) AS n_removed,
+  SELECT doc_id, i, length, array_to_string(list[i : i + length - 1], chr(10)) AS span FROM l JOIN (
+    SELECT doc_id, i, min(length) AS length FROM r WHERE length >= 3 AND words >= 20 GROUP BY doc_id, i
+    UNION ALL SELECT doc_id, i, length FROM r WHERE length < 3 AND words >= 50) USING (doc_id)),
+placed AS (SELECT *, row_number() OVER o AS place, count(*) OVER (PARTITION BY span) AS places FROM p WINDOW o AS (PARTITION BY span ORDER BY doc_id, i)),
+every AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + length - 1)) AS i FROM placed WHERE places > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + length - 1)) AS i FROM placed WHERE place > 1),
+kept AS (SELECT s.doc_id, count(*) AS n_sentences, count(every.i) AS n_repeated, count(gone.i) AS n_removed,
     coalesce(string_agg(CASE WHEN gone.i IS NULL THEN segment END, '' ORDER BY s.i), '') AS rest
-  FROM s LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.i = s.i GROUP BY s.doc_id)
-SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed,
+  FROM s LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.i = s.i LEFT JOIN every ON every.doc_id = s.doc_id AND every.i = s.i GROUP BY s.doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_removed, 0) AS n_removed,
   sha256(regexp_extract(d.text, '^[ \t-\r]*') || coalesce(rest, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """

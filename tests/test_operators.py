@@ -9,7 +9,8 @@ from veilcraft.operators import (
 )
 from veilcraft.functions.cipher import TokenCipher, CipherKey
 from veilcraft.functions import names
-from veilcraft.plans.workbook import token_namespaces
+from veilcraft.operators.discover import _outline, discover_columns
+from veilcraft.plans.workbook import Workbooks, token_namespaces, unscrub
 from pathlib import PurePosixPath
 
 
@@ -314,3 +315,44 @@ def test_known_and_unknown_namespaces_open_alike(spark, cipher):
     df = spark.createDataFrame([("a", "x"), ("b", "y")], "n string, t string").select(cipher.encrypt_by("n", "t").alias("c"))
     assert sorted(r[0] for r in df.select(known.decrypt("c")).collect()) == ["x", "y"]
     assert sorted(token_namespaces(df, "c")) == ["a", "b"] and token_namespaces(df, "c", limit=1) == []
+
+
+def test_states_are_joined_for_any_number_of_namespaces(spark, cipher):
+    named = spark.range(300).selectExpr("concat('space-', id % 150) AS n", "concat('text ', id) AS t", "CAST(id AS INT) AS id")
+    token = cipher.encrypt_by("n", "t")
+    cells = named.select(
+        F.lit("f").alias("file_path"), F.lit(0).alias("sheet_index"), F.lit("s").alias("sheet_name"), F.col("id").cast("bigint").alias("row"), F.lit("A").alias("col"),
+        F.col("id").cast("bigint").alias("ordinal"), F.lit("str").alias("cell_type"), F.lit(None).cast("bigint").alias("ss_index"),
+        F.when(F.col("id") % 3 == 0, F.col("t")).otherwise(token).alias("value"), F.lit(None).cast("string").alias("formula"),
+    )
+    runs = F.array(F.lit("plain "), token, cipher.encrypt_by("'other'", "t"))
+    strings = named.select(F.lit("f").alias("file_path"), F.col("id").cast("bigint").alias("ss_index"), runs.alias("runs"), F.array_join(runs, "").alias("value"))
+    values = named.select(F.lit("f").alias("file_path"), F.lit("p").alias("part"), F.col("id").alias("item"), F.lit("s").alias("tag"), token.alias("v"))
+    book = Workbooks(cells, strings, pivot_items=values)
+    for strict in (True, False):
+        done = unscrub(book, cipher, strict)
+        assert {(r.row, r.value) for r in done.book.cells.collect()} == {(i, f"text {i}") for i in range(300)}
+        assert {(r.ss_index, r.value) for r in done.book.shared_strings.collect()} == {(i, f"plain text {i}text {i}") for i in range(300)}
+        assert {(r["item"], r.v) for r in done.book.pivot_items.collect()} == {(i, f"text {i}") for i in range(300)}
+        assert not {"_namespace", "_state"} & {c for df in (done.book.cells, done.book.shared_strings, done.book.pivot_items) for c in df.columns}
+    told = TokenCipher(spark, CipherKey(bytes(range(64))), ["space-1"])
+    assert unscrub(book, told).counts.orderBy("namespace").collect() == unscrub(book, cipher).counts.orderBy("namespace").collect()
+    broken = cells.withColumn("value", F.when(F.col("row") == 1, F.regexp_replace("value", ":.", ":_")).otherwise(F.col("value")))
+    failed = unscrub(Workbooks(broken), cipher, strict=False).book.cells
+    assert [r.row for r in failed.where("failed").collect()] == [1]
+    # the states are made of the stored names, not per token
+    plan = unscrub(Workbooks(cells), cipher).book.cells._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan
+
+
+def test_discovery_reads_the_cells_once_and_late_sheets_again(spark, tmp_path):
+    rows = [("f", 0, "a", r, c, n, v) for n, (r, c, v) in enumerate([(1, "A", "Client Name"), (1, "B", "Account ID"), (2, "A", "x"), (1, "A", "Last Name"), (12, "C", "late")])]
+    rows += [("f", 1, "b", r, c, n, v) for n, (r, c, v) in enumerate([(30, "A", "Deep Title"), (30, "B", "old"), (30, "B", "Other Title"), (31, "C", "below"), (5, "D", "")])]
+    cells = spark.createDataFrame(rows, "file_path string, sheet_index int, sheet_name string, row bigint, col string, ordinal bigint, value string")
+    found = {(r.sheet_name, r.col): (r.header, r.start_row) for r in discover_columns(cells).collect()}
+    assert found == {
+        ("a", "A"): ("Last Name", 2), ("a", "B"): ("Account ID", 2), ("a", "C"): ("Column C", 2),
+        ("b", "A"): ("Deep Title", 31), ("b", "B"): ("Other Title", 31), ("b", "C"): ("Column C", 31),
+    }
+    outline = _outline(cells)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in outline and "SortAggregate" not in outline

@@ -254,17 +254,28 @@ class TokenCipher:
         """State of a namespace column (at most 64 ASCII characters)."""
         return F.expr(self._state(namespace))
 
-    def decrypt(self, text: str) -> Column:
-        """Text of a token; other text unchanged. A token that fails is an error."""
-        return F.expr(self._opened(text, strict=True))
+    @property
+    def knows_namespaces(self) -> bool:
+        """Whether states of named namespaces are literals of every expression."""
+        return bool(self._known)
+
+    def decrypt(self, text: str, state: str | None = None) -> Column:
+        """Text of a token; other text unchanged. A token that fails is an error.
+
+        ``state`` is a column with the state of the token's namespace, made by :meth:`state` beforehand.
+        """
+        return F.expr(self._opened(text, strict=True, state=state))
 
-    def try_decrypt(self, text: str) -> Column:
+    def try_decrypt(self, text: str, state: str | None = None) -> Column:
         """Like :meth:`decrypt`, but a token that fails becomes NULL."""
-        return F.expr(self._opened(text, strict=False))
+        return F.expr(self._opened(text, strict=False, state=state))
+
+    def decrypt_each(self, texts: str, strict: bool = True, namespace: str | None = None, state: str | None = None) -> Column:
+        """:meth:`decrypt` or :meth:`try_decrypt` on every element of an array.
 
-    def decrypt_each(self, texts: str, strict: bool = True) -> Column:
-        """:meth:`decrypt` or :meth:`try_decrypt` on every element of an array."""
-        return F.expr(f"transform({texts}, item -> {self._opened('item', strict)})")
+        ``state`` serves the elements of one ``namespace``, both columns; states of others are computed.
+        """
+        return F.expr(f"transform({texts}, item -> {self._opened('item', strict, namespace, state)})")
 
     def _token(self, namespace: str, text: str, state: str, allowed: str) -> str:
         def sealed(t: str) -> str:
@@ -278,11 +289,14 @@ class TokenCipher:
 
         return _let(text, sealed)
 
-    def _opened(self, text: str, strict: bool) -> str:
+    def _opened(self, text: str, strict: bool, of: str | None = None, state: str | None = None) -> str:
         def opened(t: str) -> str:
             namespace = f"substring_index({t}, ':', 1)"
+            given = state or self._state(namespace)
+            if state and of:
+                given = f"CASE WHEN {namespace} = {of} THEN {state} ELSE {self._state(namespace)} END"
             sealed = f"unbase64(replace(replace(substring_index({t}, ':', -1), '-', '+'), '_', '/'))"
-            plain = f"try_validate_utf8(CAST({self._open(self._state(namespace), sealed)} AS STRING))"
+            plain = f"try_validate_utf8(CAST({self._open(given, sealed)} AS STRING))"
             if strict:
                 plain = f"coalesce({plain}, CAST(raise_error('{BAD_TOKEN}') AS STRING))"
             return f"CASE WHEN {_is_token(t)} THEN {plain} ELSE {t} END"

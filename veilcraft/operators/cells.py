@@ -123,14 +123,16 @@ def restored_type(value: Column) -> Column:
     return F.when(tx.looks_float(value), "n").otherwise("inlineStr")
 
 
-def decrypt_cells(cells: DataFrame, cipher: TokenCipher, strict: bool = True) -> DataFrame:
+def decrypt_cells(cells: DataFrame, cipher: TokenCipher, strict: bool = True, state: str | None = None) -> DataFrame:
     """Restore every token outside the dictionary. ``namespace`` tells which cells held one.
 
+    ``state`` is a column with the state of the cell's namespace (see :mod:`veilcraft.operators.states`).
+
     With ``strict=False`` a token that fails keeps its text and gets ``failed`` = true.
     """
     direct = F.coalesce(F.col("cell_type") != "s", F.lit(True))
     held = direct & tx.is_token(F.col("value"))
-    text = cipher.decrypt("value") if strict else cipher.try_decrypt("value")
+    text = cipher.decrypt("value", state) if strict else cipher.try_decrypt("value", state)
     opened = cells.withColumn("_plain", F.when(held, text))
     restored = F.col("_plain").isNotNull()
     retyped = F.when(F.col("formula").isNotNull(), "str").otherwise(restored_type(F.col("_plain")))

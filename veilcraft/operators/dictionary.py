@@ -36,12 +36,16 @@ def replace_dictionary(shared_strings: DataFrame, rules: Iterable[tuple[str, str
     )
 
 
-def decrypt_dictionary(shared_strings: DataFrame, cipher: TokenCipher, strict: bool = True) -> DataFrame:
+def decrypt_dictionary(
+    shared_strings: DataFrame, cipher: TokenCipher, strict: bool = True, namespace: str | None = None, state: str | None = None
+) -> DataFrame:
     """Restore every run that is a token; ``namespaces`` lists their namespaces.
 
+    ``state`` is a column with the state of a ``namespace`` of the entry; runs of other namespaces compute theirs.
+
     With ``strict=False`` a run that fails keeps its text and is counted in ``failed``.
     """
-    opened = cipher.decrypt_each("runs", strict)
+    opened = cipher.decrypt_each("runs", strict, namespace, state)
     kept = F.zip_with(opened, F.col("runs"), lambda new, old: F.coalesce(new, old))
     held = F.transform("runs", lambda run: tx.token_parts(run)["namespace"])
     names = F.filter(held, lambda name: name.isNotNull())

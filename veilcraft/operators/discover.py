@@ -1,8 +1,8 @@
 """Which row of a sheet is its header, and which columns it has.
 
-Two narrow passes over the cells: the first ten rows are scored, and every
-column is found with its first row. Both aggregate before they shuffle, so a
-sheet that owns most of the corpus costs no more per task than the others.
+One pass over the cells: per column, its first row and the values of its first ten
+rows. It aggregates before it shuffles, so a sheet that owns most of the corpus costs
+no more per task than the others; scores, header row and titles follow from the result.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilcraft.functions import text as tx
 from veilcraft.operators.joins import lookup_join
-from veilcraft.session import materialize_all
+from veilcraft.session import materialize
 
 HEADER_ROWS = 10  # fixed value
 SHEET = ["file_path", "sheet_index", "sheet_name"]
@@ -60,14 +60,32 @@ def header_pick(cells: DataFrame) -> DataFrame:
     )
 
 
+def _outline(cells: DataFrame) -> DataFrame:
+    """Per column a row for each value of the first rows and one for all below, with first row and last ordinal.
+
+    Values are keys and the aggregates numbers, so that Spark hashes and never sorts the cells.
+    """
+    within = F.col("row") <= HEADER_ROWS
+    return (
+        cells.where(F.col("value") != "")
+        .groupBy(*SHEET, "col", F.when(within, F.col("row")).alias("head_row"), F.when(within, F.col("value")).alias("value"))
+        .agg(F.min("row").alias("first_row"), F.max("ordinal").alias("ordinal"))
+    )
+
+
 def discover_columns(cells: DataFrame) -> DataFrame:
     """Descriptors of all columns: file_path, sheet_index, sheet_name, col, header, start_row, key.
 
-    The small intermediate results are written to the shared folder, so the big
-    table is read twice; a third time only for sheets that begin below row 10.
+    The outline, a few rows per column, is written to the shared folder, so the big
+    table is read once; a second time only for sheets that begin below row 10.
     """
-    small = materialize_all(extents=column_extents(cells), head=_head_cells(cells))
-    extents, head = small["extents"], small["head"]
+    outline = materialize(_outline(cells), "outline")
+    extents = outline.groupBy(*SHEET, "col").agg(F.min("first_row").alias("first_row"))
+    head = (
+        outline.where("head_row IS NOT NULL")
+        .groupBy(*SHEET, F.col("head_row").alias("row"), "col")
+        .agg(F.max_by("value", "ordinal").alias("value"))
+    )
     first = extents.groupBy(*SHEET).agg(F.min("first_row").alias("first_row"))
     rows = first.join(_picked(_scored(head)), SHEET, "left").select(
         *SHEET, F.coalesce("picked", "first_row").alias("header_row")

@@ -88,10 +88,10 @@ def encrypt_records(records: DataFrame, matched: DataFrame, cipher: TokenCipher)
     return _encrypt(records, matched, cipher)
 
 
-def decrypt_values(values: DataFrame, cipher: TokenCipher, strict: bool = True) -> DataFrame:
+def decrypt_values(values: DataFrame, cipher: TokenCipher, strict: bool = True, state: str | None = None) -> DataFrame:
     """Restore any token in ``v``. The tag stays: pivot values do not turn back into numbers."""
     held = tx.is_token(F.col("v"))
-    text = cipher.decrypt("v") if strict else cipher.try_decrypt("v")
+    text = cipher.decrypt("v", state) if strict else cipher.try_decrypt("v", state)
     opened = values.withColumn("_plain", F.when(held, text))
     return opened.select(
         *[c for c in values.columns if c != "v"],

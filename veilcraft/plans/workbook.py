@@ -14,6 +14,7 @@ from veilcraft.operators import audit, cells as cell_ops, dictionary, pivot
 from veilcraft.operators.discover import describe_sheets, discover_columns
 from veilcraft.operators.gates import require, require_changes
 from veilcraft.operators.joins import fits_broadcast
+from veilcraft.operators.states import NAMESPACE, STATE, with_states
 from veilcraft.session import materialize, materialize_all
 from veilcraft.sources import packages
 
@@ -135,7 +136,8 @@ def scrub(
     Rules run before discovery, so they may change headers. ``columns`` lists the
     requested keys, or is a table of them (sheet_index, col and optionally file_path);
     None takes all.
-    Counts come from columns that need no cipher, so auditing does not encrypt.
+    Replaced and decoded cells are written once to the shared folder, and discovery, counts, references and tokens
+    read the columns they need from there. Counts need no cipher, so auditing does not encrypt.
 
     A file that holds a token already or a reference outside its dictionary stops the run if ``strict``; else
     it is left out of every table and listed in the result's ``book.errors``, and the others are scrubbed.
@@ -148,6 +150,8 @@ def scrub(
     if not strict:
         book = without_faulty(book, columns)
     plain = decoded(book)
+    if rules or book.shared_strings is not None:
+        plain = materialize(plain, "plain-cells")
     selected = materialize(
         cell_ops.select_columns(discover_columns(plain), columns), "descriptors"
     )
@@ -168,7 +172,7 @@ def scrub(
     listed = audit.encrypted_columns(sealed)
     kept = sealed.drop("namespace", "header")
     if book.shared_strings is not None:
-        rebuilt = dictionary.rebuild_dictionary(kept, book.shared_strings)
+        rebuilt = materialize(dictionary.rebuild_dictionary(kept, book.shared_strings), "rebuilt-dictionary")
         result = with_fields(
             result,
             cells=dictionary.remap_cells(kept, rebuilt),
@@ -224,19 +228,30 @@ def unscrub(book: Workbooks, cipher: TokenCipher, strict: bool = True) -> ScrubR
     """Decrypt dictionary runs, cells and pivot values. Replacements are not undone.
 
     With ``strict=False`` tokens that fail stay as they are and are flagged ``failed``.
+    Unless the cipher was told its namespaces, they are found first, and the state of each is computed once and joined in.
     """
-    cells = cell_ops.decrypt_cells(book.cells, cipher, strict)
+
+    def prepared(values: DataFrame, text: str) -> tuple[DataFrame, str | None]:
+        if cipher.knows_namespaces:
+            return values, None
+        return with_states(values, tx.token_parts(F.expr(text))["namespace"], cipher), STATE
+
+    stored, state = prepared(book.cells, "CASE WHEN coalesce(cell_type <> 's', true) THEN value END")
+    cells = cell_ops.decrypt_cells(stored, cipher, strict, state).drop(NAMESPACE, STATE)
     result = with_fields(book, cells=cells.drop("namespace"))
     sources: list[DataFrame | None] = [cells, None, None, None]
     if book.shared_strings is not None:
-        opened = dictionary.decrypt_dictionary(book.shared_strings, cipher, strict)
+        first_token = f"try_element_at(filter(runs, run -> rlike(run, r'{tx.TOKEN_PATTERN}')), 1)"
+        stored, state = prepared(book.shared_strings, first_token)
+        opened = dictionary.decrypt_dictionary(stored, cipher, strict, state and NAMESPACE, state).drop(NAMESPACE, STATE)
         result = with_fields(result, shared_strings=opened.drop("namespaces"))
         runs = opened.select(F.explode("namespaces").alias("namespace"))
         sources[0] = cells.select("namespace").unionByName(runs)
     for i, name in enumerate(("pivot_items", "pivot_records", "pivot_other"), start=1):
         values = getattr(book, name)
         if values is not None:
-            sources[i] = pivot.decrypt_values(values, cipher, strict)
+            stored, state = prepared(values, "v")
+            sources[i] = pivot.decrypt_values(stored, cipher, strict, state).drop(NAMESPACE, STATE)
             result = with_fields(result, **{name: sources[i].drop("namespace")})
     records, other = sources[2:]
     if other is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siv_by_hand import seal
 from veilcraft.functions import cipher as cip
-from veilcraft.functions.cipher import CipherKey, KeyConfigurationError, TokenCipher
+from veilcraft.functions.cipher import CipherKey, TokenCipher, UnusableKey
 
 KEY = bytes(range(64))
 SIZES = [1, 2, 8, 15, 16, 17, 31, 32, 33, 47, 48, 63, 64, 65, 159, 160, 161, 176, 177, 500, 1000]
@@ -124,9 +124,13 @@ def test_key_checks():
     good = base64.urlsafe_b64encode(KEY).decode().rstrip("=")
     assert CipherKey.from_text(f" {good}\n").raw == KEY
     assert CipherKey.from_env({"SECRET_KEY": good}).raw == KEY
-    for bad in ("", "A", good[:-4], "%%%"):
-        with pytest.raises(KeyConfigurationError):
+    assert CipherKey.from_text(f"{good}==").raw == KEY
+    for bad in ("", "A", good[:-4], "%%%", good[1:]):
+        with pytest.raises(UnusableKey) as refused:
             CipherKey.from_env({"SECRET_KEY": bad})
+        assert len(bad) < 5 or bad not in str(refused.value)
+    with pytest.raises(UnusableKey):
+        CipherKey.from_env({})
     assert "raw" not in repr(CipherKey(KEY))
 
 

@@ -1,3 +1,6 @@
+import random
+import zipfile
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -163,6 +166,41 @@ def test_broken_files_become_error_rows(spark, tmp_path):
     assert [r["error"][:26] for r in packages.cells(parts).collect()] == ["xl/worksheets/sheet3.xml: "]
 
 
+def test_members_are_read_like_packages(spark, tmp_path):
+    draw = random.Random(3)
+    noise = "".join(draw.choices("abcdefgh", k=400_000))
+    many = b.workbook({f"S{i}": b.sheet(b.inline("A1", "Name"), b.inline("A2", f"{i}{noise}")) for i in range(40)}, extra={"xl/styles.xml": noise})
+    b.write_zip(tmp_path / "a many.xlsx", many)
+    (tmp_path / "junk.xlsx").write_bytes(b"not a zip")
+    (tmp_path / "tiny.xlsx").write_bytes(b"P")
+    b.write_zip(tmp_path / "short.xlsx", {"[Content_Types].xml": "<Types/>"})
+    good = b.workbook({"Data": b.clients_sheet()}, extra={"xl/media/unused.txt": "UNUSED-1"})
+    for name, mark in (("stored", b"ACC-100"), ("unused", b"UNUSED-1")):
+        b.write_zip(tmp_path / f"{name}.xlsx", good, compress=0)
+        raw = (tmp_path / f"{name}.xlsx").read_bytes()
+        (tmp_path / f"{name}.xlsx").write_bytes(raw.replace(mark, mark[:-1] + b"9"))
+    with zipfile.ZipFile(tmp_path / "twice.xlsx", "w") as archive, pytest.warns(UserWarning):
+        for part, text in [*good.items(), ("xl/worksheets/sheet1.xml", b.sheet(b.inline("A1", "the last counts")))]:
+            archive.writestr(part, text)
+    b.write_zip(tmp_path / "locked.xlsx", good)
+    locked = bytearray((tmp_path / "locked.xlsx").read_bytes())
+    locked[locked.find(b"PK\x01\x02") + 8] |= 1
+    (tmp_path / "locked.xlsx").write_bytes(bytes(locked))
+
+    def rows(parts):
+        return sorted((tuple(r) for r in parts.select(*packages_columns).collect()), key=repr)
+
+    packages_columns = [field.split()[0] for field in packages.PARTS_SCHEMA.split(", ")]
+    whole, members = rows(read(spark, tmp_path)), packages.read_members(spark, str(tmp_path))
+    assert rows(members) == whole
+    assert {r[0].rsplit("/", 1)[1] for r in whole if r[-1]} == {"junk.xlsx", "tiny.xlsx", "short.xlsx", "stored.xlsx", "unused.xlsx", "locked.xlsx"}
+    tasks = members.where(F.col("file_path").endswith("many.xlsx")).select(F.spark_partition_id()).distinct().count()
+    assert tasks > 1
+    with pytest.raises(GateError):
+        plan.load_workbooks(members).cells.count()
+    assert plan.load_workbooks(members, strict=False).cells.where(F.col("file_path").endswith("many.xlsx")).count() == 80
+
+
 def test_package_gates(spark, tmp_path):
     files = {"good.xlsx": [*REQUIRED_PARTS["xlsx"]], "none.xlsx": ["a.txt"], "many.xlsx": [f"{i}" for i in range(9)]}
     members = [(name, part, 8, 5000 if part == "a.txt" else 1) for name, parts in files.items() for part in parts]

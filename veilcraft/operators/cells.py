@@ -22,6 +22,7 @@ CELLS_SCHEMA = (
     "file_path string, sheet_index int, sheet_name string, row bigint, col string, ordinal bigint, "
     "cell_type string, ss_index bigint, value string, formula string"
 )
+# fixed value
 BAD_INDEX = "Invalid shared-string index in cell"
 
 

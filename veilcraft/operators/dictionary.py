@@ -15,6 +15,7 @@ from veilcraft.functions.replace import replaced_by, rules_literal
 from veilcraft.operators.joins import lookup_join
 from veilcraft.session import materialize
 
+# fixed value
 OUT_OF_RANGE = "Shared-string cell index is out of range"
 # Entries ranked by one task; offsets of the ranges come from their counts.
 RANGE_ENTRIES = 1 << 16

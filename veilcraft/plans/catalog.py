@@ -360,6 +360,20 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("path", members.alias("members")).mapInPandas(_zip_members, "path string, content binary")
 
 
+def _stored_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes files of path and content into a folder of the shared file system; the paths written."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                path = f"{folder}/{name}"
+                with packages.created(path) as file:
+                    file.write(content)
+                yield pd.DataFrame({"path": [path]})
+
+    return files.mapInPandas(run, "path string")
+
+
 # --- packages ---------------------------------------------------------------------
 
 
@@ -370,6 +384,17 @@ def package_cells(spark, sf_dir):
     return workbook.decoded(book).select("file_path", "sheet_index", "sheet_name", "row", "col", "cell_type", "value")
 
 
+@query
+def package_members(spark, sf_dir):
+    """Workbooks stored as files and read member by member, each in a task of its own choosing: the cells."""
+    folder = work_path(spark, "books")
+    _stored_files(customer_books(spark, sf_dir), folder).count()
+    parts = materialize(packages.read_members(spark, folder), "parts")
+    cells = workbook.decoded(workbook.load_workbooks(parts))
+    name = F.regexp_extract("file_path", r"([^/]*)\z", 1)
+    return cells.select(name.alias("file_path"), "sheet_index", "sheet_name", "row", "col", "cell_type", "value")
+
+
 @query
 def package_sheets(spark, sf_dir):
     parts = materialize(packages.unzip(customer_books(spark, sf_dir)), "parts")
@@ -469,6 +494,21 @@ def replace_cells_total(spark, sf_dir):
     return audit.replacement_total(done)
 
 
+@query
+def replace_only_cells(spark, sf_dir):
+    """A run of rules alone: cells and the total beside each."""
+    done = workbook.replace_only(workbook.Workbooks(party_cells(spark, sf_dir)), PARTY_RULES)
+    return done.book.cells.select("sheet_index", "row", "col", "value").join(F.broadcast(done.replacements))
+
+
+@query
+def inactive_rules(spark, sf_dir):
+    """Rules without a text to find are passed over; with no others left, texts stay."""
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    some = columns.replace_in_columns(docs, ["text"], [("", "ignored"), ("a", "b"), ("", "c")], count="n_some")
+    return columns.replace_in_columns(some, ["text"], [("", "ignored")], count="n_none")
+
+
 @query
 def replace_by_rule_column(spark, sf_dir):
     """Each part name under its own rules: colour to brand, then brand to size."""
@@ -832,6 +872,12 @@ def scrub_counts(spark, sf_dir):
     return _scrubbed(spark, sf_dir, PARTY_RULES).counts
 
 
+@query
+def scrub_total(spark, sf_dir):
+    """The number of encrypted values, which the gate on empty results looks at."""
+    return audit.total_values(_scrubbed(spark, sf_dir, PARTY_RULES).counts)
+
+
 @query
 def scrub_columns(spark, sf_dir):
     done = _scrubbed(spark, sf_dir, PARTY_RULES)
@@ -976,6 +1022,17 @@ def pivot_counts(spark, sf_dir):
     )
 
 
+@query
+def workbook_counts(spark, sf_dir):
+    """Counts of encrypted cells, pivot items and pivot records together."""
+    fields, items, records, selected = order_pivot(spark, sf_dir)
+    matched, cipher = pivot.match_fields(fields, selected), sample_cipher(spark)
+    cells = party_cells(spark, sf_dir)
+    found = cell_ops.select_columns(discover.discover_columns(cells), PARTY_KEYS)
+    sealed = cell_ops.encrypt_cells(cells, materialize(found, "descriptors"), cipher, small=True)
+    return audit.namespace_counts(sealed, pivot.encrypt_items(items, matched, cipher), pivot.encrypt_records(records, matched, cipher))
+
+
 @query
 def pivot_replace(spark, sf_dir):
     _, _, records, _ = order_pivot(spark, sf_dir)

@@ -373,6 +373,7 @@ ORACLES["package_cells"] = (
     " CASE k.col WHEN 'A' THEN c_name WHEN 'B' THEN c_mktsegment ELSE CAST(c_acctbal AS VARCHAR) END AS value"
     " FROM customer, (VALUES ('A', 's'), ('B', 'inlineStr'), ('C', NULL)) AS k(col, cell_type)"
 )
+ORACLES["package_members"] = ORACLES["package_cells"]
 ORACLES["package_sheets"] = (
     f"SELECT DISTINCT {_BOOK}, 'Main' AS sheet_name, 'xl/worksheets/main.xml' AS part, CAST(NULL AS VARCHAR) AS error FROM customer"
 )
@@ -407,6 +408,18 @@ ORACLES["rules_with_repeated_keys"] = (
     " CASE WHEN c_mktsegment NOT IN ('BUILDING', 'HOUSEHOLD') THEN 'CLIENT_' || c_custkey END AS put,"
     " CASE WHEN c_mktsegment = 'BUILDING' THEN 'Find and replace rules could not be read' END AS error FROM customer"
 )
+ORACLES["replace_only_cells"] = (
+    f"WITH {PARTY_CELLS} SELECT sheet_index, \"row\", col, {_updated('value', catalog.PARTY_RULES)} AS value,"
+    f" CAST(SUM({_matches('value', catalog.PARTY_RULES)}) OVER () AS BIGINT) AS replacements FROM cells"
+)
+ORACLES["inactive_rules"] = (
+    "SELECT doc_id, replace(text, 'a', 'b') AS text, CAST(length(text) - length(replace(text, 'a', '')) AS BIGINT) AS n_some,"
+    " CAST(0 AS BIGINT) AS n_none FROM documents"
+)
+ORACLES["scrub_total"] = f"SELECT CAST(SUM(n) AS BIGINT) AS total FROM ({ORACLES['scrub_counts']})"
+ORACLES["workbook_counts"] = (
+    f"{DISCOVER}, {_eligible()} SELECT namespace, COUNT(*) AS n FROM rows_ GROUP BY ALL UNION ALL {ORACLES['pivot_counts']}"
+)
 ORACLES["table_write"] = (
     "SELECT c_custkey, replace(c_name, 'Customer', 'CLIENT') AS c_name, replace(c_mktsegment, 'BUILDING', 'B') AS c_mktsegment FROM customer"
 )

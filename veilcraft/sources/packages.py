@@ -2,7 +2,9 @@
 
 ``read_packages`` unzips files into a ``parts`` table, one row per member. A file
 is judged by its list of members first; content is read only of a file that passes,
-and kept only of members that some scan needs. Each scan below parses its members
+and kept only of members that some scan needs. ``read_members`` gives the same table
+for large files: it reads the list of members alone, deals the members out, and each task reads
+the bytes of its own. Each scan below parses its members
 one by one where they are; no file passes through the driver.
 Python does only what Spark has no reader for: the zip container and the XML
 of one member. Decoding, joins and checks are DataFrame operations.
@@ -16,13 +18,18 @@ import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import closing
+from typing import BinaryIO
+from urllib.parse import quote
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+from pyarrow import ArrowInvalid, fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilcraft.functions import text as tx
 from veilcraft.operators.gates import MAX_MEMBERS, MAX_UNCOMPRESSED_BYTES, PACKAGE_ERRORS, REQUIRED_PARTS, UPLOAD_ERROR
+from veilcraft.session import materialize
 
 # --- fixed values -----------------------------------------------------------
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -48,14 +55,16 @@ PARTS_SCHEMA = (
     "file_path string, part string, ordinal int, flag_bits int, file_size bigint, "
     "content binary, error string"
 )
+MEMBER_SCHEMA = "file_path string, part string, ordinal int, flag_bits int, file_size bigint, needed boolean, error string"
 BATCH_ROWS = 8192
 BATCH_BYTES = 16 * 1024 * 1024
+MEMBERS_PER_TASK = 64
 
 
 def list_files(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
     """path, length and modification time of files; content is not read unless selected.
 
-    Files of another suffix are left out by name, in any case of its letters, before any is opened.
+    Files of another suffix are left out by name, in any case of its letters, before any is opened. Spark lists no file without bytes.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if suffix is None:
@@ -81,6 +90,110 @@ def unzip(files: DataFrame, kind: str = "xlsx") -> DataFrame:
     return files.select("path", "content").mapInPandas(_unzip(kind), PARTS_SCHEMA)
 
 
+def read_members(spark: SparkSession, path: str, kind: str = "xlsx") -> DataFrame:
+    """The table of :func:`read_packages`, for files of any size: no task holds a file, only one member at a time.
+
+    A first pass reads each file's list of members (its last bytes) and judges it. The list is written to the shared folder,
+    and members are dealt to tasks by a hash of file and place, so that one large file is read by several of them and
+    a lost task reads its members again. Errors are those of :func:`read_packages`; a file too large to
+    expand is refused by its list. Files are opened by Arrow's file systems (local, s3, gs, abfs, hdfs), which need
+    access of their own on the executors; :func:`read_packages` goes through Spark's alone.
+    """
+    listed = materialize(list_files(spark, path, f".{kind}").select("path").mapInPandas(_list_members(kind), MEMBER_SCHEMA), "package-members")
+    refused = listed.where("part IS NULL").select("file_path", "error")
+    members = listed.where("part IS NOT NULL").drop("error")
+    tasks = max(spark.sparkContext.defaultParallelism, members.count() // MEMBERS_PER_TASK)
+    dealt = members.repartition(tasks, "file_path", "ordinal")
+    return dealt.mapInPandas(_read_members(kind), PARTS_SCHEMA).unionByName(refused, allowMissingColumns=True)
+
+
+def _placed(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system and name for a path as Spark lists it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+    scheme = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme)
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/@:')}")
+
+
+def _opened(path: str) -> BinaryIO:
+    """A file to be read in places."""
+    system, name = _placed(path)
+    return system.open_input_file(name)
+
+
+def created(path: str) -> BinaryIO:
+    """A new file, with the folders above it."""
+    system, name = _placed(path)
+    system.create_dir(posixpath.dirname(name), recursive=True)
+    return system.open_output_stream(name)
+
+
+def _list_members(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    columns = [field.split()[0] for field in MEMBER_SCHEMA.split(", ")]
+
+    def members(path: str) -> Iterator[tuple]:
+        with closing(_opened(path)) as file:
+            infos, needed, error = _judged(file, kind)
+            if error:
+                yield path, None, None, None, None, None, error
+            for ordinal, info in enumerate(infos):
+                yield path, info.filename, ordinal, info.flag_bits, info.file_size, needed(ordinal), None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                if rows := list(members(path)):  # at most MAX_MEMBERS
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return run
+
+
+def _read_members(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    columns = [field.split()[0] for field in PARTS_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, members in batch.groupby("file_path", sort=False):
+                with closing(_opened(path)) as file, zipfile.ZipFile(file) as archive:
+                    infos = archive.infolist()
+                    for row in members.itertuples(index=False):
+                        data, error = _content(archive, infos[row.ordinal], row.needed, kind)
+                        told = path, row.part, row.ordinal, row.flag_bits, row.file_size, data, error
+                        yield pd.DataFrame([told], columns=columns, dtype=object)
+
+    return run
+
+
+def _judged(file: BinaryIO, kind: str) -> tuple[list[zipfile.ZipInfo], Callable[[int], bool], str | None]:
+    """The members of a package, which of them some scan needs, by place, and why it is refused; a refused one has no members."""
+    try:
+        archive = zipfile.ZipFile(file)
+    except (zipfile.BadZipFile, ArrowInvalid):  # the latter where a file is shorter than the end of a list of members
+        return [], bool, UNREADABLE[kind]
+    infos = archive.infolist()
+    if error := _refused(infos, kind):
+        return [], bool, error
+    last = {info.filename: ordinal for ordinal, info in enumerate(infos)}  # of equal names the last one counts
+    needed = _needed(archive, kind)
+    return infos, lambda ordinal: last[infos[ordinal].filename] == ordinal and needed(infos[ordinal].filename), None
+
+
+def _content(archive: zipfile.ZipFile, info: zipfile.ZipInfo, needed: bool, kind: str) -> tuple[bytes | None, str | None]:
+    """A member's content, or why there is none. Every member's checksum counts; what is not needed is not kept."""
+    try:
+        if needed:
+            return archive.read(info), None
+        with archive.open(info) as stream:
+            while stream.read(1 << 20):
+                pass
+        return None, None
+    except (zipfile.BadZipFile, zlib.error):
+        return None, CORRUPT[kind]
+    except (KeyError, RuntimeError, NotImplementedError):
+        return None, UNREADABLE[kind]
+
+
 def _refused(infos: list[zipfile.ZipInfo], kind: str) -> str | None:
     """Why a package is refused by its list of members, before any is read."""
     too_many, locked, too_large, incomplete = PACKAGE_ERRORS[kind]
@@ -113,34 +226,14 @@ def _unzip(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
     columns = [field.split()[0] for field in PARTS_SCHEMA.split(", ")]
 
     def members(path: str, content: bytes) -> Iterator[tuple]:
-        def refused(error: str) -> tuple:
-            return path, None, None, None, None, None, error
-
-        try:
-            archive = zipfile.ZipFile(io.BytesIO(content))
-        except zipfile.BadZipFile:
-            yield refused(UNREADABLE[kind])
-            return
-        infos = archive.infolist()
-        if error := _refused(infos, kind):
-            yield refused(error)
+        file = io.BytesIO(content)
+        infos, needed, error = _judged(file, kind)
+        if error:
+            yield path, None, None, None, None, None, error
             return
-        last = {info.filename: ordinal for ordinal, info in enumerate(infos)}  # of equal names the last one counts
-        needed = _needed(archive, kind)
+        archive = zipfile.ZipFile(file)
         for ordinal, info in enumerate(infos):
-            data, error = None, None
-            try:
-                if last[info.filename] == ordinal and needed(info.filename):
-                    data = archive.read(info)
-                else:  # the checksum of every member counts; what is not needed is not kept
-                    with archive.open(info) as stream:
-                        while stream.read(1 << 20):
-                            pass
-            except (zipfile.BadZipFile, zlib.error):
-                error = CORRUPT[kind]
-            except (KeyError, RuntimeError, NotImplementedError):
-                error = UNREADABLE[kind]
-            yield path, info.filename, ordinal, info.flag_bits, info.file_size, data, error
+            yield path, info.filename, ordinal, info.flag_bits, info.file_size, *_content(archive, info, needed(ordinal), kind)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0

@@ -7,11 +7,12 @@ windows. They are sorted by passes over digits, most significant first, and a gr
    one, and about one start in a hundred is an anchor for all windows around it). Anchors that occur once leave.
 2. The second digit is all that windows with this anchor can read, up to ``length - DIGIT`` bytes before it and ``length``
    bytes from it on. Where that is equal, all those windows are, so such places are done; one of them stands for them.
-3. An anchor that still has more than ``GROUP`` different surroundings takes another digit: half of what a window reads beside
-   the anchor, on the left for windows that reach far to the left and on the right for the others. Places alone with theirs
-   leave, and equal ones are done, as before.
-4. The last digit orders the single windows: their hashes are sorted in groups of bounded size. Where there are more places, they
-   are dealt into several groups, and windows that are alone in their group meet those of the others in a count by hash.
+3. While an anchor or digit still has more than ``GROUP`` different surroundings, its places take another digit: windows are
+   told apart by how far they reach to the left, in two halves of what is possible, and the digit is all that the windows of a half
+   share, on both sides of the anchor. Places alone with theirs leave, and equal ones are done, as before. Halves of one window are
+   that window, so eight such passes at most leave no large group, and of a passage that many texts share only the halves
+   that hold one of its ends stay.
+4. The last digit orders the single windows: their hashes are sorted in groups of bounded size.
 
 Windows are compared by 128 bits (the anchor's and their own). Counts combine before every shuffle; what moves are anchors of
 24 bytes, the surroundings of undecided places, and compressed texts twice. Nothing is gathered but the places of one document
@@ -24,6 +25,7 @@ every one is a copy of the other; ids may be null or repeated; an empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,28 +102,40 @@ def anchor_table(docs: DataFrame, length: int, digit: int) -> DataFrame:
     return packed.select("doc_id", "text_hash", F.explode(F.arrays_zip(*names)).alias("a")).select("doc_id", "text_hash", "a.*")
 
 
-def halves(places: pa.Table, length: int, digit: int) -> Iterator[tuple[int, int, int, bytes, int]]:
-    """Row, side, bytes before the anchor, bytes to read and next digit: whole for an anchor of few places, else one for either side."""
-    beside = length - digit
-    half = beside // 2
-    for row, (around, before, many) in enumerate(zip(places["bytes"].to_pylist(), places["before"].to_pylist(), places["many"].to_pylist())):
-        if not many:
-            yield row, 0, before, around, 0
-            continue
-        if before >= half:  # windows with at least half of the rest on the left
-            yield row, 1, before, around[: before + digit + beside - half], _digest(around[before - half : before])
-        if len(around) - before >= digit + half:  # windows with less than half on the left
-            kept = min(before, half - 1)
-            if kept >= 0:
-                yield row, 2, kept, around[before - kept :], _digest(around[before + digit : before + digit + half])
+def halves(around: bytes, before: int, low: int, high: int, length: int) -> Iterator[tuple[int, int, int, bytes, int]]:
+    """Least and most bytes that windows reach to the left of the anchor, in two halves, with bytes before it, bytes to read and digit.
+
+    Halves that no window of this place is in are left out.
+    """
+    middle = (low + high + 1) // 2
+    for least, most in ((middle, high), (low, middle - 1)):
+        kept, onward = min(before, most), min(len(around) - before, length - least)
+        if least <= kept and kept + onward >= length:
+            piece = around[before - kept : before + onward]
+            yield least, most, kept, piece, _digest(piece[kept - least : kept + length - most] + least.to_bytes(4, "little") + most.to_bytes(4, "little"))
 
 
 def _digest(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
+#: A place with what its windows read: between ``low`` and ``high`` bytes before the anchor, ``before`` at most here.
+_PLACE = "doc_id {id}, text_hash long, anchor long, place int, many boolean, low int, high int, before int, second long, around long, bytes binary"
+
+
+def _told(rows: pa.RecordBatch, owner: list[int], many: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``_PLACE``: what was ``found`` of the rows that own it."""
+    take = pa.array(owner, pa.int64())
+    low, high, before, pieces, second = zip(*found) if found else ([],) * 5
+    around = [_digest(x + b.to_bytes(4, "little")) for x, b in zip(pieces, before)]
+    columns = [rows.column(name).take(take) for name in ("doc_id", "text_hash", "anchor", "place")]
+    columns += [many.take(take)] + [pa.array(x, pa.int32()) for x in (low, high, before)]
+    columns += [pa.array(second, pa.int64()), pa.array(around, pa.int64()), pa.array(pieces, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "anchor", "place", "many", "low", "high", "before", "second", "around", "bytes"])
+
+
 def surroundings(docs: DataFrame, open_places: DataFrame, length: int, digit: int) -> DataFrame:
-    """The undecided places with the bytes that their windows read; ``second`` tells side and next digit, ``around`` all bytes."""
+    """The undecided places with the bytes that their windows read: in halves for anchors of many; ``around`` tells all bytes."""
     item = F.struct("anchor", "place", "before", "onward", "many")
     by_doc = open_places.groupBy("doc_id", "text_hash").agg(F.collect_list(item).alias("items"))
     joined = with_texts(docs, by_doc, "inner")
@@ -132,22 +146,37 @@ def surroundings(docs: DataFrame, open_places: DataFrame, length: int, digit: in
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 lists = part.column("items")
-                rows = pa.array(np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)))
+                text = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 items = lists.flatten()
-                places, before, onward = (items.field(name).to_numpy() for name in ("place", "before", "onward"))
                 texts = [unsqueezed(z) for z in part.column("squeezed").to_pylist()]
-                around = [texts[r][p - b : p + o] for r, p, b, o in zip(rows.to_pylist(), places.tolist(), before.tolist(), onward.tolist())]
-                found = list(halves(pa.table({"bytes": pa.array(around, pa.binary()), "before": pa.array(before), "many": items.field("many")}), length, digit))
-                take = pa.array([row for row, *_ in found], pa.int64())
-                owner = rows.take(take)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(owner), part.column("text_hash").take(owner), items.field("anchor").take(take), items.field("place").take(take),
-                     items.field("many").take(take), pa.array([b for _, _, b, _, _ in found], pa.int32()), pa.array([d + s for _, s, _, _, d in found], pa.int64()),
-                     pa.array([_digest(x + bytes([b % 256, b // 256])) for _, _, b, x, _ in found], pa.int64()), pa.array([x for _, _, _, x, _ in found], pa.binary())],
-                    ["doc_id", "text_hash", "anchor", "place", "many", "before", "second", "around", "bytes"],
-                )
+                owner, found = [], []
+                reach = zip(text.tolist(), *(items.field(name).to_pylist() for name in ("place", "before", "onward", "many")))
+                for row, (t, place, before, onward, many) in enumerate(reach):
+                    around = texts[t][place - before : place + onward]
+                    pieces = list(halves(around, before, 0, length - digit, length)) if many else [(0, length - digit, before, around, 0)]
+                    owner += [row] * len(pieces)
+                    found += pieces
+                of_text = pa.array(text)
+                rows = pa.RecordBatch.from_arrays([part.column("doc_id").take(of_text), part.column("text_hash").take(of_text), items.field("anchor"), items.field("place")], ["doc_id", "text_hash", "anchor", "place"])
+                yield _told(rows, owner, items.field("many"), found)
+
+    return joined.mapInArrow(run, _PLACE.format(id=id_type))
+
+
+def halved(places: DataFrame, length: int) -> DataFrame:
+    """The places once more, in the halves of what their windows reach to the left."""
+    id_type = places.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, found = [], []
+            for row, (around, before, low, high) in enumerate(zip(*(batch.column(name).to_pylist() for name in ("bytes", "before", "low", "high")))):
+                pieces = list(halves(around, before, low, high, length))
+                owner += [row] * len(pieces)
+                found += pieces
+            yield _told(batch, owner, batch.column("many"), found)
 
-    return joined.mapInArrow(run, f"doc_id {id_type}, text_hash long, anchor long, place int, many boolean, before int, second long, around long, bytes binary")
+    return places.mapInArrow(run, _PLACE.format(id=id_type))
 
 
 def with_texts(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
@@ -185,45 +214,31 @@ def texts_of(group: pa.Table) -> np.ndarray:
 
 
 def decided(places: DataFrame, length: int) -> DataFrame:
-    """Sort the windows of groups that come one after the other: intervals to remove, and windows that are alone in a group of several."""
+    """Sort the windows of groups that come one after the other: intervals to remove."""
     id_type = places.schema["doc_id"].dataType.simpleString()
 
-    def solve(group: pa.Table) -> list[pa.RecordBatch]:
+    def solve(group: pa.Table) -> Iterator[pa.RecordBatch]:
         rows, offsets, hashes = sorted_windows(group, length)
         equal = hashes[1:] == hashes[:-1]
         repeated = np.zeros(len(hashes), bool)
         repeated[1:] |= equal
         repeated[:-1] |= equal
-        starts = group["place"].to_numpy()[rows] - group["before"].to_numpy()[rows] + offsets
-        several = group["groups"][0].as_py() > 1
-        alone = ~repeated if several else np.zeros(len(hashes), bool)
-        first = repeated & np.concatenate(([True], ~equal)) if several and len(hashes) else np.zeros(len(hashes), bool)
-        told = []
-        for chosen, mark in ((repeated, None), (alone, True), (first, False)):
-            at = np.flatnonzero(chosen)
-            if mark is None:  # windows that follow each other become one interval
-                at = at[np.lexsort((starts[at], rows[at]))]
-                fresh = np.concatenate(([True], (rows[at][1:] != rows[at][:-1]) | (starts[at][1:] != starts[at][:-1] + 1))) if len(at) else np.zeros(0, bool)
-                last = np.concatenate((np.flatnonzero(fresh)[1:], [len(at)])) - 1 if len(at) else np.zeros(0, np.int64)
-                at, ends = at[fresh], starts[at][last] + length if len(at) else starts[at]
-            else:
-                ends = starts[at] + length
-            if len(at):
-                take = pa.array(rows[at])
-                size = len(at)
-                told.append(pa.RecordBatch.from_arrays(
-                    [group["doc_id"].take(take).combine_chunks(), group["text_hash"].take(take).combine_chunks(), pa.array(starts[at].astype(np.int64)), pa.array(ends.astype(np.int64)),
-                     pa.nulls(size, pa.int64()) if mark is None else group["anchor"].take(take).combine_chunks(),
-                     pa.nulls(size, pa.int64()) if mark is None else pa.array(hashes[at].view(np.int64)), pa.array([mark] * size, pa.bool_())],
-                    ["doc_id", "text_hash", "start", "end", "anchor", "window", "alone"],
-                ))
-        return told
+        starts = (group["place"].to_numpy()[rows] - group["before"].to_numpy()[rows] + offsets).astype(np.int64)
+        at = np.flatnonzero(repeated)
+        if not len(at):
+            return
+        at = at[np.lexsort((starts[at], rows[at]))]  # windows that follow each other become one interval
+        fresh = np.concatenate(([True], (rows[at][1:] != rows[at][:-1]) | (starts[at][1:] != starts[at][:-1] + 1)))
+        last = np.concatenate((np.flatnonzero(fresh)[1:], [len(at)])) - 1
+        take = pa.array(rows[at[fresh]])
+        ids = [group[name].take(take).combine_chunks() for name in ("doc_id", "text_hash")]
+        yield pa.RecordBatch.from_arrays([*ids, pa.array(starts[at[fresh]]), pa.array(starts[at[last]] + length)], ["doc_id", "text_hash", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             rows = pa.Table.from_batches([*held, batch]).combine_chunks()
-            marks = np.column_stack([rows[name].to_numpy() for name in ("anchor", "second", "group")])
+            marks = np.column_stack([rows[name].to_numpy() for name in ("anchor", "second")])
             cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist()]
             for begin, end in zip(cuts, cuts[1:]):
                 yield from solve(rows.slice(begin, end - begin))
@@ -231,7 +246,7 @@ def decided(places: DataFrame, length: int) -> DataFrame:
         if held:
             yield from solve(pa.Table.from_batches(held).combine_chunks())
 
-    return places.mapInArrow(run, f"doc_id {id_type}, text_hash long, start long, end long, anchor long, window long, alone boolean")
+    return places.mapInArrow(run, f"doc_id {id_type}, text_hash long, start long, end long")
 
 
 def repeated_intervals(docs: DataFrame, length: int, digit: int) -> DataFrame:
@@ -249,25 +264,20 @@ def repeated_intervals(docs: DataFrame, length: int, digit: int) -> DataFrame:
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     open_places = kinds.join(several, "anchor").select("anchor", "at.*", (F.col("kinds") > GROUP).alias("many"))
     near = materialize(surroundings(docs, open_places, length, digit), "suffix-surroundings")
-    few = near.where("not many").withColumns({"groups": F.lit(1), "group": F.lit(0)})
-    # the next digit of anchors with many places: alone, equal, or to be sorted in groups
-    many, digits = near.where("many"), ["anchor", "second"]
-    alike = materialize(many.groupBy(*digits, "around").agg(F.count("*").alias("n")), "suffix-kinds")
-    same = many.where(F.octet_length("bytes") >= length).join(alike.where("n > 1").drop("n"), [*digits, "around"])
-    start = (F.col("place") - F.col("before")).cast("long")
-    done = done.unionByName(same.select("doc_id", "text_hash", start.alias("start"), (start + F.octet_length("bytes")).alias("end")))
-    left = alike.groupBy(*digits).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*digits, F.ceil(F.col("kinds") / GROUP).cast("int").alias("groups"))
-    rest = many.dropDuplicates([*digits, "around"]).join(left, digits).withColumn("group", F.pmod("around", "groups").cast("int"))
+    # further digits for anchors with many places: alone, equal, few enough to be sorted, or halved again
+    settled, left, digits = [near.where("not many")], near.where("many"), ["anchor", "second"]
+    while not left.isEmpty():
+        alike = materialize(left.groupBy(*digits, "around").agg(F.count("*").alias("n")), "suffix-kinds")
+        same = left.join(alike.where("n > 1").drop("n"), [*digits, "around"])
+        start = (F.col("place") - F.col("before")).cast("long")
+        done = done.unionByName(same.select("doc_id", "text_hash", start.alias("start"), (start + F.octet_length("bytes")).alias("end")))
+        kinds = materialize(alike.groupBy(*digits).agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-digits")
+        rest = materialize(left.dropDuplicates([*digits, "around"]).join(kinds, digits), "suffix-rest")
+        settled.append(rest.where(F.col("kinds") <= GROUP).drop("kinds"))
+        left = materialize(halved(rest.where(F.col("kinds") > GROUP).drop("kinds"), length), "suffix-halves")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = few.unionByName(rest).repartition(partitions, "anchor", "second", "group").sortWithinPartitions("anchor", "second", "group")
-    solved = materialize(decided(near, length), "suffix-windows")
-    interval = ("doc_id", "text_hash", "start", "end")
-    lone = solved.where("alone is not null")
-    window = F.struct("doc_id", "text_hash", "start")  # one window can be in reach of two places of different groups
-    met = lone.groupBy("anchor", "window").agg(F.min(window).alias("one"), F.max(window).alias("other"))
-    met = materialize(met.where("not (one <=> other)").select("anchor", "window"), "suffix-met")
-    late = lone.where("alone").join(met, ["anchor", "window"])
-    return done.unionByName(solved.where("alone is null").select(*interval)).unionByName(late.select(*interval))
+    near = reduce(DataFrame.unionByName, settled).repartition(partitions, *digits).sortWithinPartitions(*digits)
+    return done.unionByName(decided(near, length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

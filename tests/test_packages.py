@@ -333,3 +333,24 @@ def test_one_fault_rejects_the_whole_file(spark, tmp_path):
     assert errors["junk.xlsx"] == "Input is not a readable XLSX workbook"
     assert errors["bare.xlsx"] == "Input is not a valid XLSX workbook package"
     assert errors["half.xlsx"].startswith("xl/worksheets/sheet2.xml") and len(errors) == 3
+
+
+def test_batches_are_bounded_in_rows_and_bytes():
+    made = []
+
+    def rows():
+        for i in range(40):
+            made.append(i)
+            yield f"{i}", ["x" * 500_000] * 2, None
+
+    types = packages.arrow_types("part string, runs array<string>, error string")
+    first, *others = packages.in_batches(rows(), types)
+    assert [batch.num_rows for batch in (first, *others)] == [9, 9, 9, 9, 4]
+    assert sum(batch.num_rows for batch in packages.in_batches((("", [], None) for _ in range(20_000)), types)) == 20_000
+    assert max(batch.num_rows for batch in packages.in_batches((("", [], None) for _ in range(20_000)), types)) == packages.BATCH_ROWS
+    made.clear()
+    next(packages.in_batches(rows(), types))
+    assert len(made) == 9  # no row is made before it is wanted
+    values = packages.each_row(iter([first, *others]))
+    assert next(values) == ("0", ["x" * 500_000] * 2, None) and sum(1 for _ in values) == 39
+    assert list(packages.in_batches([], types)) == []

@@ -5,7 +5,8 @@ is judged by its list of members first; content is read only of a file that pass
 and kept only of members that some scan needs. ``read_members`` gives the same table
 for large files: it reads the list of members alone, deals the members out, and each task reads
 the bytes of its own. Each scan below parses its members
-one by one where they are; no file passes through the driver.
+one by one where they are; no file passes through the driver. Rows leave an Arrow batch one
+at a time (``each_row``) and are gathered to batches of a bounded number and size (``map_rows``).
 Python does only what Spark has no reader for: the zip container and the XML
 of one member. Decoding, joins and checks are DataFrame operations.
 """
@@ -19,13 +20,14 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import closing
+from itertools import groupby
 from typing import BinaryIO
 from urllib.parse import quote
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import ArrowInvalid, fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from veilcraft.functions import text as tx
 from veilcraft.operators.gates import MAX_MEMBERS, MAX_UNCOMPRESSED_BYTES, PACKAGE_ERRORS, REQUIRED_PARTS, UPLOAD_ERROR
@@ -57,10 +59,73 @@ PARTS_SCHEMA = (
 )
 MEMBER_SCHEMA = "file_path string, part string, ordinal int, flag_bits int, file_size bigint, needed boolean, error string"
 BATCH_ROWS = 8192
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
+VALUE_BYTES = 50  # what a Python value costs beside its content, about
 MEMBERS_PER_TASK = 64
 
 
+ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _arrow_type(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow_type(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([(field.name, _arrow_type(field.dataType)) for field in kind.fields])
+    return ARROW_TYPES[kind.simpleString()]
+
+
+def arrow_types(schema: str) -> list[tuple[str, pa.DataType]]:
+    """Names and Arrow types of a schema."""
+    return [(field.name, _arrow_type(field.dataType)) for field in T.StructType.fromDDL(schema).fields]
+
+
+def each_row(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one by one: of a batch, which may hold thousands of files, only one row at a time becomes Python objects."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield tuple(column[at].as_py() for column in batch.columns)
+
+
+def _weight(value: object) -> int:
+    """About the bytes of a value as a Python object."""
+    if isinstance(value, (str, bytes)):
+        return VALUE_BYTES + len(value)
+    if isinstance(value, dict):
+        value = value.values()
+    elif not isinstance(value, (list, tuple)):
+        return VALUE_BYTES
+    return VALUE_BYTES + sum(map(_weight, value))
+
+
+def in_batches(rows: Iterable[tuple], types: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``BATCH_ROWS`` rows that end once they weigh ``BATCH_BYTES``; only a row beyond that makes a larger one."""
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(values, kind) for values, (_, kind) in zip(zip(*held), types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, [name for name, _ in types])
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += _weight(row)
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
+def map_rows(df: DataFrame, run: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that ``run`` makes of the values of each row, in batches of bounded size."""
+    types = arrow_types(schema)
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches((made for row in each_row(given) for made in run(*row)), types)
+
+    return df.mapInArrow(batches, schema)
+
+
 def list_files(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
     """path, length and modification time of files; content is not read unless selected.
 
@@ -87,7 +152,7 @@ def read_packages(spark: SparkSession, path: str, kind: str = "xlsx", max_file_b
 
 def unzip(files: DataFrame, kind: str = "xlsx") -> DataFrame:
     """Members of the packages in a table of path and content."""
-    return files.select("path", "content").mapInPandas(_unzip(kind), PARTS_SCHEMA)
+    return map_rows(files.select("path", "content"), _unzip(kind), PARTS_SCHEMA)
 
 
 def read_members(spark: SparkSession, path: str, kind: str = "xlsx") -> DataFrame:
@@ -99,12 +164,12 @@ def read_members(spark: SparkSession, path: str, kind: str = "xlsx") -> DataFram
     expand is refused by its list. Files are opened by Arrow's file systems (local, s3, gs, abfs, hdfs), which need
     access of their own on the executors; :func:`read_packages` goes through Spark's alone.
     """
-    listed = materialize(list_files(spark, path, f".{kind}").select("path").mapInPandas(_list_members(kind), MEMBER_SCHEMA), "package-members")
+    listed = materialize(map_rows(list_files(spark, path, f".{kind}").select("path"), _list_members(kind), MEMBER_SCHEMA), "package-members")
     refused = listed.where("part IS NULL").select("file_path", "error")
     members = listed.where("part IS NOT NULL").drop("error")
     tasks = max(spark.sparkContext.defaultParallelism, members.count() // MEMBERS_PER_TASK)
-    dealt = members.repartition(tasks, "file_path", "ordinal")
-    return dealt.mapInPandas(_read_members(kind), PARTS_SCHEMA).unionByName(refused, allowMissingColumns=True)
+    dealt = members.repartition(tasks, "file_path", "ordinal").sortWithinPartitions("file_path", "ordinal")
+    return dealt.mapInArrow(_read_members(kind), PARTS_SCHEMA).unionByName(refused, allowMissingColumns=True)
 
 
 def _placed(path: str) -> tuple[fs.FileSystem, str]:
@@ -129,9 +194,7 @@ def created(path: str) -> BinaryIO:
     return system.open_output_stream(name)
 
 
-def _list_members(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    columns = [field.split()[0] for field in MEMBER_SCHEMA.split(", ")]
-
+def _list_members(kind: str) -> Callable[[str], Iterator[tuple]]:
     def members(path: str) -> Iterator[tuple]:
         with closing(_opened(path)) as file:
             infos, needed, error = _judged(file, kind)
@@ -140,29 +203,20 @@ def _list_members(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
             for ordinal, info in enumerate(infos):
                 yield path, info.filename, ordinal, info.flag_bits, info.file_size, needed(ordinal), None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["path"]:
-                if rows := list(members(path)):  # at most MAX_MEMBERS
-                    yield pd.DataFrame(rows, columns=columns, dtype=object)
-
-    return run
+    return members
 
 
-def _read_members(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    columns = [field.split()[0] for field in PARTS_SCHEMA.split(", ")]
+def _read_members(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    types = arrow_types(PARTS_SCHEMA)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, members in batch.groupby("file_path", sort=False):
-                with closing(_opened(path)) as file, zipfile.ZipFile(file) as archive:
-                    infos = archive.infolist()
-                    for row in members.itertuples(index=False):
-                        data, error = _content(archive, infos[row.ordinal], row.needed, kind)
-                        told = path, row.part, row.ordinal, row.flag_bits, row.file_size, data, error
-                        yield pd.DataFrame([told], columns=columns, dtype=object)
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for path, members in groupby(each_row(batches), lambda row: row[0]):  # in order of files, so that a task opens each once
+            with closing(_opened(path)) as file, zipfile.ZipFile(file) as archive:
+                infos = archive.infolist()
+                for _, part, ordinal, flag_bits, file_size, needed in members:
+                    yield path, part, ordinal, flag_bits, file_size, *_content(archive, infos[ordinal], needed, kind)
 
-    return run
+    return lambda batches: in_batches(contents(batches), types)
 
 
 def _judged(file: BinaryIO, kind: str) -> tuple[list[zipfile.ZipInfo], Callable[[int], bool], str | None]:
@@ -222,9 +276,7 @@ def _needed(archive: zipfile.ZipFile, kind: str) -> Callable[[str], bool]:
     return lambda name: fixed.fullmatch(name) is not None or (name in linked and skipped.fullmatch(name) is None)
 
 
-def _unzip(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    columns = [field.split()[0] for field in PARTS_SCHEMA.split(", ")]
-
+def _unzip(kind: str) -> Callable[[str, bytes], Iterator[tuple]]:
     def members(path: str, content: bytes) -> Iterator[tuple]:
         file = io.BytesIO(content)
         infos, needed, error = _judged(file, kind)
@@ -235,49 +287,23 @@ def _unzip(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
         for ordinal, info in enumerate(infos):
             yield path, info.filename, ordinal, info.flag_bits, info.file_size, *_content(archive, info, needed(ordinal), kind)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                for row in members(path, content):
-                    held.append(row)
-                    size += len(row[5] or b"")
-                    if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
-                        yield pd.DataFrame(held, columns=columns, dtype=object)
-                        held, size = [], 0
-        if held:
-            yield pd.DataFrame(held, columns=columns, dtype=object)
-
-    return run
+    return members
 
 
 def _scan(parts: DataFrame, parse: Callable[[bytes], Iterable[tuple]], schema: str, carry: str = "") -> DataFrame:
     """Rows parsed from each member, with its file_path, part and ``carry`` columns. A member that fails is an error row."""
     carried = [field.split()[0] for field in carry.split(", ")] if carry else []
-    names = ["file_path", "part", *carried, *[field.split()[0] for field in schema.split(", ")], "error"]
-    width = len(names) - 3 - len(carried)
+    width = len(schema.split(", "))
 
     def rows(path: str, part: str, content: bytes, *more) -> Iterator[tuple]:
         try:
-            for row in parse(bytes(content)):
+            for row in parse(content):
                 yield (path, part, *more, *row, None)
         except ET.ParseError as error:
             yield (path, part, *more, *[None] * width, f"{part}: {error}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        for batch in batches:
-            for record in batch.itertuples(index=False):
-                for row in rows(*record):
-                    held.append(row)
-                    if len(held) >= BATCH_ROWS:
-                        yield pd.DataFrame(held, columns=names, dtype=object)
-                        held = []
-        if held:
-            yield pd.DataFrame(held, columns=names, dtype=object)
-
     sound = parts.where("content IS NOT NULL").select("file_path", "part", "content", *carried)
-    return sound.mapInPandas(run, f"file_path string, part string, {carry + ', ' if carry else ''}{schema}, error string")
+    return map_rows(sound, rows, f"file_path string, part string, {carry + ', ' if carry else ''}{schema}, error string")
 
 
 def _texts(node: ET.Element, namespace: str) -> list[str]:

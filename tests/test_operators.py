@@ -356,3 +356,30 @@ def test_discovery_reads_the_cells_once_and_late_sheets_again(spark, tmp_path):
     }
     outline = _outline(cells)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in outline and "SortAggregate" not in outline
+
+
+def test_spans_of_a_line_are_shuffled_in_pieces(spark):
+    rng = random.Random(5)
+    rows = []
+    for doc in (None, "a", "b"):
+        for page in (None, 0, 1):
+            for y in (1.0, 0.1 + 0.2):
+                x = -3.0
+                for i in range(40):
+                    text = rng.choice(["jo", "hn", "", None, "x", "john", "\x00", "\x00jo"])
+                    x0, x = x, x + rng.random()
+                    rows.append((doc, page, rng.choice([i, i, None]), x0, y - 1, rng.choice([x, x, None]), y, y, text))
+    rng.shuffle(rows)
+    kinds = "doc string, page int, span_id long, x0 double, y0 double, x1 double, y1 double, origin_y double, text string"
+    spans = spark.createDataFrame(rows, kinds).repartition(3)
+    pieces = overlay._pieces(spans).count()
+    assert 18 <= pieces <= 18 * 3  # a row for each line and batch, not for each of 720 spans
+    _, lined = overlay.text_lines(spans)
+    plain = spans.groupBy("doc", "page", "origin_y").agg(F.array_sort(F.collect_list(F.struct("x0", "span_id", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("text")))).alias("spans"))
+    expected = [(r["doc"], r["page"], r["spans"][0]["span_id"], "".join(s["text"] for s in r["spans"]), [tuple(s) for s in r["spans"]]) for r in plain.collect()]
+    got = [(r["doc"], r["page"], r["line"], r["text"], [tuple(s) for s in r["spans"]]) for r in lined.collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    hits = overlay.find_hits(spans, [("john", "J")]).collect()
+    assert sum(r["part"] == 0 for r in hits) == sum(len(e[3].split("john")) - 1 for e in expected)
+    whole = spans.select("doc", "page", "span_id", *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")], "origin_y", "text")
+    assert overlay.text_lines(whole)[1].select(F.sum(F.size("spans"))).first()[0] == 720

@@ -7,9 +7,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veilcraft.functions import geometry as geo
 from veilcraft.functions.replace import Rule
@@ -17,6 +20,55 @@ from veilcraft.functions.replace import Rule
 # Edge of the finest grid squares that pair hits with spans, in page units; each level doubles it.
 GRID = 64.0
 BOX = ["doc", "page", "x0", "y0", "x1", "y1"]
+LINE = ["doc", "page", "origin_y"]
+# Between the texts of a piece; texts that hold it go as a list.
+MARK = "\x00"
+
+
+def _pieces(spans: DataFrame) -> DataFrame:
+    """The spans of each line that come in one batch, as one row of lists: what a page has together is shuffled together.
+
+    Lists of one column compress well, where a row for every span repeats the names of its line and sorts and spills before the
+    shuffle. ``width`` stands for ``x1`` where that is ``x0 + width`` to the last bit.
+    """
+    kinds = {field.name: field.dataType for field in spans.schema.fields}
+    width = F.lit(None).cast(kinds["x1"])
+    if kinds["x0"] == kinds["x1"] == T.DoubleType():
+        exact = F.col("x0") + (F.col("x1") - F.col("x0")) == F.col("x1")
+        width = F.when(exact, F.col("x1") - F.col("x0"))
+        spans = spans.withColumns({"width": width, "x1": F.when(~F.coalesce(exact, F.lit(False)), F.col("x1"))})
+    else:
+        spans = spans.withColumn("width", width)
+    listed = ["x0", "span_id", "y0", "y1", "x1", "width"]
+    kinds["width"] = kinds["x1"]
+    schema = T.StructType([
+        *(T.StructField(name, kinds[name]) for name in LINE), *(T.StructField(name, T.ArrayType(kinds[name])) for name in listed),
+        T.StructField("text", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType())),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(name).dictionary_encode("encode").indices.to_numpy() for name in LINE]
+            order = np.lexsort(codes)
+            first = np.ones(len(order), bool)
+            first[1:] = np.any([code[order][1:] != code[order][:-1] for code in codes], axis=0)
+            starts = np.flatnonzero(first)
+            rows, ends = batch.take(pa.array(order)), pa.array(np.append(starts, len(order)), pa.int32())
+
+            def lists(name: str) -> pa.Array:
+                column = rows.column(name)
+                return pa.ListArray.from_arrays(ends, column) if column.null_count < len(column) else pa.nulls(len(starts), pa.list_(column.type))
+
+            texts = pa.ListArray.from_arrays(ends, rows.column("text"))
+            joined, none = pc.binary_join(texts, MARK), pa.nulls(len(starts), texts.type)
+            if pc.any(pc.match_substring(rows.column("text"), MARK)).as_py():
+                joined, none = pa.nulls(len(starts), pa.string()), texts
+            keys = [rows.column(name).take(pa.array(starts)) for name in LINE]
+            yield pa.RecordBatch.from_arrays([*keys, *map(lists, listed), joined, none], schema.names)
+
+    return spans.select(*LINE, *listed, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
 def text_lines(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -24,13 +76,26 @@ def text_lines(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     left to right, and their text in one piece.
 
     A line is named after its first span. A span without a baseline is a line of its own and is not shuffled. What comes
-    together is one line of one page.
+    together is one line of one page. Spans that arrive together are shuffled as one piece of their line.
     """
     parts = F.struct("x0", "span_id", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("text"))
     if "origin_y" not in spans.columns:
         spans = spans.withColumn("origin_y", F.lit(None).cast("double"))
     lone = spans.where("origin_y IS NULL").select("doc", "page", F.col("span_id").alias("line"), F.coalesce("text", F.lit("")).alias("text"), F.array(parts).alias("spans"))
-    lined = spans.where("origin_y IS NOT NULL").groupBy("doc", "page", "origin_y").agg(F.array_sort(F.collect_list(parts)).alias("spans"))
+
+    def of_piece(piece: Column) -> Column:
+        x1 = lambda i: F.coalesce(piece["x1"][i], (piece["x0"][i] + piece["width"][i]).cast(kind))
+        texts = F.coalesce(piece["texts"], F.split(piece["text"], MARK, -1))
+        return F.transform(texts, lambda text, i: F.struct(
+            piece["x0"][i].alias("x0"), piece["span_id"][i].alias("span_id"), piece["y0"][i].alias("y0"), x1(i).alias("x1"), piece["y1"][i].alias("y1"), text.alias("text")
+        ))
+
+    kind = spans.schema["x1"].dataType
+    # dealt before they are grouped: else every task would sort its pieces, and spill, to find that hardly any two are of one line
+    pieces = _pieces(spans.where("origin_y IS NOT NULL")).repartition(*LINE)
+    piece = F.struct("x0", "span_id", "y0", "y1", "x1", "width", "text", "texts")
+    lined = pieces.groupBy(*LINE).agg(F.collect_list(piece).alias("pieces"))
+    lined = lined.withColumn("spans", F.array_sort(F.flatten(F.transform("pieces", of_piece))))
     return lone, lined.select("doc", "page", F.col("spans")[0]["span_id"].alias("line"), F.array_join("spans.text", "").alias("text"), "spans")
 
 

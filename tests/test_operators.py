@@ -383,3 +383,11 @@ def test_spans_of_a_line_are_shuffled_in_pieces(spark):
     assert sum(r["part"] == 0 for r in hits) == sum(len(e[3].split("john")) - 1 for e in expected)
     whole = spans.select("doc", "page", "span_id", *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")], "origin_y", "text")
     assert overlay.text_lines(whole)[1].select(F.sum(F.size("spans"))).first()[0] == 720
+
+
+def test_boxes_of_a_line_of_text_stand_in_few_squares(spark):
+    rng = random.Random(3)
+    corners = [(rng.uniform(0, 600), rng.uniform(0, 800)) for _ in range(2000)]
+    boxes = spark.createDataFrame([(x, y, x + 50, y + 30) for x, y in corners], "x0 double, y0 double, x1 double, y1 double")
+    squares = boxes.withColumn("_level", overlay._level("x0", "y0", "x1", "y1")).withColumn("_gx", overlay._squares("x0", "x1")).withColumn("_gy", overlay._squares("y0", "y1"))
+    assert squares.count() < 1.5 * 2000  # every row of these is shuffled

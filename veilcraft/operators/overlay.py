@@ -18,7 +18,7 @@ from veilcraft.functions import geometry as geo
 from veilcraft.functions.replace import Rule
 
 # Edge of the finest grid squares that pair hits with spans, in page units; each level doubles it.
-GRID = 64.0
+GRID = 256.0
 BOX = ["doc", "page", "x0", "y0", "x1", "y1"]
 LINE = ["doc", "page", "origin_y"]
 # Between the texts of a piece; texts that hold it go as a list.

@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -229,11 +230,10 @@ def signatures(docs: DataFrame, words: int, bands: Bands, buckets: int) -> DataF
             return pa.RecordBatch.from_arrays(arrays, [id_field.name, *(name for name, _ in arrow)])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            held = list(packed(np.concatenate(keys), np.concatenate(sets), buckets))
-            for start in range(0, len(held), 256):
-                part = held[start : start + 256]
-                yield rows(len(part), {name: pa.array([row[name] for row in part], kind) for name, kind in arrow[4:]})
+            made = packed(np.concatenate(keys), np.concatenate(sets), buckets)
             keys.clear(), sets.clear()
+            while part := list(islice(made, 256)):
+                yield rows(len(part), {name: pa.array([row[name] for row in part], kind) for name, kind in arrow[4:]})
 
         for batch in batches:
             id_field = batch.schema.field("doc_id")
@@ -265,13 +265,16 @@ def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(star_key, star_a, star_b) of the tasks' leaders, for all buckets of a partition."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            held.setdefault(row["bucket"], []).append(unpack(row))
-    for parts in held.values():
-        keys, sets = (np.concatenate(column) for column in zip(*parts))
+    """(star_key, star_a, star_b) of the tasks' leaders; rows come in order of buckets, and one bucket is held at a time."""
+
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            bucket, sets, *packed = (batch.column(name) for name in ("bucket", "sets", "keys", "owners"))
+            for at in range(batch.num_rows):
+                yield {"bucket": bucket[at].as_py(), "sets": sets[at].values.to_numpy(), "keys": packed[0][at].as_py(), "owners": packed[1][at].as_py()}
+
+    for _, parts in groupby(rows(), lambda row: row["bucket"]):
+        keys, sets = (np.concatenate(column) for column in zip(*map(unpack, parts)))
         order = np.argsort(keys, kind="stable")
         _, key, leader, member = stars(keys[order], sets[order])
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(leader), pa.array(member)], ["star_key", "star_a", "star_b"])
@@ -317,7 +320,7 @@ class Join:
         self.rows = signed.where("bucket is null").select("doc_id", "text_hash", "n_shingles", "set_id", "sketch")
         blobs = signed.where("bucket is not null")
         local = blobs.select(F.explode(F.arrays_zip("star_key", "star_a", "star_b")).alias("s")).select("s.*")
-        across = blobs.select("bucket", "keys", "owners", "sets").repartition(partitions, "bucket").mapInArrow(met, "star_key long, star_a long, star_b long")
+        across = blobs.select("bucket", "keys", "owners", "sets").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(met, "star_key long, star_a long, star_b long")
         self.stars = materialize(local.unionByName(across).toDF("key", "a", "b"), "jaccard-stars")
         sets = self.rows.where("set_id is not null").groupBy("set_id").agg(
             F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("at")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilcraft.llm.common import mix
+from veilcraft.llm.common import mix, slices
 
 ORDER = 4
 PIECE_CHARS = 4_000
@@ -317,10 +317,11 @@ def identify(docs: DataFrame, models: Models, text_column: str = "text", prefix:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text or "" for text in batch.column(place).to_pylist()]
-            languages, scores, entropies, rejected = shared.value.decide(texts)
-            added = [pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
+            for part in slices(batch, text_column):
+                texts = [text or "" for text in part.column(place).to_pylist()]
+                languages, scores, entropies, rejected = shared.value.decide(texts)
+                added = [pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(rejected, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

@@ -243,8 +243,9 @@ def redact_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.schema.field(place).type
-            texts = [None if text is None else redacted(text) for text in batch.column(place).to_pylist()]
-            columns = [pa.array(texts, kind) if i == place else column for i, column in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for part in slices(batch, text_column):
+                texts = [None if text is None else redacted(text) for text in part.column(place).to_pylist()]
+                columns = [pa.array(texts, kind) if i == place else column for i, column in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

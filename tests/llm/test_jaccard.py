@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -133,3 +134,20 @@ def test_components(spark):
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == expected
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_packing_holds_entries_once():
+    """What a task hands on is made bucket by bucket: beside the entries, no more than a fraction of them is held."""
+    draw = np.random.Generator(np.random.PCG64(6))
+    names = draw.integers(-(1 << 62), 1 << 62, 5000)
+    keys, owners = draw.integers(0, 1 << 40, 1 << 20, dtype=np.uint64) << np.uint64(8), draw.integers(0, 5000, 1 << 20, dtype=np.uint64)
+    keys[::7] = keys[0]
+    entries = (keys << jaccard.SET_BITS) | owners
+    tracemalloc.start()
+    leads, pairs = [], []
+    for row in jaccard.packed(entries, names, 64):
+        leads.append(len(row["owners"]) // 2), pairs.append(len(row["star_key"]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(leads) == len(np.unique(keys)) and sum(leads) + sum(pairs) > 0.99 * len(keys)
+    assert most < entries.nbytes * 1.5  # the crowded key's bucket is a seventh of all entries

@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,10 @@ BIT_WORDS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 1 << PI
 #: A task hands on its pieces when it has so many, or so many documents.
 FLUSH_ROWS, FLUSH_SETS = 2 << 20, 1 << 16
 KEY_BYTES = 6
+#: What is left of 64 bits beside a key tells the set among those of a task (``FLUSH_SETS`` at most).
+SET_BITS = np.uint64(64 - 8 * KEY_BYTES)
+#: Bytes of text that are hashed at a time; a worker keeps what its largest slice needed.
+TEXT_BYTES = 1 << 19
 #: Sets of a piece that are compared in one place at a time.
 BLOCK = 1024
 #: How often possible pairs that tie the components of a piece are tried before all that are left.
@@ -188,25 +193,25 @@ def stars(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return leads, keys[member], leader[member], sets[member]
 
 
-def packed(keys: np.ndarray, sets: np.ndarray, buckets: int) -> Iterator[dict]:
-    """The rows of a task by bucket of the key: sorted keys as byte planes, which compress, and short numbers for their sets."""
-    order = np.argsort(keys, kind="stable")
-    keys, sets = keys[order], sets[order]
-    leads, *star = stars(keys, sets)
-    keys, sets = keys[leads], sets[leads]
-    width = np.uint64(-(-(1 << 8 * KEY_BYTES) // buckets))
-    edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) * width)
-    star_edges = np.searchsorted(star[0], np.arange(buckets + 1, dtype=np.uint64) * width)
-    for bucket in range(buckets):
-        own = slice(edges[bucket], edges[bucket + 1])
-        pair = slice(star_edges[bucket], star_edges[bucket + 1])
-        if own.start < own.stop:
-            names, owners = np.unique(sets[own], return_inverse=True)
-            planes = keys[own].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].T
-            yield {
-                "bucket": bucket, "keys": planes.tobytes(), "owners": owners.astype(np.uint16).tobytes(), "sets": names,
-                "star_key": star[0][pair].view(np.int64), "star_a": star[1][pair], "star_b": star[2][pair],
-            }
+def packed(entries: np.ndarray, names: np.ndarray, buckets: int) -> Iterator[dict]:
+    """The rows of a task by bucket of the key: sorted keys as byte planes, which compress, and short numbers for their sets.
+
+    An entry is a key with the number of its set below it, and is sorted in place, so that nothing but one bucket is held twice.
+    """
+    entries.sort()
+    width = -(-(1 << 8 * KEY_BYTES) // buckets)
+    edges = [*np.searchsorted(entries, np.array([bucket * width for bucket in range(buckets)], np.uint64) << SET_BITS), len(entries)]
+    for bucket, (begin, end) in enumerate(zip(edges, edges[1:])):
+        if begin == end:
+            continue
+        keys, numbers = entries[begin:end] >> SET_BITS, (entries[begin:end] & np.uint64((1 << int(SET_BITS)) - 1)).astype(np.int64)
+        leads, key, leader, member = stars(keys, names[numbers])
+        leading, owners = np.unique(numbers[leads], return_inverse=True)
+        planes = keys[leads].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].T
+        yield {
+            "bucket": bucket, "keys": planes.tobytes(), "owners": owners.astype(np.uint16).tobytes(), "sets": names[leading],
+            "star_key": key.view(np.int64), "star_a": leader, "star_b": member,
+        }
 
 
 def signatures(docs: DataFrame, words: int, bands: Bands, buckets: int) -> DataFrame:
@@ -220,8 +225,8 @@ def signatures(docs: DataFrame, words: int, bands: Bands, buckets: int) -> DataF
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        sets: list[np.ndarray] = []
+        entries: list[np.ndarray] = []
+        sets: list[int] = []
         waiting, id_field = 0, pa.field("doc_id", pa.int64())
 
         def rows(count: int, columns: dict) -> pa.RecordBatch:
@@ -229,29 +234,30 @@ def signatures(docs: DataFrame, words: int, bands: Bands, buckets: int) -> DataF
             return pa.RecordBatch.from_arrays(arrays, [id_field.name, *(name for name, _ in arrow)])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            held = list(packed(np.concatenate(keys), np.concatenate(sets), buckets))
-            for start in range(0, len(held), 256):
-                part = held[start : start + 256]
+            held, names = np.concatenate(entries), np.array(sets, np.int64)
+            entries.clear(), sets.clear()
+            found = packed(held, names, buckets)
+            while part := list(islice(found, 32)):
                 yield rows(len(part), {name: pa.array([row[name] for row in part], kind) for name, kind in arrow[4:]})
-            keys.clear(), sets.clear()
 
         for batch in batches:
             id_field = batch.schema.field("doc_id")
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 sizes, names, sketches = [], [], []
                 for found in shingle_sets(part.column("text"), words):
                     name = set_name(found) if len(found) else None
-                    for band, count in bands.of(len(found)):
-                        keys.append(pieces(found, band, count, bands.differing(len(found))))
-                        sets.append(np.full(len(keys[-1]), name, np.int64))
-                        waiting += len(keys[-1])
+                    if entries and (waiting >= FLUSH_ROWS or len(sets) == FLUSH_SETS):
+                        yield from flush()
+                        waiting = 0
+                    if bands_of := bands.of(len(found)):
+                        own = np.concatenate([pieces(found, band, count, bands.differing(len(found))) for band, count in bands_of])
+                        entries.append((own << SET_BITS) | np.uint64(len(sets)))
+                        sets.append(name)
+                        waiting += len(own)
                     sizes.append(len(found)), names.append(name), sketches.append(short_sketch(found))
                 columns = {"n_shingles": pa.array(sizes, pa.int64()), "set_id": pa.array(names, pa.int64()), "sketch": pa.array(sketches, pa.list_(pa.int64()))}
                 yield rows(part.num_rows, columns | {name: part.column(name) for name in ("doc_id", "text_hash")})
-                if waiting >= FLUSH_ROWS or len(sets) >= FLUSH_SETS - 4 * part.num_rows:
-                    yield from flush()
-                    waiting = 0
-        if keys:
+        if entries:
             yield from flush()
 
     return wanted.mapInArrow(run, schema)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -70,3 +71,16 @@ def test_tables(spark, library):
         assert row.n_tokens == len(expected) and row.ids_sha256 == hashlib.sha256(expected.tobytes()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.token_digests(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_workers_keep_nothing_of_a_task(spark):
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.createDataFrame([(n, f"some words of {n} and others") for n in range(64)], "doc_id long, text string").repartition(16)
+    assert bpe.encode_documents(docs, vocabulary, public_tokenizers.PATTERN).count() == 64
+
+    def held(batches):
+        for batch in batches:
+            coder = bpe.encoder(vocabulary, public_tokenizers.PATTERN)
+            yield pa.RecordBatch.from_arrays([pa.array([len(coder.packed) + len(coder.spaced) + len(coder.stable)] * batch.num_rows)], ["n"])
+
+    assert {r.n for r in docs.select("doc_id").mapInArrow(held, "n long").collect()} == {0}

@@ -161,6 +161,10 @@ class Encoder:
             parts += [spaced(word) or spaced_ids(word) for word in words]
         return b"".join(parts)
 
+    def forget(self) -> None:
+        """Let go of what was found, so that a worker that goes on to other work does not keep it."""
+        self.packed.clear(), self.spaced.clear(), self.stable.clear()
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
@@ -202,6 +206,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_column:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(coder.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"]
                 )
+        coder.forget()
 
     return wanted.mapInArrow(run, f"doc_id {id_type}, ids binary, decoded binary")
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -391,3 +392,67 @@ def test_boxes_of_a_line_of_text_stand_in_few_squares(spark):
     boxes = spark.createDataFrame([(x, y, x + 50, y + 30) for x, y in corners], "x0 double, y0 double, x1 double, y1 double")
     squares = boxes.withColumn("_level", overlay._level("x0", "y0", "x1", "y1")).withColumn("_gx", overlay._squares("x0", "x1")).withColumn("_gy", overlay._squares("y0", "y1"))
     assert squares.count() < 1.5 * 2000  # every row of these is shuffled
+
+
+def test_lines_are_cut_into_spans_in_one_pass(spark, tmp_path):
+    from veilcraft.plans.catalog import HIT_RULES, QUERIES
+
+    rng = random.Random(8)
+    text = "".join(rng.choice(["the ", "THE", "nation", "en ", "ä", "😀", "x"]) for _ in range(20_000))
+    spark.createDataFrame([(7, text), (8, None), (9, "\n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    hits = QUERIES["pdf_hits_across_spans"](spark, str(tmp_path))
+    # a substring is counted from the start of its text, so that long lines took a time of the square of their length
+    assert "substring(" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    expected = []
+    for rule_id, (find, put) in enumerate(HIT_RULES):
+        for hit_no, found in enumerate(re.finditer(find, text, re.IGNORECASE)):
+            at, end = found.span()
+            for part, i in enumerate(range(at // 3, (end - 1) // 3 + 1)):
+                box = (max(at, 3 * i) * 6.0, min(end, 3 * i + 3) * 6.0)
+                expected.append((7, -i, rule_id, hit_no, part, max(at - 3 * i, 0), "" if part else put, *box))
+    assert sorted(map(tuple, hits.collect())) == sorted(expected)
+
+
+def test_pieces_of_even_spans_are_small(spark):
+    even = spark.range(0, 4000, 1, 1).select(
+        F.lit("d").alias("doc"), F.lit(0).alias("page"), (-F.col("id")).alias("span_id"), (F.col("id") * 18.0).alias("x0"), F.lit(1.0).alias("y0"),
+        (F.col("id") * 18.0 + 17.25).alias("x1"), F.lit(9.0).alias("y1"), F.lit(7.0).alias("origin_y"), F.lit("abc").alias("text"),
+    )
+    assert overlay._pieces(even).toArrow().nbytes < 8 * 4000  # 3 bytes of text for each span, and few numbers
+    lines = overlay.text_lines(even)[1].collect()
+    assert [(r["line"], len(r["text"]), [(s["x0"], s["x1"]) for s in r["spans"]] == [(i * 18.0, i * 18.0 + 17.25) for i in range(4000)]) for r in lines] == [(0, 12_000, True)]
+
+
+def test_hits_over_spans_are_those_of_the_whole_line(spark):
+    """Letters that match others when case is ignored, and lines whose pieces come in many batches."""
+    rng = random.Random(4)
+    letters = ["a", "A", "s", "S", "ſ", "k", "K", "K", "i", "I", "İ", "ı", "ß", "ẞ", "σ", "ς", "Σ", "\U00010400", "\U00010428", "😀", ".", "$", "\0", "µ", "μ", "å", "Å"]
+    rules = [(find, str(i)) for i, find in enumerate(["aa", "s", "st", "k", "ik", "ß", "ßa", "σa", "\U00010428", "a\U00010428", "", ".", "$a", "\0", "å", "µa", "ia", "ss", "aaa", "never"])]
+    whole, cut = [], []
+    for n in range(60):
+        text = "".join(rng.choices(letters, k=rng.choice([1, 40, 200])) + ["a"] * rng.choice([0, 5]))
+        whole.append(("d", n, 0, 0.0, 1.0, 6.0 * len(text), 9.0, None, text))
+        at = 0
+        while at < len(text):
+            size = rng.choice([0, 1, 2, 7])
+            cut.append(("d", n, at * 10 + size, at * 6.0, 1.0, (at + len(text[at : at + size])) * 6.0, 9.0, 7.0, text[at : at + size]))
+            at += size
+    rng.shuffle(cut)
+    kinds = "doc string, page int, span_id long, x0 double, y0 double, x1 double, y1 double, origin_y double, text string"
+    hits = lambda rows: overlay.find_hits(spark.createDataFrame(rows, kinds).repartition(3), rules)
+    expected = sorted((r["page"], r["rule_id"], r["hit_no"], r["x0"], r["x1"], r["replace"]) for r in hits(whole).collect())
+    for records in ("10000", "2"):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        try:
+            rows = hits(cut).orderBy("page", "rule_id", "hit_no", "part").collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        joined = {}
+        for r in rows:
+            first = joined.setdefault((r["page"], r["rule_id"], r["hit_no"]), [r["x0"], r["x1"], ""])
+            assert r["part"] == 0 or abs(first[1] - r["x0"]) < 1e-6
+            first[1], first[2] = r["x1"], first[2] + r["replace"]
+        got = sorted((*key, *value) for key, value in joined.items())
+        assert [(*g[:3], g[5]) for g in got] == [(*e[:3], e[5]) for e in expected]
+        assert all(abs(g[3] - e[3]) + abs(g[4] - e[4]) < 1e-6 for g, e in zip(got, expected))
